@@ -23,6 +23,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfare.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfare.llm.decontaminate import contamination
 
@@ -36,7 +42,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op8_decontaminate, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op8_decontaminate, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
