@@ -29,6 +29,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wayfare.llm.encoding import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfare.llm.decontaminate import contamination
 
@@ -42,7 +50,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op8_decontaminate, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op4_bpe_round_trip, op8_decontaminate, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
