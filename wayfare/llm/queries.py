@@ -49,8 +49,22 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from wayfare.llm.common import shared_dir
+    from wayfare.llm.store import document_crcs, verify_manifest, write_store
+
+    folder = f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}"
+    write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    verify_manifest(spark, folder)
+    return document_crcs(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op4_bpe_round_trip, op8_decontaminate, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op4_bpe_round_trip, op8_decontaminate, op9_fingerprints, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
