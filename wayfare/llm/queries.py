@@ -37,12 +37,24 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfare.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfare.llm.toxicity import toxicity_scores
 
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfare.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfare.llm.decontaminate import contamination
 
@@ -70,7 +82,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op4_bpe_round_trip, op6_toxicity, op8_decontaminate, op9_fingerprints, op10_token_store)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op4_bpe_round_trip, op5_quality, op6_toxicity, op7_html_text, op8_decontaminate, op9_fingerprints, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
