@@ -1,8 +1,6 @@
 """Trip distribution: iterative proportional fitting, gravity application and calibration, all relational.
 
-A matrix is (origin, destination, flow) and margins (zone_id, production) and (zone_id, attraction). Each iteration is
-two aggregations by one end and their joins back; factors are broadcast while there are few zones. Lineage is cut
-every few iterations by a reliable checkpoint.
+A matrix is (origin, destination, flow) and margins (zone_id, production) and (zone_id, attraction).
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.plans.staging import cut, small
+from wayfare.plans.staging import BROADCAST_ROWS, cut, small
 
 BALANCE = 1e-3
 
@@ -28,45 +26,57 @@ def check_balance(productions: DataFrame, attractions: DataFrame, tolerance: flo
     return p, a
 
 
-def _targets(seed: DataFrame, productions: DataFrame, attractions: DataFrame) -> DataFrame:
-    rows = productions.select(F.col("zone_id").alias("origin"), "production")
-    cols = attractions.select(F.col("zone_id").alias("destination"), "attraction")
-    cells = seed.join(small(rows), "origin", "left").join(small(cols), "destination", "left").fillna(0.0, ["production", "attraction"])
-    return cells.select("origin", "destination", "production", "attraction", F.when(F.col("production") + F.col("attraction") == 0, 0.0).otherwise(F.coalesce(F.nanvl("flow", F.lit(0.0)), F.lit(0.0))).alias("flow"))
-
-
-def _scaled(cells: DataFrame, by: str, target: str) -> tuple[DataFrame, DataFrame]:
-    """Cells with a production multiplied to the target of one end; the factors. Sums leave out cells without production."""
-    factors = cells.groupBy(by).agg(F.first(target).alias("target"), F.sum(F.when(F.col("production") != 0, F.col("flow"))).alias("total"))
-    factors = factors.select(by, F.when((F.col("target") > 0) & (F.col("total") != 0), F.try_divide("target", "total")).otherwise(0.0).alias("factor"))
-    out = cells.join(small(factors), by).withColumn("flow", F.when(F.col("production") > 0, F.col("flow") * F.col("factor")).otherwise(F.col("flow"))).drop("factor")
-    return out, factors
+def _factors(spark, cells: DataFrame, by: str, other: str, target: dict, scales: dict) -> dict:
+    """The factor of each zone of one end: its target over the sum of the cells at the other end's present scales."""
+    table = F.broadcast(spark.createDataFrame([(int(z), float(s)) for z, s in scales.items()], f"{other} long, scale double"))
+    sums = cells.join(table, other).groupBy(by).agg(F.sum(F.col("flow") * F.col("scale")).alias("t"))
+    return {r[by]: (target.get(r[by], 0.0) / r.t if target.get(r[by], 0.0) > 0 and r.t else 0.0) for r in sums.collect()}  # a row a zone
 
 
-def ipf(seed: DataFrame, productions: DataFrame, attractions: DataFrame, tolerance: float = 1e-4, max_iterations: int = 5000, fixed_iterations: int | None = None, cut_every: int = 5) -> tuple[DataFrame, list[dict]]:
+def ipf(seed: DataFrame, productions: DataFrame, attractions: DataFrame, tolerance: float = 1e-4, max_iterations: int = 5000, fixed_iterations: int | None = None) -> tuple[DataFrame, list[dict]]:
     """(origin, destination, flow) fitted to both margins, and a report (iteration from 1, error).
 
-    The error is the greatest of all factors and their inverses less one; a run with ``fixed_iterations`` makes exactly
-    so many rounds in one lazy plan, without a report. Rows without production keep their seed unless their attraction
-    is zero too.
+    A fitted cell is its seed times a scale of its row and one of its column, so only two vectors of zones change. Each
+    half of an iteration is one aggregation of the stored seed by one end, with the other end's scales broadcast (zones
+    are at most ``BROADCAST_ROWS``); no plan grows. The error is the greatest of all factors and their inverses, less
+    one. Rows without production keep their seed unless their attraction is zero too, and are in no sum.
     """
+    spark = seed.sparkSession
     p, a = check_balance(productions, attractions)
-    attractions = attractions.withColumn("attraction", F.col("attraction") * (p / a))
-    cells = _targets(seed, productions, attractions)
+    zones = productions.select("zone_id").unionByName(attractions.select("zone_id")).distinct()
+    if zones.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError("more zones than a broadcast holds")
+    made = {r.zone_id: r.production or 0.0 for r in productions.collect()}
+    drawn = {r.zone_id: (r.attraction or 0.0) * (p / a) for r in attractions.collect()}
+    rows = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in made.items()], "origin long, production double"))
+    cols = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in drawn.items()], "destination long, attraction double"))
+    whole = seed.join(rows, "origin", "left").join(cols, "destination", "left").fillna(0.0, ["production", "attraction"])
+    flow = F.when(F.col("production") + F.col("attraction") == 0, 0.0).otherwise(F.coalesce(F.nanvl(F.col("flow").cast("double"), F.lit(0.0)), F.lit(0.0)))
+    whole = cut(whole.select("origin", "destination", "production", flow.alias("flow")))
+    cells = whole.filter("production <> 0").select("origin", "destination", "flow")
+    row_scale = {z: 1.0 for z in made}
+    col_scale = {z: 1.0 for z in drawn}
+    for z in [r.destination for r in cells.select("destination").distinct().collect() if r.destination not in col_scale]:  # zones
+        col_scale[z] = 1.0
+        drawn[z] = 0.0
     report: list[dict] = []
     for k in range(1, (fixed_iterations or max_iterations) + 1):
-        cells, rows = _scaled(cells, "origin", "production")
-        cells, cols = _scaled(cells, "destination", "attraction")
-        if fixed_iterations:
-            continue
-        off = lambda f: f.agg(F.max(F.greatest("factor", F.when(F.col("factor") > 0, F.try_divide(F.lit(1.0), F.col("factor"))), F.lit(1.0)))).first()[0] or 1.0
-        error = max(off(rows), off(cols)) - 1
+        # factors of the rows are against the columns' scales times their own, and the other way round
+        needed = _factors(spark, cells, "origin", "destination", made, col_scale)
+        r = {z: (needed[z] / row_scale[z] if row_scale[z] else 0.0) for z in needed if made.get(z, 0.0) > 0}
+        row_scale.update({z: needed[z] for z in r})
+        needed = _factors(spark, cells, "destination", "origin", drawn, row_scale)
+        c = {z: (needed[z] / col_scale[z] if col_scale[z] else 0.0) for z in needed}
+        col_scale.update(needed)
+        error = max([max(f, 1 / f if f > 0 else 1.0, 1.0) for f in (*r.values(), *c.values())], default=1.0) - 1
         report.append({"iteration": k, "error": error})
-        if k % cut_every == 0:
-            cells = cut(cells)
-        if error < tolerance:
+        if not fixed_iterations and error < tolerance:
             break
-    return cells.select("origin", "destination", "flow"), report
+    rows = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in row_scale.items()], "origin long, r double"))
+    cols = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in col_scale.items()], "destination long, c double"))
+    out = whole.join(rows, "origin", "left").join(cols, "destination", "left")
+    fitted = F.when(F.col("production") > 0, F.col("flow") * F.col("r") * F.col("c")).otherwise(F.col("flow"))
+    return out.select("origin", "destination", fitted.alias("flow")), report
 
 
 @dataclass

@@ -208,11 +208,11 @@ _PARAMETERS = {"bpr": (0.15, 4.0), "bpr2": (0.15, 4.0), "conical": (9.0, 1.06),
 def _vdf_query(name: str, derivative: bool):
     def run(spark, sf):
         e = _edges(spark, sf).withColumn("v", (F.col("link_id") % 9) / 4.0 * F.col("capacity"))
-        return e.select("link_id", "direction", F.round(FUNCTIONS[name][derivative]("v", "capacity", "free_flow_time", *_PARAMETERS[name]), 10).alias("value"))
+        return e.select("link_id", "direction", F.round(FUNCTIONS[name][derivative]("v", "capacity", "free_flow_time", *_PARAMETERS[name]), 7).alias("value"))
 
     run.__name__ = f"vdf_{name}" + "_derivative" * derivative
     sql = _VDF_SQL[name][derivative]
-    query(f"WITH {LINKS}, t AS (SELECT *, {_V} AS v, (link_id % 9) / 4.0::DOUBLE AS x FROM edges) SELECT link_id, direction, round((CASE WHEN v > 0 THEN {sql} ELSE free_flow_time END)::DOUBLE, 10) AS value FROM t")(run)
+    query(f"WITH {LINKS}, t AS (SELECT *, {_V} AS v, (link_id % 9) / 4.0::DOUBLE AS x FROM edges) SELECT link_id, direction, round((CASE WHEN v > 0 THEN {sql} ELSE free_flow_time END)::DOUBLE, 7) AS value FROM t")(run)
 
 
 for _name in FUNCTIONS:
