@@ -4,7 +4,7 @@ Words are lower-cased (A-Z) runs between white space; a text of fewer words than
 gram, a text without words has the empty set and is linked with nothing. Texts of equal sets are one class.
 
 Method, over classes, with 64-bit gram hashes:
-1. A merged count-min sketch estimates how many texts hold a gram. Grams that certainly occur once cannot be shared.
+1. A merged count-min sketch estimates how many classes hold a gram. Grams that certainly occur once cannot be shared.
 2. Rare-first prefix filtering: each class's grams are ordered by estimate level, then hash, one order for all; of n
    grams the first n - ceil(0.85 n) + 1 are its prefix, and two linked classes share a prefix gram. Prefix grams that
    may be shared are sent to the segment of their hash. A gram's classes, in order of set size, fall into runs within
@@ -139,63 +139,106 @@ def _verified(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> np.nda
     return out
 
 
+class Members:
+    """Which (class, doc_id) pairs are in a set: one bit each of 2 ** LOG_FILTER, so a few others may seem to be."""
+
+    def __init__(self, pairs: DataFrame):
+        """pairs: class, doc_id. The bits, a fixed 8 MB however many pairs there are, are joined on the driver."""
+        bits = np.zeros(1 << (LOG_FILTER - 3), np.uint8)
+
+        def present(batches):
+            own = np.zeros(1 << (LOG_FILTER - 3), np.uint8)
+            for batch in batches:
+                cell = _cell(batch.column("class").to_numpy(), _ordinals(batch))
+                np.bitwise_or.at(own, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
+            held = np.flatnonzero(own)
+            if len(held):
+                yield pa.RecordBatch.from_arrays([pa.array([held.astype(np.uint32).tobytes()], pa.binary()), pa.array([own[held].tobytes()], pa.binary())], names=["at", "bits"])
+
+        for r in pairs.select("class", "doc_id").mapInArrow(present, "at binary, bits binary").toLocalIterator():
+            bits[np.frombuffer(bytes(r["at"]), np.uint32)] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+        self.shared = pairs.sparkSession.sparkContext.broadcast(bits)
+
+    def mask(self, classes: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
+        cell = _cell(classes, ordinals)
+        return ((self.shared.value[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _cell(classes: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
+    return textnum.mix(classes.view(np.uint64) ^ textnum.mix(ordinals.view(np.uint64))) >> np.uint64(64 - LOG_FILTER)
+
+
+def _ordinals(batch: pa.RecordBatch) -> np.ndarray:
+    return np.ascontiguousarray(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def chosen_sets(batches, members: Members, gram: int):
+    """(sets, classes) of each slice's rows that are members and not empty."""
+    for batch in batches:
+        for part in textnum.slices(batch, "text", SLICE_BYTES):
+            sets, classes = gram_sets(part, gram)
+            own = np.flatnonzero(members.mask(classes, _ordinals(part)) & (classes != 0))
+            if len(own):
+                yield [sets[i] for i in own.tolist()], classes[own]
+
+
 def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile_bytes: int = TILE_BYTES, tile_sets: int = TILE_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id (see the module), a row per row of docs."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
+    def signed(batches):
+        for batch in batches:
+            for part in textnum.slices(batch, "text", SLICE_BYTES):
+                sets, classes = gram_sets(part, gram)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                yield _rows({"doc_id": (part.column("doc_id"), pa.int64()), "class": (pa.array(classes, mask=sizes == 0), pa.int64()), "n_shingles": (sizes, pa.int64())})
+
+    rows = staged(base.mapInArrow(signed, "doc_id long, class long, n_shingles long"), "classes")
+    # of each class one row stands for all from here on: copies add neither counts nor postings nor sets
+    owners = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    standing = Members(owners)
+
     def keys(batch):
-        for part in textnum.slices(batch, "text", SLICE_BYTES):
-            sets, _ = gram_sets(part, gram)
-            yield np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        for sets, _ in chosen_sets([batch], standing, gram):
+            yield np.concatenate(sets)
 
-    seen = sketch.build(base.select("text"), keys, n_bytes // 6 + 1, THRESHOLDS)
+    seen = sketch.build(base, keys, n_bytes // 6 + 1, THRESHOLDS)
     segments = max(1, seen.keys // 4_000_000 + 1)
 
     def postings(batches):
-        """For every row its doc_id, class and size; for the first row of a class in this task its prefix grams too."""
+        """Prefix grams that may be shared, by segment: a row holds a task's grams of one segment."""
         held: list[tuple] = []
-        n, met = 0, set()
+        n = 0
 
         def flush():
-            h, c, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, c, size = (np.concatenate(x) for x in zip(*held, strict=True))
             own = (h % np.uint64(segments)).astype(np.int64)
             by = np.argsort(own, kind="stable")
             cuts = np.searchsorted(own[by], np.arange(segments + 1))
             for s in np.flatnonzero(np.diff(cuts)):
                 at = by[cuts[s] : cuts[s + 1]]
-                yield _rows({"segment": ([int(s)], pa.int32()), "doc_id": ([None], pa.int64()), "class": ([None], pa.int64()), "n": ([None], pa.int32())} | {k: ([v[at].tobytes()], pa.binary()) for k, v in zip(("grams", "classes", "sizes", "places"), (h, c, size, place), strict=True)})
-
-        for batch in batches:
-            for part in textnum.slices(batch, "text", SLICE_BYTES):
-                sets, classes = gram_sets(part, gram)
-                sizes = np.array([len(x) for x in sets], np.int32)
-                none = pa.nulls(len(sets), pa.binary())
-                yield _rows({"segment": (np.full(len(sets), -1), pa.int32()), "doc_id": (part.column("doc_id"), pa.int64()), "class": (pa.array(classes, mask=sizes == 0), pa.int64()), "n": (sizes, pa.int32())} | {k: (none, pa.binary()) for k in ("grams", "classes", "sizes", "places")})
-                new = [i for i, c in enumerate(classes.tolist()) if sizes[i] and not (c in met or met.add(c))]
-                if not new:
-                    continue
-                levels = seen.levels(np.concatenate([sets[i] for i in new]))
-                at = 0
-                for i in new:
-                    k = len(sets[i])
-                    level = levels[at : at + k]
-                    at += k
-                    order = np.argsort(level, kind="stable")[: k - least_overlap(k, percent) + 1]
-                    place = np.flatnonzero(level[order] > 0)
-                    if len(place):
-                        held.append((sets[i][order[place]], np.full(len(place), classes[i]), np.full(len(place), k, np.int32), place.astype(np.int32)))
-                        n += len(place)
-                if n >= 1_000_000:
-                    yield from flush()
-                    held.clear()
-                    n = 0
+                yield _rows({"segment": ([int(s)], pa.int32())} | {k: ([v[at].tobytes()], pa.binary()) for k, v in zip(("grams", "classes", "sizes"), (h, c, size), strict=True)})
+
+        for sets, classes in chosen_sets(batches, standing, gram):
+            levels = seen.levels(np.concatenate(sets))
+            at = 0
+            for own, c in zip(sets, classes, strict=True):
+                k = len(own)
+                level = levels[at : at + k]
+                at += k
+                order = np.argsort(level, kind="stable")[: k - least_overlap(k, percent) + 1]
+                order = order[level[order] > 0]
+                if len(order):
+                    held.append((own[order], np.full(len(order), c), np.full(len(order), k, np.int32)))
+                    n += len(order)
+            if n >= 1_000_000:
+                yield from flush()
+                held.clear()
+                n = 0
         if held:
             yield from flush()
 
-    sent = staged(base.mapInArrow(postings, "segment int, doc_id long, class long, n int, grams binary, classes binary, sizes binary, places binary"), "postings")
-    rows = sent.filter("segment = -1").select("doc_id", "class", F.col("n").cast("long").alias("n_shingles"))
-
     def neighbours(group: pa.Table) -> pa.Table:
         """One edge per class to the least class of its neighbourhood, as far as this segment's grams show it."""
         h, c, size = (np.concatenate([np.frombuffer(x, t) for x in group.column(k).to_pylist()]) for k, t in (("grams", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
@@ -213,10 +256,10 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
         own = ids != root
         return pa.table([pa.array(ids[own], pa.int64()), pa.array(root[own], pa.int64())], names=["u", "v"])
 
-    edges = sent.filter("segment >= 0").select("segment", "grams", "classes", "sizes").groupBy("segment").applyInArrow(neighbours, "u long, v long")
+    sent = base.mapInArrow(postings, "segment int, grams binary, classes binary, sizes binary")
+    edges = sent.groupBy("segment").applyInArrow(neighbours, "u long, v long")
     around = star_components(edges)
-    classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n"))
-    around = staged(classes.join(around, F.col("class") == F.col("node")).select("class", "n", "root"), "neighbourhoods")
+    around = staged(owners.join(around, F.col("class") == F.col("node")).select("class", "doc_id", "n", "root"), "neighbourhoods")
     tiles = around.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") * 8 / F.lit(tile_bytes)), F.ceil(F.count("*") / F.lit(tile_sets))).cast("int").alias("tiles"))
     parted = tiles.agg(F.max("tiles")).first()[0]
     groups = max(1, int((around.agg(F.sum("n")).first()[0] or 0) * 8 // tile_bytes) + 1)
@@ -228,32 +271,13 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     dealt = dealt.select("class", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
     wanted = whole.unionByName(dealt)
 
-    def present(batches):
-        bits = np.zeros(1 << (LOG_FILTER - 3), np.uint8)
-        for batch in batches:
-            cell = textnum.mix(batch.column("class").to_numpy().view(np.uint64)) >> np.uint64(64 - LOG_FILTER)
-            np.bitwise_or.at(bits, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
-        held = np.flatnonzero(bits)
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array([held.astype(np.uint32).tobytes()], pa.binary()), pa.array([bits[held].tobytes()], pa.binary())], names=["at", "bits"])
-
-    chosen = np.zeros(1 << (LOG_FILTER - 3), np.uint8)  # a fixed 8 MB, however many classes there are
-    for r in around.select("class").mapInArrow(present, "at binary, bits binary").toLocalIterator():
-        chosen[np.frombuffer(bytes(r["at"]), np.uint32)] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+    near = Members(around)
 
     def sets_of(batches):
-        met: set[int] = set()
-        for batch in batches:
-            for part in textnum.slices(batch, "text", SLICE_BYTES):
-                sets, ids = gram_sets(part, gram)
-                cell = textnum.mix(ids.view(np.uint64)) >> np.uint64(64 - LOG_FILTER)
-                held = (shared.value[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1
-                new = [i for i in np.flatnonzero(held).tolist() if len(sets[i]) and not (int(ids[i]) in met or met.add(int(ids[i])))]
-                if new:
-                    yield _rows({"class": (ids[new], pa.int64()), "grams": ([sets[i].tobytes() for i in new], pa.binary())})
-
-    carried = base.select("text").mapInArrow(sets_of, "class long, grams binary").join(wanted, "class")
+        for sets, ids in chosen_sets(batches, near, gram):
+            yield _rows({"class": (ids, pa.int64()), "grams": ([x.tobytes() for x in sets], pa.binary())})
+
+    carried = base.mapInArrow(sets_of, "class long, grams binary").join(wanted, "class")
 
     def links(group: pa.Table) -> pa.Table:
         ids, root, i, j, side = (group.column(k).to_numpy() for k in ("class", "root", "i", "j", "side"))

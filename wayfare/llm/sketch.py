@@ -113,4 +113,5 @@ def build(df: DataFrame, keys_of, expected: int, thresholds: tuple[tuple[int, in
             size = max(1, (1 << log_segment) // fold // 8)
             tables[t][row][segment * size : (segment + 1) * size] = np.frombuffer(bytes(r.bits[t]), np.uint8)
     n = sum(r.n for r in rows if r.segment < segments)
+    del rows  # before the broadcast copies the tables
     return Sketch(df.sparkSession.sparkContext.broadcast(tables), log_cells, tuple(f for _, f in thresholds), n)
