@@ -19,9 +19,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Texts go whose probability of the best grade is below a half."""
     from wayfare.llm import quality
 
-    own = docs.columns
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.grade(docs, model).filter("kept").select(*own)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return quality.grade(rows, model).filter("kept").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     from wayfare.llm.jaccard import jaccard_components
 
     groups = jaccard_components(docs, gram=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,16 +173,23 @@ def redacted(docs: DataFrame, samples: DataFrame | None = None, mask: str = "[SE
     """docs, same columns, each text with its spans (merged where they overlap) replaced by the mask; texts without
     spans, nulls too, stay as they are."""
     model = MarkovPair.train(corpus_samples(docs) if samples is None else samples)
-    own = docs.columns
-    rows = scan(docs.withColumn("__was", F.col("text")), model)
+    # the given columns travel as one struct, so that none can clash with the columns of the scan
+    rows = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text")), model)
     every = F.array_sort(F.concat(*[F.col(k) for k, _, _ in KINDS], F.col("markov")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["e"]).alias("at"),
-        F.when(s["e"] <= acc["at"], acc["out"]).when(s["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["s"] - acc["at"]), F.lit(mask))).alias("out"),
-    )
-    cleaned = F.aggregate(F.col("__all"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    rows = rows.withColumn("__all", every).withColumn("text", F.when(F.size("__all") > 0, cleaned).otherwise(F.col("__was")))
-    if "n_chars" in own:
-        rows = rows.withColumn("n_chars", F.when(F.size("__all") > 0, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return rows.select(*own)
+
+    def step(acc, s):
+        piece_before = F.substring(F.col("text"), acc["at"] + 1, s["s"] - acc["at"])
+        return F.struct(
+            F.greatest(acc["at"], s["e"]).alias("at"),
+            F.when(s["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], piece_before, F.lit(mask))).alias("out"),
+        )
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
+    rows = rows.withColumn("__all", every).withColumn("__cleaned", F.aggregate(F.col("__all"), start, step, rest))
+    found = F.size("__all") > 0
+    given = lambda c: F.col("__row")[c]
+    new = {"text": F.when(found, F.col("__cleaned")).otherwise(given("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(found, F.char_length("__cleaned").cast(dict(docs.dtypes)["n_chars"])).otherwise(given("n_chars"))
+    return rows.select(*[new.get(c, given(c)).alias(c) for c in docs.columns])

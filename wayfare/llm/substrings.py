@@ -196,7 +196,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         new = np.flatnonzero(np.any(np.diff(key, axis=0, prepend=np.full((1, 2), -1)) != 0, axis=1)) if len(key) else np.zeros(0, np.int64)
         if len(key) and (not len(new) or new[0] != 0):
             new = np.insert(new, 0, 0)
-        ends = np.append(new[1:], len(key))
+        ends = np.append(new[1:], len(key))[: len(new)]
         of = {(int(key[a, 0]), int(key[a, 1])): (a, b) for a, b in zip(new, ends, strict=True)}
         press = zstandard.ZstdDecompressor()
         out: list[tuple] = []
