@@ -116,7 +116,8 @@ def settle_times(rows: DataFrame, limits: pd.DataFrame) -> DataFrame:
     """rows (trip_id, seq, stop_id, arrival, departure, distance from the stop before) with times made consistent and
     source_time 0 as given, 1 parted ties, 2 slowed. limits: min_distance, max_distance, speed."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy("trip_id").applyInPandas(lambda t: _settled(t, limits)[[*rows.columns, "source_time"]], f"{fields}, source_time int")
+    columns = [*rows.columns, "source_time"]
+    return rows.groupBy("trip_id").applyInPandas(lambda trip: _settled(trip, limits)[columns], f"{fields}, source_time int")
 
 
 def with_defaults(routes: DataFrame, by_type: DataFrame, default: dict[str, float]) -> DataFrame:
