@@ -205,3 +205,91 @@ def hyperpath(tail, head, time, freq, n_nodes: int, target: int, demand: dict[in
             volume[e] = v
             at[head[e]] += v
     return volume, u
+
+
+def a_star(net: Network, origin: int, target: int, x: np.ndarray, y: np.ndarray, scale: float) -> tuple[float, list[int]]:
+    """(cost, edges) to one target, nodes taken in order of cost so far plus ``scale`` times the straight distance left.
+
+    The result is a shortest path while no edge costs less than ``scale`` times its length.
+    """
+    first, head, cost, centroid = net.lists()
+    left = (scale * np.hypot(x - x[target], y - y[target])).tolist()
+    far = [np.inf] * len(net.nodes)
+    into = [-1] * len(net.nodes)
+    done = bytearray(len(net.nodes))
+    far[origin] = 0.0
+    heap = [(left[origin], origin)]
+    while heap:
+        _, n = heapq.heappop(heap)
+        if n == target:
+            return far[n], net.path(into, target)
+        if done[n]:
+            continue
+        done[n] = 1
+        if net.blocked and centroid[n] and n != origin:
+            continue
+        for e in range(first[n], first[n + 1]):
+            m = head[e]
+            if far[n] + cost[e] < far[m]:
+                far[m] = far[n] + cost[e]
+                into[m] = e
+                heapq.heappush(heap, (far[m] + left[m], m))
+    return np.inf, []
+
+
+def reachable(net: Network, origin: int) -> np.ndarray:
+    """Nodes that some path from origin enters, by depth-first search; costs do not matter."""
+    first, head, _, centroid = net.lists()
+    seen = np.zeros(len(net.nodes), bool)
+    seen[origin] = True
+    stack = [origin]
+    while stack:
+        n = stack.pop()
+        if net.blocked and centroid[n] and n != origin:
+            continue
+        for e in range(first[n], first[n + 1]):
+            if not seen[head[e]]:
+                seen[head[e]] = True
+                stack.append(head[e])
+    return seen
+
+
+def delaunay(points: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of the Delaunay triangulation of distinct points, by inserting them one at a time: triangles whose
+    circumcircle holds the new point are replaced by a fan around it."""
+    n = len(points)
+    if n < 2:
+        return []
+    low, high = points.min(axis=0), points.max(axis=0)
+    span = float(max(high - low)) or 1.0
+    mid = (low + high) / 2
+    p = np.vstack([points, mid + span * np.array([[-3000, -1000], [3000, -1000], [0, 3000]])])
+
+    def circle(t):
+        (ax, ay), (bx, by), (cx, cy) = p[list(t)]
+        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+        if d == 0:
+            return (0.0, 0.0, np.inf)
+        a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        ux = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d
+        uy = (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
+        return (ux, uy, (ux - ax) ** 2 + (uy - ay) ** 2)
+
+    triangles = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
+    for i in range(n):
+        x, y = p[i]
+        bad = [t for t, (ux, uy, r) in triangles.items() if (x - ux) ** 2 + (y - uy) ** 2 < r * (1 + 1e-12)]
+        rim: dict[tuple[int, int], int] = {}
+        for t in bad:
+            for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
+                k = (min(e), max(e))
+                rim[k] = rim.get(k, 0) + 1
+            del triangles[t]
+        for (a, b), times in rim.items():
+            if times == 1:
+                triangles[a, b, i] = circle((a, b, i))
+    edges = {(min(a, b), max(a, b)) for t in triangles for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if a < n and b < n}
+    if not edges:  # points on one line: neighbours along it
+        along = np.lexsort((points[:, 1], points[:, 0]))
+        edges = {(min(a, b), max(a, b)) for a, b in zip(along.tolist(), along[1:].tolist(), strict=False)}
+    return sorted(edges)
