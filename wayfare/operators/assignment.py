@@ -173,6 +173,34 @@ class Assignment:
             return 1.0, False
         return brent(g, 0.0, 1.0, low, high, max(min(1e-6, rgap * 1e-5), 1e-12)), False
 
+    def select_links(self, result: Result, sets: dict[str, list[tuple[int, int]]]) -> dict[str, tuple[DataFrame, DataFrame]]:
+        """Per class, loads and demand of the paths at the final times that use any link of each set."""
+        from wayfare.operators.paths import select_link, shortest_paths
+
+        out = {}
+        for c, fixed in zip(self.classes, self.fixed, strict=True):
+            self.net.cost = result.times + fixed
+            self.net._lists = None
+            pairs = c.demand.filter(F.col(c.core) > 0).filter("origin <> destination").select("origin", "destination")
+            out[c.name] = select_link(shortest_paths(self.spark, self.net, pairs), c.demand, sets, c.core)
+        return out
+
+    def info(self) -> dict:
+        """What is assigned, and on what."""
+        return {"classes": {c.name: {"core": c.core, "pce": c.pce, "vot": c.vot, "fixed_cost": c.fixed_cost} for c in self.classes}, "edges": len(self.t0), "nodes": len(self.net.nodes), "centroids": int(self.net.is_centroid.sum()), "preloaded": bool(self.preload.any())}
+
+    def blended_skims(self, steps: list[tuple[float, DataFrame]], fields: list[str]) -> DataFrame:
+        """Skims of the iterations averaged as their flows were: each (step, skims) takes that share of what came before."""
+        weights, rest = [], 1.0
+        for step, _ in reversed(steps):
+            weights.append(rest * step)
+            rest *= 1 - step
+        parts = [df.select("origin", "destination", *[(F.col(f) * w).alias(f) for f in fields]) for w, (_, df) in zip(reversed(weights), steps, strict=True) if w]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return every.groupBy("origin", "destination").agg(*[F.sum(f).alias(f) for f in fields])
+
     def _flows(self, times: np.ndarray, n: int) -> DataFrame:
         v = sum(f * c.pce for f, c in zip(self.flow_arrays, self.classes, strict=True)) + self.preload
         cols = {"link_id": self.net.link, "direction": self.net.direction.astype(np.int32), **{c.name: f for c, f in zip(self.classes, self.flow_arrays, strict=True)}, "Preload": self.preload, "Congested_Time": times, "Delay_factor": times / self.t0, "VOC": v / self.capacity, "PCE": v}

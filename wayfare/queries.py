@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfare import model
 from wayfare.functions import clock, geo
 from wayfare.functions.vdf import FUNCTIONS
-from wayfare.operators import distribution, graph, gtfs, matrix, network, paths, route_choice, transit
+from wayfare.operators import distribution, graph, gtfs, matrix, network, paths, route_choice, transit, zoning
 from wayfare.operators.assignment import Assignment, TrafficClass, results_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -661,3 +661,34 @@ def distances_and_bearings(spark, sf):
     a, b = z.toDF("origin", "x1", "y1"), z.toDF("destination", "x2", "y2")
     pairs = a.join(b, F.col("destination") == F.col("origin") % 25 + 1)
     return pairs.select("origin", "destination", F.round(geo.haversine("x1", "y1", "x2", "y2"), 3).alias("metres"), F.round(geo.bearing("x1", "y1", "x2", "y2"), 9).alias("bearing"))
+
+
+# geometry
+
+
+@query()
+def desire_line_loads(spark, sf):
+    return zoning.desire_lines(spark, _zones(spark, sf), model.demand(spark, sf).filter("origin <> destination"), ["demand"])
+
+
+def _squares(spark, sf):
+    k = F.col("node_id") - 101
+    x, y = (k % 3 * 2.5).cast("double"), (F.floor(k / 3) * 4.0).cast("double")
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    return model.nodes(spark, sf).filter("NOT is_centroid").select(F.col("node_id").alias("zone_id"), F.array(corner(0.0, 0.0), corner(2.5, 0.0), corner(2.5, 4.0), corner(0.0, 4.0)).alias("ring"))
+
+
+@query("""WITH z AS (SELECT n_nationkey::BIGINT + 1 AS point_id, ((n_nationkey + 1) * 37) % 64 / 8.0 + 0.01 AS x, ((n_nationkey + 1) * 23) % 64 / 8.0 + 0.01 AS y FROM nation),
+s AS (SELECT r_regionkey::BIGINT + 101 AS zone_id, r_regionkey % 3 * 2.5 AS x0, (r_regionkey // 3) * 4.0 AS y0 FROM region)
+SELECT point_id, min(zone_id) AS zone_id FROM z JOIN s ON x > x0 AND x < x0 + 2.5 AND y > y0 AND y < y0 + 4.0 GROUP BY 1""")
+def zone_of_points(spark, sf):
+    points = _zones(spark, sf).select(F.col("node_id").alias("point_id"), (F.col("lon") + 0.01).alias("lon"), (F.col("lat") + 0.01).alias("lat"))
+    return zoning.zone_of(points, _squares(spark, sf), 1.0)
+
+
+@query(f"WITH {LINKS}, e AS (SELECT * FROM edges), f AS (SELECT allowed.*, n_nationkey FROM (SELECT link_id, least(a_node, b_node) AS low, greatest(a_node, b_node) AS high, direction FROM edges) allowed, (SELECT 0 AS n_nationkey) z) SELECT low, high, count(*) AS n_ways FROM f GROUP BY 1, 2")
+def gmns_round_trip(spark, sf):
+    """Ways between each pair of nodes, from links that went out as GMNS rows."""
+    rows = network.to_gmns(model.links(spark, sf))
+    low, high = F.least("from_node_id", "to_node_id").alias("low"), F.greatest("from_node_id", "to_node_id").alias("high")
+    return rows.groupBy(low, high).agg(F.count("*").alias("n_ways"))

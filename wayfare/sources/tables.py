@@ -112,6 +112,40 @@ def shape_export(points: DataFrame) -> DataFrame:
     return run.withColumn("shape_dist_traveled", F.coalesce(F.try_divide("__c", F.max("__c").over(Window.partitionBy("shape_id"))), F.lit(0.0))).drop("__s", "__c")
 
 
+def save_results(flows: DataFrame, path: str, keep_zero_flows: bool = True, total: str = "PCE_tot") -> None:
+    """Link results; a result is never overwritten."""
+    write(flows if keep_zero_flows else flows.filter(F.col(total) > 0), path)
+
+
+def save_skims(final: DataFrame | None, blended: DataFrame | None, path: str) -> None:
+    """Final and blended skims side by side, their cores marked by a suffix."""
+    parts = []
+    for df, mark in ((final, "final"), (blended, "blended")):
+        if df is not None:
+            parts.append(df.select("origin", "destination", *[F.col(c).alias(f"{c}_{mark}") for c in od.cores(df)]))
+    write(od.combine(parts, fill=None), path)
+
+
+def save_graph(edges: DataFrame, crosswalk: DataFrame | None, settings: dict, folder: str) -> None:
+    """A prepared graph: its edges, its crosswalk to compressed links if there is one, and how it was made."""
+    write(edges, f"{folder}/edges.parquet")
+    if crosswalk is not None:
+        write(crosswalk, f"{folder}/crosswalk.parquet")
+    spark = edges.sparkSession
+    write(spark.createDataFrame([(k, str(v)) for k, v in sorted(settings.items())], "name string, value string"), f"{folder}/settings.parquet")
+
+
+def load_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:
+    settings = {r.name: r.value for r in spark.read.parquet(f"{folder}/settings.parquet").collect()}
+    return spark.read.parquet(f"{folder}/edges.parquet"), settings
+
+
+def save_paths(paths: DataFrame, iteration: int, class_name: str, folder: str) -> None:
+    """Paths of one iteration and class, by origin: a reader of one origin opens one folder."""
+    marked = paths.withColumn("iteration", F.lit(iteration)).withColumn("class", F.lit(class_name))
+    marked.repartition("origin").write.mode("append").partitionBy("iteration", "class", "origin").parquet(folder)
+
+
 class Project:
     """A folder of tables. ``open`` checks that it is one, ``new`` lays it out; leaving it removes orphan nodes."""
 
