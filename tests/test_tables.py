@@ -142,3 +142,11 @@ def test_streamed_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 10
+
+
+def test_numbering_by_ranges_is_the_same(spark):
+    from wayfare.plans.ranking import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")).repartition(7)
+    whole = {(r.k, r.n) for r in numbered(rows, ["k"], "n", 1).collect()}
+    assert whole == {(r.k, r.n) for r in numbered(rows, ["k"], "n", 1, one_task_rows=10).collect()} == {(k, k + 1) for k in range(1000)}

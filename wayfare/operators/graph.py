@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.plans.ranking import numbered
 from wayfare.plans.staging import cut
 
 KEYS = ("link_id", "a_node", "b_node", "direction")
@@ -59,7 +60,7 @@ def node_index(edges: DataFrame, centroids: DataFrame) -> DataFrame:
     """node_id, index: centroids first, then the other nodes, each in order of id."""
     every = edges.select(F.col("a_node").alias("node_id")).unionByName(edges.select(F.col("b_node").alias("node_id"))).distinct()
     marked = every.join(centroids.select("node_id", F.lit(1).alias("c")).distinct(), "node_id", "full")
-    return marked.select("node_id", (F.row_number().over(Window.orderBy(F.coalesce("c", F.lit(0)).desc(), "node_id")) - 1).alias("index"))
+    return numbered(marked, [F.coalesce("c", F.lit(0)).desc(), F.col("node_id")], "index").select("node_id", "index")
 
 
 def forward_star(edges: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def forward_star(edges: DataFrame) -> DataFrame:
 
 def supernet_ids(edges: DataFrame) -> DataFrame:
     """edges with supernet_id, the rank of (link_id, direction): the same for all modes of a network."""
-    return edges.withColumn("supernet_id", F.row_number().over(Window.orderBy("link_id", "direction")) - 1)
+    return numbered(edges, ["link_id", "direction"], "supernet_id")
 
 
 def exclude_links(links: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -144,8 +145,8 @@ def contracted(links: DataFrame, centroids: DataFrame, max_rounds: int = 60) ->
     both = both.withColumn("forward", (F.col("r.p_link") < F.col("f.p_link")) | ((F.col("r.p_link") == F.col("f.p_link")) & F.lit(True)))
     both = both.withColumn("position", F.when(F.col("forward"), F.col("r.ahead")).otherwise(F.col("f.ahead")))
     top = links.agg(F.max("link_id").alias("top"))
-    ranked = both.select("chain").distinct().select("chain", F.row_number().over(Window.orderBy("chain")).alias("k")).crossJoin(F.broadcast(top))  # one row
-    return both.join(ranked.select("chain", (F.col("top") * 10 + F.col("k") - 1).alias("compressed_id")), "chain").select("link_id", "compressed_id", "position", "forward")
+    ranked = numbered(both.select("chain").distinct(), ["chain"], "k").crossJoin(F.broadcast(top))  # one row
+    return both.join(ranked.select("chain", (F.col("top") * 10 + F.col("k")).alias("compressed_id")), "chain").select("link_id", "compressed_id", "position", "forward")
 
 
 def compressed_values(edges: DataFrame, crosswalk: DataFrame, fields: list[str]) -> DataFrame:

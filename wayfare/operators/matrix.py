@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.plans.ranking import numbered
+
 KEYS = ["origin", "destination"]
 CORE_NAME_MOST, INDEX_NAME_MOST = 50, 20
 
@@ -33,10 +35,7 @@ def from_trip_list(trips: DataFrame, origin: str, destination: str, values: list
 
 def zone_index(matrix: DataFrame) -> DataFrame:
     """zone_id, index: the sorted zones that occur at either end."""
-    from pyspark.sql import Window
-
-    every = matrix.select(F.explode(F.array(*KEYS)).alias("zone_id")).distinct()
-    return every.select("zone_id", (F.row_number().over(Window.orderBy("zone_id")) - 1).alias("index"))
+    return numbered(matrix.select(F.explode(F.array(*KEYS)).alias("zone_id")).distinct(), ["zone_id"], "index")
 
 
 def view(matrix: DataFrame, names: list[str]) -> DataFrame:

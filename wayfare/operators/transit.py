@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.geo import TRANSIT_RADIUS, haversine
 from wayfare.operators.kernels import hyperpath
+from wayfare.plans.ranking import numbered
 from wayfare.plans.staging import small
 
 DWELL, ALIGHT_PENALTY, TINY = 30.0, 480.0, 1e-6
@@ -73,8 +74,7 @@ def vertices(segments: DataFrame, stops: DataFrame, zones: DataFrame, blocking:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    order = Window.orderBy("__k", "taz_id", "stop_id", "line_id", "line_seg_idx")
-    return every.withColumn("node_id", F.row_number().over(order).cast("long")).drop("__k")
+    return numbered(every, ["__k", "taz_id", "stop_id", "line_id", "line_seg_idx"], "node_id", 1).drop("__k")
 
 
 EDGE = ["edge_type", "a_node", "b_node", "trav_time", "freq", "line_id", "line_seg_idx"]
@@ -101,7 +101,7 @@ def edges(segments: DataFrame, nodes: DataFrame, connectors: DataFrame | None =
     for more in (connectors, transfers):
         if more is not None:
             out = out.unionByName(more.select(*EDGE))
-    return out.withColumn("link_id", F.row_number().over(Window.orderBy("edge_type", "a_node", "b_node", "line_id", "line_seg_idx")).cast("long"))
+    return numbered(out, ["edge_type", "a_node", "b_node", "line_id", "line_seg_idx"], "link_id", 1)
 
 
 def grid(lon: Column, lat: Column, cell: float) -> tuple[Column, Column]:
