@@ -104,7 +104,7 @@ def _windows_of(n: int) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, k: int = K, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (see the module)."""
+    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, text_hash (see the module)."""
     windows = benchmark_windows(benchmark, gram)
     lengths = {r.n_window: r["count"] for r in windows.groupBy("n_window").count().collect()}  # at most `gram` rows
     small = sum(lengths.values()) <= broadcast_windows
@@ -138,11 +138,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, k: in
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         items.alias("items"),
+        F.col("__key").alias("text_hash"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark window."""
-    bad = contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("__bad_doc")).distinct()
-    # a doc_id shared by several rows is dropped with any of them: they are one document to the reader of ids
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad_doc")), "left_anti")
+    bad = contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("__bad_doc"), F.col("text_hash").alias("__bad_text")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__bad_doc")) & (F.xxhash64(text_column(docs)) == F.col("__bad_text"))
+    return docs.join(bad, same, "left_anti")
