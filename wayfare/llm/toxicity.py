@@ -8,7 +8,7 @@ tables; equal windows have equal distances and are compressed once per worker wh
 
 A text's distances (greatest, mean of the greatest three, share and number of windows over a threshold, mean) are
 calibrated to a probability by logistic regression on a fold whose texts are in neither dictionary; the window
-threshold is the one that fits that fold best. Learned from at most ``SAMPLE`` labelled rows; scores see whole texts.
+threshold, and how sure a word must tell the classes apart to be in a dictionary, are those that fit that fold best. Learned from at most ``SAMPLE`` labelled rows; scores see whole texts.
 
 Defined results: null and empty texts, and texts of white space, have no windows and score as a text of distances 0;
 without labels of both classes every score is the share of toxic labels (0 without any).
@@ -31,7 +31,7 @@ SAMPLE = 9_000
 WINDOW = 24
 SHARED_WORDS = 300
 OWN_WORDS = 600
-LEAST_Z = 3.0
+LEAST_Z = (3.0, 3.5, 4.0, 4.5, 5.0)
 LEAST_RATIO = 3.0
 MEMO = 300_000
 THRESHOLDS = (2, 3, 4, 5)
@@ -50,7 +50,8 @@ def _z(a: int, b: int, n_a: int, n_b: int) -> float:
     return (np.log((a + 0.5) / (n_a + 1)) - np.log((b + 0.5) / (n_b + 1))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> list[tuple[bytes, bytes]]:
+    """A pair of dictionaries (toxic, ordinary) for each of LEAST_Z, from one count of the words."""
     held = []
     total: Counter[str] = Counter()
     for texts in (toxic, ordinary):
@@ -61,13 +62,18 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
             df.update({w.strip(EDGES) for w in own})
         held.append(df)
     shared = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:SHARED_WORDS]]
-    out = []
+    marked = []
     for own, other, n, m in ((held[0], held[1], len(toxic), len(ordinary)), (held[1], held[0], len(ordinary), len(toxic))):
-        marked = ((_z(k, other[w], n, m), w) for w, k in own.items() if 2 < len(w) <= WINDOW and (k + 0.5) / (n + 1) >= LEAST_RATIO * (other[w] + 0.5) / (m + 1))
-        best = sorted((x for x in marked if x[0] >= LEAST_Z), reverse=True)[:OWN_WORDS]
-        out.append([w for _, w in best][::-1])
-    sizes = [len(" ".join(o).encode()) for o in out]
-    return tuple((" " + " ".join([*shared[::-1]]) + " " * (max(sizes) - size) + " " + " ".join(o) + " ").encode() for o, size in zip(out, sizes, strict=True))
+        told = [w for w, k in own.items() if k > 1 and 2 < len(w) <= WINDOW and (k + 0.5) / (n + 1) >= LEAST_RATIO * (other[w] + 0.5) / (m + 1)]
+        marked.append(sorted(((_z(own[w], other[w], n, m), w) for w in told), reverse=True)[:OWN_WORDS])
+    out = []
+    for least in LEAST_Z:
+        words = [[w for z, w in own if z >= least][::-1] for own in marked]
+        sizes = [len(" ".join(o).encode()) for o in words]
+        pair = tuple((" " + " ".join(shared[::-1]) + " " * (max(sizes) - size) + " " + " ".join(o) + " ").encode() for o, size in zip(words, sizes, strict=True))
+        if words[0] and pair not in out:
+            out.append(pair)
+    return out
 
 
 class Distances:
@@ -141,12 +147,17 @@ class ToxicityModel:
         toxic, ordinary = ([r.text for r in made if r.label == v] for v in (1, 0))
         if not toxic or not ordinary or y.sum() in (0, len(y)):
             return cls(None, 0, None, None, None, share)
-        dictionaries = train_dictionaries(toxic, ordinary)
-        far = Distances(dictionaries)
-        x = np.array([text_features(far.of(r.text)) for r in kept])
-        fits = [fit_logistic(x[:, _columns(t)], y) for t in range(len(THRESHOLDS))]
-        best = int(np.argmin([f[3] for f in fits]))
-        return cls(dictionaries, best, *fits[best][:3], share)
+        best = None
+        for dictionaries in train_dictionaries(toxic, ordinary):
+            far = Distances(dictionaries)
+            x = np.array([text_features(far.of(r.text)) for r in kept])
+            for t in range(len(THRESHOLDS)):
+                fit = fit_logistic(x[:, _columns(t)], y)
+                if best is None or fit[3] < best[0]:
+                    best = (fit[3], dictionaries, t, fit)
+        if best is None:
+            return cls(None, 0, None, None, None, share)
+        return cls(best[1], best[2], *best[3][:3], share)
 
     def score(self, far: Distances | None, texts: list[str]) -> np.ndarray:
         if self.dictionaries is None or not texts:
