@@ -126,7 +126,7 @@ def directed_edges(spark, sf):
     return _edges(spark, sf)
 
 
-@query(f"WITH {LINKS}, e AS (SELECT a_node AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT b_node, 0, 1 FROM edges) SELECT node_id, sum(o) AS n_out, sum(i) AS n_in FROM e GROUP BY 1")
+@query(f"WITH {LINKS}, e AS (SELECT a_node AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT b_node, 0, 1 FROM edges) SELECT node_id, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM e GROUP BY 1")
 def node_degrees(spark, sf):
     return graph.degrees(_edges(spark, sf))
 
@@ -490,7 +490,7 @@ def pattern_headway(spark, sf):
     return transit.headways(model.stop_events(spark, sf), 25200, 36000)
 
 
-@query(f"""WITH {STOPS}, spans AS (SELECT trip_id, pattern_id, min(departure) AS f, max(arrival) AS l FROM st GROUP BY 1, 2) SELECT pattern_id + 1 AS link_id, 1 AS direction, count(*) * 3.5 AS preload FROM spans WHERE (f + l) / 2.0 BETWEEN 28800 AND 43200 GROUP BY 1""")
+@query(f"""WITH {STOPS}, spans AS (SELECT trip_id, pattern_id, min(departure) AS f, max(arrival) AS l FROM st GROUP BY 1, 2) SELECT pattern_id + 1 AS link_id, 1 AS direction, (count(*) * 3.5)::DOUBLE AS preload FROM spans WHERE (f + l) / 2.0 BETWEEN 28800 AND 43200 GROUP BY 1""")
 def pt_preload(spark, sf):
     st = model.stop_events(spark, sf)
     trips = st.select("trip_id", "pattern_id").distinct().withColumn("pce", F.lit(3.5))
@@ -649,7 +649,7 @@ def osm_split_links(spark, sf):
     return network.osm_links(ways).select("way_id", "part", "a_node", "b_node")
 
 
-@query(f"WITH {LINKS} SELECT count(*) AS n_links, 30 AS n_nodes, 25 AS n_centroids FROM links")
+@query(f"WITH {LINKS} SELECT count(*) AS n_links, 30::BIGINT AS n_nodes, 25::BIGINT AS n_centroids FROM links")
 def network_counts(spark, sf):
     return network.counts(model.links(spark, sf), model.nodes(spark, sf)).select("n_links", "n_nodes", "n_centroids")
 
