@@ -71,6 +71,28 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of all texts, made a few texts at a time: what stays is 10 bytes an entry."""
+    rows, places, values = [], [], []
+    at = 0
+    while at < len(texts):
+        raw, size, end = [], 0, at
+        while end < len(texts) and (end == at or size < SLICE_BYTES // 4):
+            raw.append(texts[end].encode())
+            size += len(raw[-1])
+            end += 1
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        words = textnum.Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        counts = np.maximum(np.diff(words.first), 1)
+        key, times = np.unique(np.tile(words.texts(), 4) * (1 << LOG_FEATURES) + np.concatenate(features(words)), return_counts=True)
+        row = key >> LOG_FEATURES
+        rows.append((row + at).astype(np.int32))
+        places.append((key & ((1 << LOG_FEATURES) - 1)).astype(np.uint16))
+        values.append((SCALE * times / counts[row]).astype(np.float32))
+        at = end
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(values)
+
+
 class OrdinalModel:
     """Grades 0 .. K - 1 with K - 1 ordered thresholds; ``grades`` are the ratings they stand for, ascending."""
 
@@ -82,14 +104,7 @@ class OrdinalModel:
         grades = sorted(set(ratings))
         if len(grades) < 2:
             return cls(np.zeros(1 << LOG_FEATURES), np.zeros(0), grades or [0])
-        raw = [t.encode() for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-        words = textnum.Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        counts = np.maximum(np.diff(words.first), 1)
-        row = np.tile(words.texts(), 4)
-        key, times = np.unique(row * (1 << LOG_FEATURES) + np.concatenate(features(words)), return_counts=True)
-        row, feature = key >> LOG_FEATURES, key & ((1 << LOG_FEATURES) - 1)
-        value = SCALE * times / counts[row]
+        row, feature, value = _sparse(texts)
         y = np.searchsorted(grades, ratings)
         above = y[:, None] > np.arange(len(grades) - 1)  # each threshold is a question that all texts answer
         share = above.mean(axis=0).clip(1e-3, 1 - 1e-3)
