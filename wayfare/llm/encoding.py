@@ -16,6 +16,8 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
 from collections import Counter
 from functools import cache
@@ -32,13 +34,16 @@ from wayfare.llm.common import shared_dir, text_column
 
 LEXICON_PIECES = 32_768
 COUNT_BUCKETS = 64
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 FLUSH_PIECES = 1_000_000
 
 # The pre-tokenizers' patterns of the two families of files.
 BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
+WORD_OR_END = regex.compile(WORD_PIECES.pattern + r"|\n")
+#: No code point below U+0378 is unassigned.
+MAYBE_UNASSIGNED = re.compile("[\u0378-\U0010ffff]")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
 
@@ -60,7 +65,9 @@ class Encoder:
         self.bpe, self.lexicon, self.most = load(path), lexicon, cache_pieces
         self.words = bool(self.bpe.suffix)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.bpe.special, key=len, reverse=True))) if self.bpe.special else None
-        self.known: dict[str, bytes] = {}
+        self.path, self._library = path, None
+        self.known: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -69,14 +76,20 @@ class Encoder:
             return BYTE_PIECES.findall(text)
         return text.split() if not ODD_SPACE.search(text) else [w for w in WHITE.split(text) if w]
 
-    def _pieces_of(self, word: str) -> list[str]:
-        if word.isascii():
-            word = word.lower()
+    def pieces_of(self, words: list[str]) -> list[list[str]]:
+        """Pieces of each word, cut in one pass over all of them."""
+        text = "\n".join(words)
+        if not text.isascii():
+            text = _lowered(unicodedata.normalize("NFC", text))
         else:
-            import unicodedata
-
-            word = _lowered(unicodedata.normalize("NFC", word))
-        return [word] if word.isalpha() else WORD_PIECES.findall(word)
+            text = text.lower()
+        out: list[list[str]] = [[]]
+        for p in WORD_OR_END.findall(text):
+            if p == "\n":
+                out.append([])
+            else:
+                out[-1].append(p)
+        return out
 
     def _ids_of(self, pieces: list[str], into: dict[str, bytes]) -> None:
         raw = [p.encode() for p in pieces]
@@ -88,65 +101,94 @@ class Encoder:
             into[pieces[i]] = ids.tobytes()
 
     def learn(self, units: set[str]) -> None:
-        """Make sure that all units are known."""
-        units = units.difference(self.known)
+        """Make sure that all units are known. A byte-level piece with a character that this Python's tables do not have
+        yet is known as None: the library may cut around it elsewhere."""
+        known, parts = self.known, self.parts
+        units = units.difference(known)
+        again = [u for u in units if u in self.old]
+        known.update((u, self.old[u]) for u in again)
+        units.difference_update(again)
         if not units:
             return
-        if len(self.known) + len(units) > self.most:
-            self.known.clear()
-            self.parts.clear()
-            raise _Cleared
+        if MAYBE_UNASSIGNED.search("\n".join(units)):
+            odd = [u for u in units if self.odd(u)]
+            units.difference_update(odd)
+            for u in odd:
+                known[u] = self.library(u) if self.words else None
+        own = list(units)
         if not self.words:
-            self._ids_of(list(units), self.known)
+            self._ids_of(own, known)
             return
-        cut = {u: self._pieces_of(u) for u in units}
-        new = {p for ps in cut.values() for p in ps}.difference(self.parts)
+        cut = self.pieces_of(own) if own else []
+        new = {p for ps in cut for p in ps}.difference(parts)
         if new:
-            self._ids_of(list(new), self.parts)
-        for u, ps in cut.items():
-            self.known[u] = self.parts[ps[0]] if len(ps) == 1 else b"".join([self.parts[p] for p in ps])
+            self._ids_of(list(new), parts)
+        for u, ps in zip(own, cut, strict=True):
+            known[u] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+
+    def forget(self) -> None:
+        """Keep one older generation of what is known, so that memory stays bounded."""
+        self.old, self.known = self.known, {}
+        self.parts.clear()
+
+    def library(self, text: str) -> bytes:
+        """Ids of a text as the tokenizers library gives them."""
+        from tokenizers import Tokenizer
+
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        out = []
+        """Ids of each text. Texts are cut once, and what is new in any of them is learnt together."""
+        plain: list[str] = []
+        made: list[list[tuple[str, int]]] = []  # per text: ("text", place in plain) or ("id", id)
         for text in texts:
-            if self.special is not None and self.special.search(text):
+            if self.special is not None and "<|" in text and self.special.search(text):
                 parts, at = [], 0
                 for m in self.special.finditer(text):
-                    parts += [self._plain(text[at : m.start()]), np.array([self.bpe.special[m[0]]], np.uint16)]
+                    parts += [("text", len(plain)), ("id", self.bpe.special[m[0]])]
+                    plain.append(text[at : m.start()])
                     at = m.end()
-                out.append(np.concatenate([*parts, self._plain(text[at:])]))
+                made.append([*parts, ("text", len(plain))])
+                plain.append(text[at:])
             else:
-                out.append(self._plain(text))
+                made.append([("text", len(plain))])
+                plain.append(text)
+        cut = [self.split(t) for t in plain]
+        if len(self.known) > self.most:
+            self.forget()
+        units: set[str] = set()
+        for own in cut:
+            units.update(own)
+        if len(units) <= self.most:
+            self.learn(units)
+            ids = [self._joined(own, t) for own, t in zip(cut, plain, strict=True)]
+        else:
+            ids = [b"".join(self._learnt(own[i : i + self.most], t) for i in range(0, len(own), self.most)) for own, t in zip(cut, plain, strict=True)]
+            ids = [self.library(t) if len(own) > self.most and not self.words and any(self.odd(u) for u in own) else x for x, own, t in zip(ids, cut, plain, strict=True)]
+        out = []
+        for parts in made:
+            if len(parts) == 1:
+                out.append(np.frombuffer(ids[parts[0][1]], np.uint16))
+            else:
+                out.append(np.concatenate([np.frombuffer(ids[x], np.uint16) if kind == "text" else np.array([x], np.uint16) for kind, x in parts]))
         return out
 
-    def _plain(self, text: str) -> np.ndarray:
-        units = self.split(text)
-        return np.frombuffer(self._joined(units), np.uint16)
+    def odd(self, unit: str) -> bool:
+        return MAYBE_UNASSIGNED.search(unit) is not None and any(unicodedata.category(c) == "Cn" for c in unit)
+
+    def _learnt(self, units: list[str], text: str) -> bytes:
+        """Ids of some units of a text, with the cache emptied before them."""
+        self.forget()
+        self.learn(set(units))
+        return b"".join([self.known[u] or b"" for u in units])
 
-    def _joined(self, units: list[str]) -> bytes:
+    def _joined(self, units: list[str], text: str) -> bytes:
         try:
             return b"".join(map(self.known.__getitem__, units))
-        except KeyError:
-            pass
-        if len(units) > self.most // 2:
-            return b"".join(self._joined(units[i : i + self.most // 2]) for i in range(0, len(units), self.most // 2))
-        try:
-            self.learn(set(units))
-        except _Cleared:
-            self.learn(set(units))
-        return b"".join(map(self.known.__getitem__, units))
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the units of many texts together: merges work best on many words at once."""
-        units: set[str] = set()
-        for text in texts:
-            units.update(self.split(text))
-        if len(units) <= self.most // 2:
-            try:
-                self.learn(units)
-            except _Cleared:
-                self.learn(units)
+        except TypeError:  # an odd piece
+            return self.library(text)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         every = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
@@ -155,10 +197,6 @@ class Encoder:
         return [raw[at[a] : at[b]].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-class _Cleared(Exception):
-    """The cache was emptied; what was known of the present texts is to be learnt anew."""
-
-
 def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) -> list[str]:
     """The most frequent pieces of all texts, so many of each of COUNT_BUCKETS hash ranges."""
     share = max(1, pieces // COUNT_BUCKETS)
@@ -171,7 +209,7 @@ def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
         def flush():
             out: Counter[str] = Counter()
             for unit, n in units.items():
-                for p in encoder._pieces_of(unit) if encoder_words else BYTE_PIECES.findall(" " + unit):
+                for p in encoder.pieces_of([unit])[0] if encoder_words else BYTE_PIECES.findall(" " + unit):
                     out[p] += n
             rows: list[list] = [[[], []] for _ in range(COUNT_BUCKETS)]
             for p, n in out.items():
@@ -226,8 +264,9 @@ def shared_lexicon(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
     return name
 
 
+@cache
 def worker_encoder(path: str, name: str | None) -> Encoder:
-    """An encoder on a worker, over the memory-mapped lexicon."""
+    """This worker's encoder, over the memory-mapped lexicon; its cache serves one task after another."""
     return Encoder(path, Lexicon(np.memmap(SparkFiles.get(name), np.uint32, "r")) if name else None)
 
 
@@ -237,7 +276,6 @@ def encoded_batches(batches, encoder: Encoder, texts_at_once: int = 512):
         for at in range(0, batch.num_rows, texts_at_once):
             part = batch.slice(at, texts_at_once)
             texts = part.column("text").to_pylist()
-            encoder.prepare(texts)
             yield part, texts, encoder.encode(texts)
 
 

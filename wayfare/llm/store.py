@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import textnum
 from wayfare.llm.common import text_column
-from wayfare.llm.encoding import Encoder, encoded_batches
+from wayfare.llm.encoding import encoded_batches, worker_encoder
 
 END_ID = 1
 SPAN = 8
@@ -104,7 +104,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
 
     def chunked(batches):
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer, None)
         met: set[bytes] = set()
         for part, _, every in encoded_batches(batches, encoder):
             keys, bodies, recipes, counts = [], [], [], []
