@@ -105,13 +105,14 @@ def build(df: DataFrame, keys_of, expected: int, thresholds: tuple[tuple[int, in
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([total[segment]], pa.int64()), pa.array([bits], pa.list_(pa.binary()))], names=["segment", "n", "bits"])
 
     sent = df.mapInArrow(parts, "segment int, n long, gaps binary, big binary")
-    rows = sent.repartition(min(ROWS * segments, 64), "segment").mapInArrow(merged, "segment int, n long, bits array<binary>").collect()  # one row a segment, bounded by MAX_LOG_CELLS
+    # one row a segment, bounded by MAX_LOG_CELLS, a partition of them at a time
+    rows = sent.repartition(min(ROWS * segments, 32), "segment").mapInArrow(merged, "segment int, n long, bits array<binary>").toLocalIterator()
+    n = 0
     tables = [[np.zeros(max(1, (1 << log_cells) // fold // 8), np.uint8) for _ in range(ROWS)] for _, fold in thresholds]
     for r in rows:
         row, segment = divmod(r.segment, segments)
         for t, (_, fold) in enumerate(thresholds):
             size = max(1, (1 << log_segment) // fold // 8)
-            tables[t][row][segment * size : (segment + 1) * size] = np.frombuffer(bytes(r.bits[t]), np.uint8)
-    n = sum(r.n for r in rows if r.segment < segments)
-    del rows  # before the broadcast copies the tables
+            tables[t][row][segment * size : (segment + 1) * size] = np.frombuffer(r.bits[t], np.uint8)
+        n += r.n if row == 0 else 0
     return Sketch(df.sparkSession.sparkContext.broadcast(tables), log_cells, tuple(f for _, f in thresholds), n)
