@@ -136,6 +136,23 @@ def test_markov_adds_random_strings_only(spark):
     assert MarkovPair.train(samples(spark).filter("label = 1")) is None
 
 
+def test_default_training_finds_planted_secrets(spark):
+    import random
+
+    rng = random.Random(11)
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    drawn = lambda alphabet, n, prefix="": prefix + "".join(rng.choice(alphabet) for _ in range(n))
+    secrets = [f() for f in (lambda: drawn(base62, 40), lambda: drawn(base62, 36, "ghp_"), lambda: drawn("0123456789ABCDEF", 32), lambda: drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32)) for _ in range(25)]
+    parts = ["load", "customer", "invoice", "balance", "history", "internal", "retry", "monthly", "summary", "validate", "archive"]
+    names = ["_".join(rng.choice(parts) for _ in range(4)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(names + secrets)] + [(-1, "password=abcdef1"), (-2, "0123456789abcdef0123456789")], DOCS)
+    found = {r.doc_id: r.n_markov for r in secret_spans(docs).collect()}
+    assert sum(found[len(names) + i] for i in range(len(secrets))) >= 97
+    assert sum(found[i] for i in range(len(names))) == 0
+    masked = {r.doc_id: r.text for r in redacted(docs).collect()}
+    assert masked[len(names)] == "see [SECRET] here"
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a password=abcdef1 b", 20, "h", 3), (2, None, 0, "h", 3), (3, "clean", 5, "h", 3)], "doc_id long, text string, n_chars long, hex string, __all int")
     out = {r.doc_id: r for r in redacted(docs, samples(spark)).collect()}

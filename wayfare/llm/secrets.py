@@ -5,11 +5,13 @@ suppress one another. The method then reads the remaining tokens of 16 or more c
 first-order character chains, one of random strings and one of ordinary identifiers, are estimated from labelled
 samples with add-one smoothing; a token's score is its log-likelihood ratio per transition, and a token that scores
 above the threshold and overlaps no base span is added with kind ``markov``. The threshold is the midpoint between
-the 99.9th percentile of ordinary samples and the median of random ones (never below zero).
+what ordinary samples hardly reach (their median and four times their upper quartile's distance from it, in standard
+deviations, so that some secrets among them do not move it) and the 1st percentile of random ones, never below zero.
+Ordinary samples above it are then left out and the chains fitted once more.
 
-The labelled samples of the query are drawn from the corpus itself by ``corpus_samples``: values of base spans are
-random, the other long tokens of documents without base spans are ordinary. They may come from a bounded number of
-documents (``sample_docs``, taken by a hash of the text), as may any fitted model; scans read every whole text.
+The labelled samples of the query do not come from the patterns: random strings over several alphabets and identifiers
+made of common words (``made_samples``, the same each time) and, as ordinary, the other long tokens of all documents
+(``corpus_tokens``), each once.
 
 Defined results: null and empty texts have no spans; no samples of either label leaves the method silent, base spans
 stay; rows are scanned one by one, so equal rows have equal spans.
@@ -17,6 +19,7 @@ stay; rows are scanned one by one, so equal rows have equal spans.
 
 from __future__ import annotations
 
+import random
 import string
 
 import numpy as np
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import text_column
+from wayfare.plans.staging import cut
 
 # kind, pattern, group whose length counts, least length
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -40,6 +44,20 @@ SCAN = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 SPAN = "array<struct<s:int,e:int>>"
+#: Alphabets of random samples: base62, base64, base64 for addresses, base36, base32, hexadecimal.
+RANDOM = [string.ascii_letters + string.digits + x for x in ("", "+/", "_-")] + [string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_uppercase + "234567", "0123456789ABCDEF", "0123456789abcdef"]
+WORDS = """
+account active address admin array author block buffer build bytes cache channel check class client code column
+command config connection content context count create current data default delete device document driver element
+email enable encode error event exception export factory field file filter format function get group handle header
+height id image index info init input instance interface internal item key label language last length level line link
+list load local log manager map max message method model module name network node number object offset option order
+output owner package page parameter parent parse password path pattern permission plugin point policy port prefix
+process project property provider query queue range read record reference region remote render report request reset
+resource response result root row schema search select server service session set settings size source stack start
+state status storage stream string style system table target task template text thread time title token total trace
+type update upload url user util value version view widget width window worker write
+""".split()
 
 
 def _no_spans() -> Column:
@@ -88,15 +106,28 @@ def _tokens(df: DataFrame, into: str = "tokens") -> DataFrame:
     return df.withColumn(into, F.filter(found, lambda x: x["t"].rlike("[A-Za-z]"))).drop("__at", "__base")
 
 
-def corpus_samples(docs: DataFrame, sample_docs: int = 20_000) -> DataFrame:
-    """Labelled samples (text, label): 1 for values of base spans, 0 for long tokens of documents that hold none."""
-    n = docs.count()
-    rows = docs.select(text_column(docs).alias("text")).distinct() if n <= sample_docs else docs.select(text_column(docs).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * sample_docs / n) + 1)
-    rows = _tokens(base_spans(rows))
-    bare = lambda s: F.regexp_replace(piece(F.col("text"), s), "^" + ASSIGN, "")
-    values = F.transform(F.concat(*[F.col(k) for k, _, _ in KINDS]), bare)
-    ordinary = F.when(F.size(values) > 0, F.array().cast("array<string>")).otherwise(F.transform("tokens", lambda t: t["t"]))
-    return rows.select(F.explode_outer(F.concat(F.transform(values, lambda v: F.struct(v.alias("text"), F.lit(1).alias("label"))), F.transform(ordinary, lambda v: F.struct(v.alias("text"), F.lit(0).alias("label"))))).alias("x")).filter("x IS NOT NULL").select("x.*").distinct()
+def made_samples() -> list[tuple[str, int]]:
+    """Labelled samples (text, label): 1 for random strings over each of RANDOM, 0 for identifiers of several styles."""
+    rng = random.Random(20)
+    out = [("".join(rng.choice(a) for _ in range(rng.randint(16, 64))), 1) for a in RANDOM for _ in range(250)]
+    for _ in range(2000):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(2, 5))]
+        while sum(map(len, words)) < 16:
+            words.append(rng.choice(WORDS))
+        camel = "".join(w.title() for w in words)
+        out.append((rng.choice((camel, words[0] + camel[len(words[0]) :], "_".join(words), "-".join(words), "/".join(words), "_".join(words).upper())), 0))
+    return out
+
+
+def corpus_tokens(docs: DataFrame) -> DataFrame:
+    """The long tokens of all documents that overlap no base span, each once: text."""
+    rows = _tokens(base_spans(docs.select(text_column(docs).alias("text"))))
+    return rows.select(F.explode("tokens").alias("x")).select(F.col("x.t").alias("text")).distinct()
+
+
+def default_samples(docs: DataFrame) -> DataFrame:
+    made = docs.sparkSession.createDataFrame(made_samples(), "text string, label int")
+    return cut(corpus_tokens(docs).withColumn("label", F.lit(0)).unionByName(made))
 
 
 def transitions(text: Column) -> Column:
@@ -115,19 +146,23 @@ class MarkovPair:
         """From (text, label) rows; None where a label has no samples."""
         width = len(ALPHABET) + 1
         samples = samples.filter(F.char_length("text") > 1)
-        counts = samples.select("label", F.explode_outer(transitions(F.col("text"))).alias("k")).groupBy("label", "k").count().collect()  # at most 2 * 67 ** 2 rows
-        table = np.ones((2, width, width))
-        seen = [0, 0]
-        for row in counts:
-            table[row.label, row.k // width, row.k % width] += row["count"]
-            seen[row.label] += row["count"]
-        if not all(seen):
-            return None
-        logp = np.log(table / table.sum(axis=2, keepdims=True))
-        pair = cls((logp[1] - logp[0]).ravel(), 0.0)
-        scored = samples.withColumn("score", pair.score(F.col("text")))
-        marks = {r.label: r for r in scored.groupBy("label").agg(F.percentile_approx("score", F.array(F.lit(0.5), F.lit(0.999)), 10_000).alias("q")).collect()}
-        pair.threshold = max(0.0, (marks[0].q[1] + marks[1].q[0]) / 2)
+        pair, fitted = None, samples
+        for _ in range(2):
+            counts = fitted.select("label", F.explode_outer(transitions(F.col("text"))).alias("k")).groupBy("label", "k").count().collect()  # at most 2 * 67 ** 2 rows
+            table = np.ones((2, width, width))
+            seen = [0, 0]
+            for row in counts:
+                table[row.label, row.k // width, row.k % width] += row["count"]
+                seen[row.label] += row["count"]
+            if not all(seen):
+                return pair
+            logp = np.log(table / table.sum(axis=2, keepdims=True))
+            pair = cls((logp[1] - logp[0]).ravel(), 0.0)
+            scored = samples.withColumn("score", pair.score(F.col("text")))
+            marks = {r.label: r.q for r in scored.groupBy("label").agg(F.percentile_approx("score", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.75)), 10_000).alias("q")).collect()}
+            _, middle, upper = marks[0]
+            pair.threshold = max(0.0, (middle + 4 * (upper - middle) / 0.6745 + marks[1][0]) / 2)
+            fitted = scored.filter((F.col("label") == 1) | (F.col("score") <= F.lit(float(pair.threshold)))).select("text", "label")
         return pair
 
     def score(self, text: Column) -> Column:
@@ -157,7 +192,7 @@ def listed(kinds: list[str]) -> Column:
 
 def secret_spans(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov (see the module)."""
-    model = MarkovPair.train(corpus_samples(docs) if samples is None else samples)
+    model = MarkovPair.train(default_samples(docs) if samples is None else samples)
     rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
     kinds = [k for k, _, _ in KINDS]
     return rows.select(
@@ -172,7 +207,7 @@ def secret_spans(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame
 def redacted(docs: DataFrame, samples: DataFrame | None = None, mask: str = "[SECRET]") -> DataFrame:
     """docs, same columns, each text with its spans (merged where they overlap) replaced by the mask; texts without
     spans, nulls too, stay as they are."""
-    model = MarkovPair.train(corpus_samples(docs) if samples is None else samples)
+    model = MarkovPair.train(default_samples(docs) if samples is None else samples)
     # the given columns travel as one struct, so that none can clash with the columns of the scan
     rows = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text")), model)
     every = F.array_sort(F.concat(*[F.col(k) for k, _, _ in KINDS], F.col("markov")))
