@@ -452,7 +452,7 @@ def psl_and_or_select_link(spark, sf):
 
 
 def _net_pairs(spark, sf):
-    return route_choice.all_pairs(_zones(spark, sf)).filter("(origin + destination) % 6 = 0")  # the pairs asked for
+    return route_choice.all_pairs(_zones(spark, sf))
 
 
 @query()
