@@ -32,3 +32,32 @@ def test_subarea_takes_demand_of_all_pairs(spark, sf_dir):
     want = {(r.origin, r.destination): r.demand for r in route_choice.sub_area(chosen, model.demand(spark, sf_dir), "demand", gates, inside).collect()}
     got = {(r.origin, r.destination): r.demand for r in QUERIES["subarea_matrix"](spark, sf_dir).collect()}
     assert want and got == pytest.approx(want)
+
+
+def test_line_segments_of_all_stops(spark, sf_dir):
+    trips = {}
+    for r in model.stop_events(spark, sf_dir).collect():
+        if r.departure <= 86400:
+            trips.setdefault((r.pattern_id, r.trip_id), []).append((r.seq, r.stop))
+    want = {(f"L{p}_{p}", a[0], a[1], b[1]) for (p, _), x in trips.items() for a, b in zip(sorted(x), sorted(x)[1:], strict=False)}
+    got = [tuple(r) for r in QUERIES["line_segments"](spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want
+    nodes = QUERIES["transit_vertices"](spark, sf_dir).collect()
+    at = lambda kind: {(r.line_id, r.line_seg_idx, r.stop_id) for r in nodes if r.node_type == kind}
+    assert at("boarding") == {x[:3] for x in want} and at("alighting") == {(x[0], x[1], x[3]) for x in want}
+    place = {r.node_id: (r.line_id, r.line_seg_idx, r.stop_id) for r in nodes}
+    edges = QUERIES["transit_edges"](spark, sf_dir).collect()
+    ride = [(*place[e.a_node], place[e.b_node][2]) for e in edges if e.edge_type == "on-board"]
+    assert len(ride) == len(want) and set(ride) == want
+    assert all(place[e.a_node][2] == place[e.b_node][2] for e in edges if e.edge_type == "dwell")
+
+
+def test_segments_past_the_fourth_stop(spark):
+    from wayfare.operators import transit
+
+    rows = [("L_1", k, f"s{k}", f"s{k + 1}", 1.0, 60.0) for k in range(6)] + [("L_1", 5, "s5", "s0", 1.0, 60.0)]
+    segments = spark.createDataFrame(rows, "line_id string, line_seg_idx long, from_stop string, to_stop string, freq double, travel_time double")
+    stops = spark.createDataFrame([(f"s{k}", float(k), 0.0) for k in range(7)], "stop_id string, lon double, lat double")
+    nodes = transit.vertices(segments, stops, spark.createDataFrame([], "taz_id string, lon double, lat double"))
+    kinds = [e.edge_type for e in transit.edges(segments, nodes).collect()]
+    assert [kinds.count(k) for k in ("on-board", "boarding", "alighting", "dwell")] == [7, 6, 7, 5]

@@ -60,10 +60,10 @@ def vertices(segments: DataFrame, stops: DataFrame, zones: DataFrame, blocking:
     def of(kind: int, name: str, df: DataFrame, **given) -> DataFrame:
         return df.select(F.lit(kind).alias("__k"), F.lit(name).alias("node_type"), *[given.get(c, blank[c]).alias(c) for c in blank], "lon", "lat")
 
-    at = segments.select("line_id", F.col("line_seg_idx").cast("long").alias("line_seg_idx"), "from_stop", "to_stop")
+    at = lambda stop: segments.select("line_id", F.col("line_seg_idx").cast("long").alias("line_seg_idx"), F.col(stop).cast("string").alias("at")).distinct()
     where = stops.select(F.col("stop_id").cast("string").alias("stop_id"), "lon", "lat")
-    board = at.join(where, F.col("from_stop") == F.col("stop_id")).distinct()
-    alight = at.join(where, F.col("to_stop") == F.col("stop_id")).distinct()
+    board = at("from_stop").join(where, F.col("at") == F.col("stop_id")).distinct()
+    alight = at("to_stop").join(where, F.col("at") == F.col("stop_id")).distinct()
     parts = [
         of(1, "stop", where.distinct(), stop_id=F.col("stop_id")),
         of(2, "boarding", board, stop_id=F.col("stop_id"), line_id=F.col("line_id"), line_seg_idx=F.col("line_seg_idx")),
@@ -86,17 +86,22 @@ def _edge(df: DataFrame, kind: str, a: str, b: str, time: Column, freq: Column |
 
 
 def edges(segments: DataFrame, nodes: DataFrame, connectors: DataFrame | None = None, transfers: DataFrame | None = None) -> DataFrame:
-    """On-board, boarding, alighting and dwell edges, and given connectors and transfers; a_node is the tail."""
+    """On-board, boarding, alighting and dwell edges, and given connectors and transfers; a_node is the tail. A segment is
+    known by its line, index and stops, so trips of a line that differ in stops keep an edge each; a line dwells only
+    at the stop where a segment ends and the next begins."""
     node = lambda kind: nodes.filter(F.col("node_type") == kind)
     board = node("boarding").select(F.col("node_id").alias("board"), "line_id", "line_seg_idx", "stop_id")
     alight = node("alighting").select(F.col("node_id").alias("alight"), "line_id", "line_seg_idx", "stop_id")
     stop = node("stop").select(F.col("node_id").alias("at"), "stop_id")
     keys = ["line_id", "line_seg_idx"]
-    riding = segments.select("line_id", F.col("line_seg_idx").cast("long").alias("line_seg_idx"), "freq", "travel_time").dropDuplicates(keys)
-    onboard = _edge(riding.join(board, keys).join(alight.drop("stop_id"), keys), "on-board", "board", "alight", F.col("travel_time"))
-    boarding = _edge(board.join(riding, keys).join(stop, "stop_id"), "boarding", "at", "board", F.lit(TINY), F.col("freq"))
+    ends = ["from_stop", "to_stop"]
+    riding = segments.select("line_id", F.col("line_seg_idx").cast("long").alias("line_seg_idx"), *[F.col(c).cast("string").alias(c) for c in ends], "freq", "travel_time").dropDuplicates([*keys, *ends])
+    start, end = board.withColumnRenamed("stop_id", "from_stop"), alight.withColumnRenamed("stop_id", "to_stop")
+    onboard = _edge(riding.join(start, [*keys, "from_stop"]).join(end, [*keys, "to_stop"]), "on-board", "board", "alight", F.col("travel_time"))
+    starts = riding.dropDuplicates([*keys, "from_stop"]).select(*keys, F.col("from_stop").alias("stop_id"), "freq")
+    boarding = _edge(board.join(starts, [*keys, "stop_id"]).join(stop, "stop_id"), "boarding", "at", "board", F.lit(TINY), F.col("freq"))
     alighting = _edge(alight.join(stop, "stop_id"), "alighting", "alight", "at", F.lit(ALIGHT_PENALTY))
-    dwell = _edge(alight.withColumn("line_seg_idx", F.col("line_seg_idx") + 1).join(board.drop("stop_id"), keys), "dwell", "alight", "board", F.lit(DWELL))
+    dwell = _edge(alight.withColumn("line_seg_idx", F.col("line_seg_idx") + 1).join(board, [*keys, "stop_id"]), "dwell", "alight", "board", F.lit(DWELL))
     out = onboard.unionByName(boarding).unionByName(alighting).unionByName(dwell)
     for more in (connectors, transfers):
         if more is not None:

@@ -501,7 +501,7 @@ def pt_preload(spark, sf):
 def _lines(spark, sf):
     st = model.stop_events(spark, sf)
     routes = spark.range(7).select(F.col("id").alias("pattern_id"), F.concat(F.lit("L"), F.col("id").cast("string")).alias("shortname"))
-    return transit.line_segments(st.filter("seq < 4"), routes, 0, 86400)
+    return transit.line_segments(st, routes, 0, 86400)
 
 
 def _stops(spark, sf):
@@ -516,7 +516,7 @@ def line_segments(spark, sf):
 
 
 def _transit_graph(spark, sf):
-    segments = _lines(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("line_id", "line_seg_idx").orderBy("from_stop", "to_stop"))).filter("r = 1").drop("r")
+    segments = _lines(spark, sf)
     zones = model.nodes(spark, sf).filter("is_centroid").select(F.col("node_id").cast("string").alias("taz_id"), "lon", "lat")
     nodes = transit.vertices(segments, _stops(spark, sf), zones)
     return segments, nodes
