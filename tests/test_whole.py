@@ -61,3 +61,10 @@ def test_segments_past_the_fourth_stop(spark):
     nodes = transit.vertices(segments, stops, spark.createDataFrame([], "taz_id string, lon double, lat double"))
     kinds = [e.edge_type for e in transit.edges(segments, nodes).collect()]
     assert [kinds.count(k) for k in ("on-board", "boarding", "alighting", "dwell")] == [7, 6, 7, 5]
+
+
+def test_every_trip_is_expanded(spark, sf_dir):
+    clean = QUERIES["stop_times_clean"](spark, sf_dir).collect()
+    out = QUERIES["frequency_expansion"](spark, sf_dir).collect()
+    assert len(out) == 3 * len(clean)
+    assert {int(r.trip_id.split("-")[0]) for r in out} == {r.trip_id for r in clean}
