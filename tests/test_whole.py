@@ -68,3 +68,18 @@ def test_every_trip_is_expanded(spark, sf_dir):
     out = QUERIES["frequency_expansion"](spark, sf_dir).collect()
     assert len(out) == 3 * len(clean)
     assert {int(r.trip_id.split("-")[0]) for r in out} == {r.trip_id for r in clean}
+
+
+def test_rounds_do_not_end_silently(spark):
+    way = spark.createDataFrame([(k, k, k + 1, 1, 1.0) for k in range(1, 8)], "link_id long, a_node long, b_node long, direction int, cost double")
+    origin = spark.createDataFrame([(1,)], "origin long")
+    assert {r.node: r.cost for r in paths.bellman_ford(way, origin, "cost").collect()} == {k: k - 1.0 for k in range(1, 9)}
+    with pytest.raises(RuntimeError):
+        paths.bellman_ford(way, origin, "cost", max_rounds=3)
+    with pytest.raises(ValueError):
+        paths.bellman_ford(way.withColumn("cost", -F.col("cost")), origin, "cost")
+    spur = way.unionByName(way.select("link_id", F.col("b_node").alias("a_node"), F.col("a_node").alias("b_node"), F.lit(-1).alias("direction"), "cost"))
+    zones = spark.createDataFrame([(1,)], "node_id long")
+    assert graph.without_dead_ends(spur, zones).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.without_dead_ends(spur, zones, max_rounds=3)

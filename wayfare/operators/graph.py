@@ -7,6 +7,8 @@ they differ by way). A directed graph is keyed by (link_id, direction). All step
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,13 +98,14 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node_id").agg(F.sum("e.o").alias("n_out"), F.sum("e.i").alias("n_in"))
 
 
-def without_dead_ends(edges: DataFrame, centroids: DataFrame, max_rounds: int = 100) -> DataFrame:
+def without_dead_ends(edges: DataFrame, centroids: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Edges that a path between centroids may use. Round by round, over non-centroid nodes: edges out of nodes that
-    nothing enters go; so do all edges of nodes joined with one single neighbour. Nodes nothing leaves are left."""
+    nothing enters go; so do all edges of nodes joined with one single neighbour. Nodes nothing leaves are left. Rounds go on
+    until nothing changes; if max_rounds are not enough, that is an error."""
     kept = edges
     held = centroids.select("node_id").distinct()
     before = kept.count()
-    for _ in range(max_rounds):
+    for k in itertools.count(1):
         sides = kept.select(F.col("a_node").alias("n"), F.col("b_node").alias("m"), F.lit(True).alias("out")).unionByName(kept.select(F.col("b_node").alias("n"), F.col("a_node").alias("m"), F.lit(False).alias("out")))
         about = sides.groupBy(F.col("n").alias("node_id")).agg(F.sum((~F.col("out")).cast("int")).alias("i"), F.sum(F.col("out").cast("int")).alias("o"), F.min("m").alias("least"), F.max("m").alias("most"))
         gone = about.filter("(i = 0 AND o > 0) OR (i > 0 AND o > 0 AND least = most)").join(held, "node_id", "left_anti").select("node_id", (F.col("i") > 0).alias("spur"))
@@ -111,6 +114,8 @@ def without_dead_ends(edges: DataFrame, centroids: DataFrame, max_rounds: int =
         now = kept.count()
         if now == before:
             break
+        if k == max_rounds:
+            raise RuntimeError(f"there are dead ends still after {max_rounds} rounds")
         before = now
     return kept
 

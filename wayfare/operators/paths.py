@@ -7,6 +7,7 @@ the number of origins. Beyond that bound ``bellman_ford`` does the same search a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,14 +150,19 @@ def select_link(paths: DataFrame, demand: DataFrame, sets: dict[str, list[tuple[
     return loads, hit.select("set_name", "origin", "destination", "demand")
 
 
-def bellman_ford(edges: DataFrame, origins: DataFrame, cost: str, max_rounds: int = 1000) -> DataFrame:
+def bellman_ford(edges: DataFrame, origins: DataFrame, cost: str, max_rounds: int | None = None) -> DataFrame:
     """origin, node, cost by rounds of joins on the node until nothing improves: for networks that fit no single machine.
-    Only labels that improved go on to the next round."""
+    Only labels that improved go on to the next round. Costs are not negative; if max_rounds are not enough, that is an
+    error."""
+    if edges.filter(F.col(cost) < 0).limit(1).count():
+        raise ValueError("costs are negative")
     labels = cut(origins.select(F.col("origin").cast("long"), F.col("origin").cast("long").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("new")))
-    for _ in range(max_rounds):
+    for k in itertools.count(1):
         reached = labels.filter("new").join(edges.select(F.col("a_node").alias("node"), "b_node", F.col(cost).alias("step")), "node").select("origin", F.col("b_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(True).alias("new"))
         best = labels.withColumn("new", F.lit(False)).unionByName(reached).groupBy("origin", "node").agg(F.min(F.struct("cost", "new")).alias("b"))
         labels = cut(best.select("origin", "node", "b.cost", "b.new"))
         if not labels.filter("new").limit(1).count():
             break
+        if k == max_rounds:
+            raise RuntimeError(f"labels still improve after {max_rounds} rounds")
     return labels.select("origin", "node", "cost")
