@@ -83,3 +83,15 @@ def test_rounds_do_not_end_silently(spark):
     assert graph.without_dead_ends(spur, zones).count() == 0
     with pytest.raises(RuntimeError):
         graph.without_dead_ends(spur, zones, max_rounds=3)
+
+
+def test_logit_and_distances_of_all_pairs(spark, sf_dir):
+    assert pairs(QUERIES["psl_probabilities"](spark, sf_dir)) == EVERY_PAIR
+    assert pairs(QUERIES["distances_and_bearings"](spark, sf_dir)) == EVERY_PAIR
+    between = float(model.demand(spark, sf_dir).filter("origin <> destination").agg(F.sum("demand")).first()[0])
+    loads = {r.link_id: r.demand for r in QUERIES["psl_link_loads"](spark, sf_dir).collect()}
+    assert sum(loads[k] for k in loads if k <= 25) == pytest.approx(between)  # a route's first link is its origin
+    demand = {(r.origin, r.destination) for r in model.demand(spark, sf_dir).collect()} & EVERY_PAIR
+    # origins of 0 modulo 5 have 31 as the link of their second route, those of 1 of their first
+    found = pairs(QUERIES["psl_and_or_select_link"](spark, sf_dir))
+    assert {p for p in demand if p[0] % 5 in (0, 1)} <= found <= demand

@@ -410,7 +410,7 @@ def gravity_calibrated(spark, sf):
 
 
 def _enumerated(spark, sf):
-    pairs = route_choice.all_pairs(_zones(spark, sf)).filter("destination = origin % 25 + 1")
+    pairs = route_choice.all_pairs(_zones(spark, sf))
     k = F.sequence(F.lit(0), F.lit(2))
     return pairs.withColumn("route_id", F.explode(k)).select("origin", "destination", F.col("route_id").cast("long"), F.array(F.col("origin"), (F.col("origin") % 5 + 30 + F.col("route_id")).cast("long"), (F.col("destination") + 60 + F.col("route_id") % 2).cast("long")).alias("links"))
 
@@ -659,7 +659,7 @@ SELECT a.node_id AS origin, b.node_id AS destination, round(2 * 6371000 * asin(s
 def distances_and_bearings(spark, sf):
     z = model.nodes(spark, sf).filter("is_centroid").select("node_id", "lon", "lat")
     a, b = z.toDF("origin", "x1", "y1"), z.toDF("destination", "x2", "y2")
-    pairs = a.join(b, F.col("destination") == F.col("origin") % 25 + 1)
+    pairs = a.crossJoin(b).filter("origin <> destination")
     return pairs.select("origin", "destination", F.round(geo.haversine("x1", "y1", "x2", "y2"), 3).alias("metres"), F.round(geo.bearing("x1", "y1", "x2", "y2"), 9).alias("bearing"))
 
 
