@@ -93,6 +93,21 @@ def test_words_and_runs():
     assert at.tolist() == [0, 1, 3]
 
 
+def test_second_hash_of_a_window_does_not_follow_from_the_first():
+    one, base = np.uint64(1), textnum.RUN_BASE
+    a = textnum.mix(np.arange(2, dtype=np.uint64))
+    hashes = np.array([a[0], a[1], a[0] + base, a[1] - one], np.uint64)  # a collision: a0 + a1 * base both times
+    first = np.array([0, 2, 4])
+    h, at = textnum.runs(hashes, first, 2)
+    assert at.tolist() == [0, 2] and h[0] == h[1]
+    other, _ = textnum.runs(hashes, first, 2, textnum.RUN_BASE_2)
+    assert other[0] >> np.uint64(32) != other[1] >> np.uint64(32)
+    words = textnum.Words(*textnum.buffers(pa.array(["a b c a b", "x a b"])))
+    h, _ = textnum.runs(words.hashes(), words.first, 2)
+    h2 = substrings._second(words, words.hashes(), 2)
+    assert h2[0] == h2[3] == h2[5] and len(set(h2.tolist())) == len(set(h.tolist())) == 4
+
+
 def sets_of(rows, gram):
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     out = []

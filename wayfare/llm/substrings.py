@@ -2,7 +2,7 @@
 
 Method: a count-min prefilter. Partition sketches of the window hashes are merged (``sketch``); only windows whose
 estimate is two or more go on, and as estimates never fall short, no repeated window is lost. The second pass groups
-those exactly, by a 96-bit hash: each task keeps, of its own equal windows, the earliest, and sends that one alone to
+those by 96 bits of two sums of their word hashes (64 bits), over different bases: each task keeps, of its own equal windows, the earliest, and sends that one alone to
 the group's segment, so a window that a third of the corpus holds costs a segment one entry a task. Segments answer
 with the places that are not the earliest; texts and answers meet by ranges of hashed doc_id.
 
@@ -86,7 +86,14 @@ def _ordinals(batch: pa.RecordBatch) -> np.ndarray:
 
 def _windows(part: pa.RecordBatch, k: int):
     words = textnum.Words(*textnum.buffers(part.column("text")))
-    return words, *textnum.runs(words.hashes(), words.first, k)
+    hashes = words.hashes()
+    return words, hashes, *textnum.runs(hashes, words.first, k)
+
+
+def _second(words: textnum.Words, hashes: np.ndarray, k: int) -> np.ndarray:
+    """32 bits of the windows' second hash, which does not follow from the first."""
+    h, _ = textnum.runs(hashes, words.first, k, textnum.RUN_BASE_2)
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def _answers(entry: dict[str, np.ndarray], segments: int, buckets: int):
@@ -123,7 +130,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def keys(batch):
         for part in textnum.slices(batch, "text", SLICE_BYTES):
-            yield _windows(part, window)[1]
+            yield _windows(part, window)[2]
 
     expected = n_bytes // 6 + 1
     seen = sketch.build(base.select("text"), keys, expected, ((2, 1),))
@@ -135,8 +142,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         n = 0
 
         def flush():
-            h, ord_, dup, start = (np.concatenate(x) for x in zip(*held, strict=True))
-            h2 = (textnum.mix(h ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
+            h, h2, ord_, dup, start = (np.concatenate(x) for x in zip(*held, strict=True))
             first = _earliest(h, h2, _order(ord_, start))
             rest = ~first
             entry = {"ord": ord_[rest], "dup": dup[rest], "start": start[rest], "h1": h[rest], "h2": h2[rest]}
@@ -153,11 +159,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         for batch in batches:
             for part in textnum.slices(batch, "text", SLICE_BYTES):
-                words, h, at = _windows(part, window)
+                words, hashes, h, at = _windows(part, window)
                 hot = seen.levels(h) > 0
-                h, at = h[hot], at[hot]
+                if not hot.any():
+                    continue
+                h, h2, at = h[hot], _second(words, hashes, window)[hot], at[hot]
                 doc = words.texts()[at]
-                held.append((h, _ordinals(part)[doc], part.column("dup").to_numpy().astype(np.int32)[doc], (at - words.first[doc]).astype(np.uint32)))
+                held.append((h, h2, _ordinals(part)[doc], part.column("dup").to_numpy().astype(np.int32)[doc], (at - words.first[doc]).astype(np.uint32)))
                 n += len(h)
                 if n >= UNIT:
                     yield from flush()

@@ -13,6 +13,8 @@ import pyarrow as pa
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 RUN_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: For a second hash of runs that does not follow from the first.
+RUN_BASE_2 = np.uint64(0xE7037ED1A0B428DB)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -97,17 +99,17 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def runs(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def runs(hashes: np.ndarray, first: np.ndarray, k: int, base: np.uint64 = RUN_BASE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k consecutive words within a text, and the places of their first words."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(n + 1, np.uint64)
-    pw = powers(RUN_BASE, n + 1)
+    pw = powers(base, n + 1)
     np.cumsum(hashes * pw[:n], out=total[1:])
     last = np.repeat(first[1:], np.diff(first))[: n - k + 1]  # end of the text of each word
     at = np.flatnonzero(np.arange(k, n + 1) <= last)
-    h = (total[at + k] - total[at]) * pw[n - at] * _inverse(RUN_BASE, n)
+    h = (total[at + k] - total[at]) * pw[n - at] * _inverse(base, n)
     return mix(h + np.uint64(k)), at
 
 
