@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wayfare.llm import jaccard, sketch, substrings, textnum
+from wayfare.llm import jaccard, sketch, substrings, textnum, units
 from wayfare.llm.components import local_components, star_components
 from wayfare.llm.jaccard import jaccard_components, link_overlap
 from wayfare.llm.substrings import dedup_substrings
@@ -56,29 +56,86 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("unit", "partitions"), [(1_500_000, 3), (50, 5)])
-def test_substrings_are_brute_force(spark, monkeypatch, unit, partitions):
+@pytest.mark.parametrize(("least_unit", "partitions"), [(1 << 20, 3), (2000, 5)])
+def test_substrings_are_brute_force(spark, monkeypatch, least_unit, partitions):
     rows = corpus()
-    monkeypatch.setattr(substrings, "UNIT", unit)
+    monkeypatch.setattr(units, "LEAST_UNIT", least_unit)
     docs = spark.createDataFrame([(*r, 1, "z") for r in rows], DOCS + ", segment int, ord string").repartition(partitions)
     assert removed(dedup_substrings(docs)) == brute_substrings(rows)
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def long_words():
+    """Words that sums of powers modulo a power of two cannot tell apart, and long random ones that differ in a letter."""
+    rng = random.Random(5)
+    out = [(thue_morse(n), thue_morse(n, "ba")) for n in (1024, 2048, 4096)]
+    for n in (33, 1000, 50_000):
+        word = "".join(rng.choice("abcdefgh") for _ in range(n))
+        at = rng.randrange(n)
+        out.append((word, word[:at] + "z" + word[at + 1 :]))
+    return out
+
+
+def test_long_words_that_differ_have_other_hashes():
+    pairs = long_words()
+    words = textnum.Words(*textnum.buffers(pa.array([w for p in pairs for w in p])))
+    for salt in (0, 1):
+        assert len(set(words.hashes(salt=salt).tolist())) == 2 * len(pairs)
+    assert not set(words.hashes().tolist()) & set(words.hashes(salt=1).tolist())
+
+
+def test_windows_and_texts_of_long_words_are_told_apart(spark):
+    common = [f"w{i}" for i in range(19)]
+    rows = []
+    for a, b in long_words():
+        rows += [(len(rows), " ".join([*common, a])), (len(rows) + 1, " ".join([*common, b])), (len(rows) + 2, a), (len(rows) + 3, b)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert all(r[2] == 0 for r in removed(dedup_substrings(docs)))
+    assert components(jaccard_components(docs)) == brute_components(rows)
+
+
 def test_substrings_empty(spark):
     assert dedup_substrings(spark.createDataFrame([], DOCS)).count() == 0
     assert removed(dedup_substrings(spark.createDataFrame([(1, None)], DOCS))) == brute_substrings([(1, None)])
 
 
-def test_sketch_never_underestimates(spark):
-    keys = [int(x) for x in np.random.RandomState(0).randint(0, 3000, 20000)]
-    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(7)
-    seen = sketch.build(df, lambda b: [textnum.mix(b.column("k").to_numpy().view(np.uint64))], 20000, ((2, 1), (5, 4)))
-    counts = Counter(keys)
-    every = np.array(sorted(counts), np.int64)
-    levels = seen.levels(textnum.mix(every.view(np.uint64)))
-    assert all(lv >= (counts[int(k)] >= 2) + (counts[int(k)] >= 5) for k, lv in zip(every, levels, strict=True))
-    absent = np.arange(10_000, 30_000)
-    assert (seen.levels(textnum.mix(absent.view(np.uint64))) > 0).mean() < 0.2
+def sketched(spark, keys_by_unit, shape):
+    """Levels of each unit's keys, by way of a plan."""
+    rows = [(u, np.asarray(k, np.uint64).tobytes()) for u, k in keys_by_unit.items()]
+    df = spark.createDataFrame(rows, "unit long, keys binary").repartition(3)
+    keys_of = lambda g: np.concatenate([np.frombuffer(x, np.uint64) for x in g.column("keys").to_pylist()])
+    answers = sketch.answered(df, "unit", keys_of, shape).toArrow()
+    unit = answers.column("unit").to_numpy()
+    return {u: shape.levels(np.asarray(k, np.uint64), answers.filter(pa.array(unit == u))) for u, k in keys_by_unit.items()}
+
+
+@pytest.mark.parametrize("thresholds", [(2,), (2, 5, 40)])
+def test_sketch_never_underestimates(spark, thresholds):
+    rng = np.random.RandomState(0)
+    by_unit = {u: textnum.mix(rng.randint(0, 3000, 4000 if u else 1).astype(np.uint64)) for u in range(6)}
+    by_unit[7] = textnum.mix(np.arange(10_000, 20_000).astype(np.uint64))
+    counts = Counter(int(k) for ks in by_unit.values() for k in ks)
+    got = sketched(spark, by_unit, sketch.Sketch(30_000, thresholds))
+    for u, keys in by_unit.items():
+        true = [sum(counts[int(k)] >= t for t in thresholds) for k in keys]
+        assert (got[u] >= true).all()
+        assert (got[u] > true).mean() < 0.2
+
+
+def test_sketch_grows_with_its_keys():
+    """The share of keys that occur once and pass as repeated stays small at any number of keys; one unit is enough here,
+    as cells and segments follow from the expected number alone."""
+    for n in (10_000, 100_000, 3_000_000):
+        shape = sketch.Sketch(n, (2,))
+        keys = textnum.mix(np.arange(n, dtype=np.uint64))
+        asked = shape.asked(0, keys)
+        segment = asked.column("segment").to_numpy()
+        answers = pa.concat_tables([shape.answer(asked.filter(pa.array(segment == s))) for s in np.unique(segment)])
+        assert (shape.levels(keys, answers) > 0).mean() < 0.2
+    assert sketch.Sketch(10**13, (2,)).log_cells >= 44
 
 
 def test_words_and_runs():
@@ -101,11 +158,7 @@ def test_second_hash_of_a_window_does_not_follow_from_the_first():
     h, at = textnum.runs(hashes, first, 2)
     assert at.tolist() == [0, 2] and h[0] == h[1]
     other, _ = textnum.runs(hashes, first, 2, textnum.RUN_BASE_2)
-    assert other[0] >> np.uint64(32) != other[1] >> np.uint64(32)
-    words = textnum.Words(*textnum.buffers(pa.array(["a b c a b", "x a b"])))
-    h, _ = textnum.runs(words.hashes(), words.first, 2)
-    h2 = substrings._second(words, words.hashes(), 2)
-    assert h2[0] == h2[3] == h2[5] and len(set(h2.tolist())) == len(set(h.tolist())) == 4
+    assert other[0] != other[1]
 
 
 def sets_of(rows, gram):
@@ -157,7 +210,7 @@ def components(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize(("gram", "percent", "tile_sets"), [(4, 85, 2048), (5, 80, 5)])
+@pytest.mark.parametrize(("gram", "percent", "tile_sets"), [(4, 85, 2048), (5, 80, 5), (4, 85, 2)])
 def test_components_are_brute_force(spark, gram, percent, tile_sets):
     rows = near_copies()
     docs = spark.createDataFrame([(*r, "c") for r in rows], DOCS + ", class string").repartition(4)
@@ -179,6 +232,30 @@ def test_link_overlap_is_the_definition():
 
 def test_star_components_on_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 300)]
-    got = {r.node: r.root for r in star_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, 150: 100}
+    for most in (2_000_000, 7):  # one part, and stars over several
+        got = {r.node: r.root for r in star_components(spark.createDataFrame(edges, "u long, v long"), most).collect()}
+        assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, 150: 100}
     assert local_components(5, np.array([3, 1]), np.array([4, 3])).tolist() == [0, 1, 2, 1, 1]
+
+
+def test_edges_of_a_gram_hold_every_link():
+    """All pairs of classes that pass the filters are within components, whether a gram has few classes or many."""
+    rng = random.Random(8)
+    sets = []
+    for _ in range(60):
+        own = set(rng.sample(range(4000), rng.randint(5, 60)))
+        for _ in range(rng.randint(1, 6)):
+            sets.append(np.unique(textnum.mix(np.array(sorted(own - set(rng.sample(sorted(own), 1)) | {rng.randrange(4000)}), np.uint64))))
+    classes = np.arange(len(sets)) * 3 + 1
+    sizes = np.array([len(x) for x in sets])
+    counts = Counter(int(g) for x in sets for g in x)
+    ordered = [sorted(x.tolist(), key=lambda g: (counts[g], g)) for x in sets]
+    rows = [(g, i, k) for i, x in enumerate(ordered) for k, g in enumerate(x[: sizes[i] - jaccard.least_overlap(sizes[i], 85) + 1])]
+    h, who, place = (np.array(x) for x in zip(*rows, strict=True))
+    vectors = jaccard.range_counts(sets)
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert len(links) > 20
+    for near in (1, 16):
+        u, v = jaccard.candidate_edges(h.astype(np.uint64), classes[who], sizes[who], place, vectors[who], 85, near)
+        label = dict(zip(classes.tolist(), local_components(len(sets), np.searchsorted(classes, u), np.searchsorted(classes, v)).tolist(), strict=True))
+        assert all(label[classes[i]] == label[classes[j]] for i, j in links)

@@ -4,21 +4,27 @@ Words are lower-cased (A-Z) runs between white space; a text of fewer words than
 gram, a text without words has the empty set and is linked with nothing. Texts of equal sets are one class.
 
 Method, over classes, with 64-bit gram hashes:
-1. A merged count-min sketch estimates how many classes hold a gram. Grams that certainly occur once cannot be shared.
+1. Texts are hashed once; of each class one text a task travels on, in units (``units``), where classes meet. A
+   count-min sketch by cell range (``sketch``) estimates how many classes hold a gram. Grams that certainly occur once
+   cannot be shared.
 2. Rare-first prefix filtering: each class's grams are ordered by estimate level, then hash, one order for all; of n
    grams the first n - ceil(0.85 n) + 1 are its prefix, and two linked classes share a prefix gram. Prefix grams that
-   may be shared are sent to the segment of their hash. A gram's classes, in order of set size, fall into runs within
-   the length filter; a segment sends one edge per class of a run, never its pairs, and the components of these edges
-   (neighbourhoods) hold every link.
-3. Sets travel once, to their neighbourhood. There, in-memory prefix lists give candidate pairs, which pass the
-   length filter, the positional filter (what can still follow the first common prefix gram) and the suffix filter
-   (the difference of the sets' counts over 64 ranges of hashes), and are verified once, exactly. Pairs already in
-   one component are not verified again: no link between components is lost, and a group of thousands of copies
-   costs about a comparison a member. Neighbourhoods beyond ``TILE_BYTES`` are dealt into tiles and worked on by
-   pairs of tiles, so no task holds one whole; tile results are joined by another round of components.
+   may be shared are sent to the segment of their hash, with their place in the order and the counts of the set over
+   ``RANGES`` ranges of hashes. There the classes of a gram, in order of set size, are compared with the ``NEAR``
+   classes after them: by length, by position (what can still follow the first common prefix gram) and by suffix (the
+   difference of the counts). What passes is an edge; classes of a gram that more hold are also linked along the order
+   of size, as far as lengths allow. A segment sends one edge per class, never its pairs, and the components of these
+   edges (neighbourhoods) hold every link.
+3. Sets travel once, from their unit to their neighbourhood. There, in-memory prefix lists give candidate pairs, which
+   pass the same three filters and are verified once, exactly. Pairs already in one component are not verified again:
+   no link between components is lost, and a group of thousands of copies costs about a comparison a member.
+   Neighbourhoods beyond ``TILE_BYTES`` are dealt into tiles. Each tile is worked on with a first tile of all; then
+   only what is not in the neighbourhood's main component meets all tiles, so no task holds one whole, and a large
+   group of copies costs what its size is, not the square.
 
 Defined results: null text is empty; a text's component_id is the least doc_id reachable by links, itself included;
-rows that share a doc_id are judged by their own texts; rows without doc_id do not lower a component_id.
+rows that share a doc_id are judged by their own texts; rows without doc_id do not lower a component_id. Grams and sets
+are held to be equal by 64 bits of hashes without structure (``textnum``).
 """
 
 from __future__ import annotations
@@ -28,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm import sketch, textnum
+from wayfare.llm import sketch, textnum, units
 from wayfare.llm.common import staged, text_column
-from wayfare.llm.components import local_components, star_components
+from wayfare.llm.components import joined_up, lookup, star_components
 
 GRAM = 4
 PERCENT = 85
@@ -38,13 +44,17 @@ SLICE_BYTES = 1 << 21
 TILE_BYTES = 1 << 24
 TILE_SETS = 2048
 RANGES = 64
-LOG_FILTER = 26
-THRESHOLDS = ((2, 1), (8, 8), (32, 16))
+POSTED_RANGES = 32
+NEAR = 16
+SEGMENT_KEYS = 4_000_000
+THRESHOLDS = (2, 8, 32)
+#: Classes that a task remembers to have sent.
+MOST_MET = 1_000_000
+POSTING = (("grams", np.uint64), ("classes", np.int64), ("sizes", np.int32), ("places", np.int32), ("counts", np.uint8))
 
 
-def gram_sets(part: pa.RecordBatch, gram: int = GRAM) -> tuple[list[np.ndarray], np.ndarray]:
+def gram_sets(words: textnum.Words, gram: int = GRAM) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct gram hashes of each text, and the texts' class ids (0 for empty sets)."""
-    words = textnum.Words(*textnum.buffers(part.column("text")))
     hashes = words.hashes(folded=True)
     h, at = textnum.runs(hashes, words.first, gram)
     cuts = np.searchsorted(at, words.first)
@@ -139,171 +149,207 @@ def _verified(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> np.nda
     return out
 
 
-class Members:
-    """Which (class, doc_id) pairs are in a set: one bit each of 2 ** LOG_FILTER, so a few others may seem to be."""
-
-    def __init__(self, pairs: DataFrame):
-        """pairs: class, doc_id. The bits, a fixed 8 MB however many pairs there are, are joined on the driver."""
-        bits = np.zeros(1 << (LOG_FILTER - 3), np.uint8)
-
-        def present(batches):
-            own = np.zeros(1 << (LOG_FILTER - 3), np.uint8)
-            for batch in batches:
-                cell = _cell(batch.column("class").to_numpy(), _ordinals(batch))
-                np.bitwise_or.at(own, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
-            held = np.flatnonzero(own)
-            if len(held):
-                yield pa.RecordBatch.from_arrays([pa.array([held.astype(np.uint32).tobytes()], pa.binary()), pa.array([own[held].tobytes()], pa.binary())], names=["at", "bits"])
-
-        for r in pairs.select("class", "doc_id").mapInArrow(present, "at binary, bits binary").toLocalIterator():
-            bits[np.frombuffer(bytes(r["at"]), np.uint32)] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-        self.shared = pairs.sparkSession.sparkContext.broadcast(bits)
-
-    def mask(self, classes: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
-        cell = _cell(classes, ordinals)
-        return ((self.shared.value[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
-
-def _cell(classes: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
-    return textnum.mix(classes.view(np.uint64) ^ textnum.mix(ordinals.view(np.uint64))) >> np.uint64(64 - LOG_FILTER)
-
-
-def _ordinals(batch: pa.RecordBatch) -> np.ndarray:
-    return np.ascontiguousarray(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
+def range_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many grams of each set fall into each of POSTED_RANGES ranges of hashes, 255 for more."""
+    flat = np.concatenate(sets)
+    at = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) * POSTED_RANGES + (flat >> np.uint64(59)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=len(sets) * POSTED_RANGES), 255).astype(np.uint8).reshape(len(sets), POSTED_RANGES)
+
+
+def candidate_edges(h: np.ndarray, c: np.ndarray, size: np.ndarray, place: np.ndarray, counts: np.ndarray, percent: int, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes that may be linked, so that every link between classes of one gram is within a component."""
+    by = np.lexsort((c, size, h))
+    h, c, size, place, counts = h[by], c[by], size[by].astype(np.int64), place[by].astype(np.int64), counts[by]
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, near + 1):
+        at = np.flatnonzero(h[d:] == h[:-d])
+        if not len(at):
+            break
+        a, b = size[at], size[at + d]
+        need = link_overlap(a, b, percent)
+        fit = (100 * a >= percent * b) & (c[at] != c[at + d]) & (1 + np.minimum(a - place[at] - 1, b - place[at + d] - 1) >= need)
+        at = at[fit]
+        room = (a + b - 2 * need)[fit]
+        apart = np.abs(counts[at].astype(np.int16) - counts[at + d]).sum(axis=1)  # no more than what the sets differ by
+        at = at[apart <= room]
+        u.append(c[at])
+        v.append(c[at + d])
+    if len(h) > near + 1:
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        many = np.repeat(np.diff(begin, append=len(h)) > near + 1, np.diff(begin, append=len(h)))
+        at = np.flatnonzero(many[:-1] & (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:]))
+        u.append(c[at])
+        v.append(c[at + 1])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def _docs_row(part: pa.RecordBatch, classes: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """One row with the documents of a slice; the columns of units are null there."""
+    known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+    ids = np.ascontiguousarray(part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    own = [x.tobytes() for x in (ids, known.astype(np.uint8), classes, sizes.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] + [pa.nulls(1, pa.binary())] * 4 + [pa.array([x], pa.binary()) for x in own], names=[*units.NAMES, *DOCS])
+
+
+DOCS = ["ids", "known", "classes", "shingles"]
+SIGNED = units.DDL + ", " + ", ".join(f"{c} binary" for c in DOCS)
+
+
+def _documents(batches):
+    """doc_id, class, n_shingles of the rows that _docs_row made."""
+    for batch in batches:
+        for ids, known, classes, sizes in zip(*(batch.column(c).to_pylist() for c in DOCS), strict=True):
+            ids, known, classes, sizes = np.frombuffer(ids, np.int64), np.frombuffer(known, np.uint8), np.frombuffer(classes, np.int64), np.frombuffer(sizes, np.int64)
+            yield _rows({"doc_id": (pa.array(ids, mask=known == 0), pa.int64()), "class": (pa.array(classes, mask=sizes == 0), pa.int64()), "n_shingles": (sizes, pa.int64())})
 
 
-def chosen_sets(batches, members: Members, gram: int):
-    """(sets, classes) of each slice's rows that are members and not empty."""
-    for batch in batches:
-        for part in textnum.slices(batch, "text", SLICE_BYTES):
-            sets, classes = gram_sets(part, gram)
-            own = np.flatnonzero(members.mask(classes, _ordinals(part)) & (classes != 0))
-            if len(own):
-                yield [sets[i] for i in own.tolist()], classes[own]
+def class_sets(group: pa.Table, gram: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Classes of a unit, ascending, and their sets."""
+    found: dict[int, np.ndarray] = {}
+    for keys, _, words in units.unpack(group):
+        if not all(k in found for k in keys.tolist()):
+            for k, own in zip(keys.tolist(), gram_sets(words, gram)[0], strict=True):
+                found.setdefault(k, own)
+    classes = np.array(sorted(found), np.int64)
+    return classes, [found[k] for k in classes.tolist()]
 
 
 def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile_bytes: int = TILE_BYTES, tile_sets: int = TILE_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id (see the module), a row per row of docs."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = units.unit_count(n_bytes)
 
     def signed(batches):
+        met: set[int] = set()
         for batch in batches:
             for part in textnum.slices(batch, "text", SLICE_BYTES):
-                sets, classes = gram_sets(part, gram)
-                sizes = np.array([len(x) for x in sets], np.int64)
-                yield _rows({"doc_id": (part.column("doc_id"), pa.int64()), "class": (pa.array(classes, mask=sizes == 0), pa.int64()), "n_shingles": (sizes, pa.int64())})
-
-    rows = staged(base.mapInArrow(signed, "doc_id long, class long, n_shingles long"), "classes")
-    # of each class one row stands for all from here on: copies add neither counts nor postings nor sets
-    owners = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    standing = Members(owners)
-
-    def keys(batch):
-        for sets, _ in chosen_sets([batch], standing, gram):
-            yield np.concatenate(sets)
-
-    seen = sketch.build(base, keys, n_bytes // 6 + 1, THRESHOLDS)
-    segments = max(1, seen.keys // 4_000_000 + 1)
-
-    def postings(batches):
-        """Prefix grams that may be shared, by segment: a row holds a task's grams of one segment."""
-        held: list[tuple] = []
-        n = 0
-
-        def flush():
-            h, c, size = (np.concatenate(x) for x in zip(*held, strict=True))
+                sets, classes = gram_sets(textnum.Words(*textnum.buffers(part.column("text"))), gram)
+                yield _docs_row(part, classes, np.array([len(x) for x in sets], np.int64))
+                if len(met) > MOST_MET:
+                    met.clear()
+                new = []
+                for i, c in enumerate(classes.tolist()):
+                    if c and c not in met:
+                        met.add(c)
+                        new.append(i)
+                if new:
+                    at = np.array(new)
+                    rows = units.pack(np.mod(classes[at], parts), classes[at], np.zeros(len(at), np.int64), part.column("text").take(pa.array(at)))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.nulls(rows.num_rows, pa.binary())] * len(DOCS)], names=[*units.NAMES, *DOCS])
+
+    held = staged(base.mapInArrow(signed, SIGNED), "signed")
+    texts = held.filter("unit IS NOT NULL").select(*units.NAMES).repartition(units.partitions(parts), "unit")
+    rows = held.filter("unit IS NULL").select(*DOCS).mapInArrow(_documents, "doc_id long, class long, n_shingles long")
+    owners = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    owners = staged(owners, "classes")
+    counts = sketch.Sketch(n_bytes // 5 + 1, THRESHOLDS)
+    segments = max(1, n_bytes // 6 // SEGMENT_KEYS + 1)
+
+    def keys_of(group: pa.Table) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *class_sets(group, gram)[1]])
+
+    levels = sketch.answered(texts, "unit", keys_of, counts)
+
+    def postings(unit: pa.Table, answers: pa.Table) -> pa.Table:
+        """Prefix grams that may be shared, by segment: a row holds a unit's grams of one segment."""
+        classes, sets = class_sets(unit, gram)
+        out = []
+        if len(sets):
+            sizes = np.array([len(x) for x in sets], np.int64)
+            flat = np.concatenate(sets)
+            level = counts.levels(flat, answers)
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            by = np.argsort(owner * 4 + level, kind="stable")  # sets are in order of hash already
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            by, place = by[(chosen := (place < (sizes - least_overlap(sizes, percent) + 1)[owner]) & (level[by] > 0))], place[chosen]
+            h, who = flat[by], owner[by]
+            vectors = range_counts(sets)
             own = (h % np.uint64(segments)).astype(np.int64)
-            by = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[by], np.arange(segments + 1))
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(segments + 1))
             for s in np.flatnonzero(np.diff(cuts)):
-                at = by[cuts[s] : cuts[s + 1]]
-                yield _rows({"segment": ([int(s)], pa.int32())} | {k: ([v[at].tobytes()], pa.binary()) for k, v in zip(("grams", "classes", "sizes"), (h, c, size), strict=True)})
-
-        for sets, classes in chosen_sets(batches, standing, gram):
-            levels = seen.levels(np.concatenate(sets))
-            at = 0
-            for own, c in zip(sets, classes, strict=True):
-                k = len(own)
-                level = levels[at : at + k]
-                at += k
-                order = np.argsort(level, kind="stable")[: k - least_overlap(k, percent) + 1]
-                order = order[level[order] > 0]
-                if len(order):
-                    held.append((own[order], np.full(len(order), c), np.full(len(order), k, np.int32)))
-                    n += len(order)
-            if n >= 1_000_000:
-                yield from flush()
-                held.clear()
-                n = 0
-        if held:
-            yield from flush()
+                at = order[cuts[s] : cuts[s + 1]]
+                entry = (h[at], classes[who[at]], sizes[who[at]], place[at], vectors[who[at]])
+                out.append((int(s), *(x.astype(t).tobytes() for x, (_, t) in zip(entry, POSTING, strict=True))))
+        cols = list(zip(*out, strict=True)) or [[]] * (1 + len(POSTING))
+        return pa.table([pa.array(x, pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(cols)], names=["segment", *[c for c, _ in POSTING]])
 
     def neighbours(group: pa.Table) -> pa.Table:
         """One edge per class to the least class of its neighbourhood, as far as this segment's grams show it."""
-        h, c, size = (np.concatenate([np.frombuffer(x, t) for x in group.column(k).to_pylist()]) for k, t in (("grams", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
-        by = np.lexsort((c, size, h))
-        h, c, size = h[by], c[by], size[by].astype(np.int64)
-        joined = (h[1:] == h[:-1]) & (c[1:] != c[:-1]) & (100 * size[:-1] >= percent * size[1:])
-        same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-        if np.any(same):
-            keep = np.concatenate([[True], ~same])
-            h, c, size = h[keep], c[keep], size[keep]
-            joined = (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:])
-        at = np.flatnonzero(joined)
-        ids, place = np.unique(c, return_inverse=True)
-        root = ids[local_components(len(ids), place[at], place[at + 1])]
-        own = ids != root
-        return pa.table([pa.array(ids[own], pa.int64()), pa.array(root[own], pa.int64())], names=["u", "v"])
-
-    sent = base.mapInArrow(postings, "segment int, grams binary, classes binary, sizes binary")
-    edges = sent.groupBy("segment").applyInArrow(neighbours, "u long, v long")
-    around = star_components(edges)
-    around = staged(owners.join(around, F.col("class") == F.col("node")).select("class", "doc_id", "n", "root"), "neighbourhoods")
-    tiles = around.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") * 8 / F.lit(tile_bytes)), F.ceil(F.count("*") / F.lit(tile_sets))).cast("int").alias("tiles"))
-    parted = tiles.agg(F.max("tiles")).first()[0]
-    groups = max(1, int((around.agg(F.sum("n")).first()[0] or 0) * 8 // tile_bytes) + 1)
-    placed = around.join(tiles, "root")
-    tile = F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")
-    whole = placed.filter("tiles = 1").select("class", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.pmod(F.xxhash64("root"), F.lit(groups)).alias("task"))
-    dealt = placed.filter("tiles > 1").select("class", "root", "tiles", tile.alias("own"))
-    dealt = dealt.select("class", "root", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("class", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-    wanted = whole.unionByName(dealt)
-
-    near = Members(around)
-
-    def sets_of(batches):
-        for sets, ids in chosen_sets(batches, near, gram):
-            yield _rows({"class": (ids, pa.int64()), "grams": ([x.tobytes() for x in sets], pa.binary())})
-
-    carried = base.mapInArrow(sets_of, "class long, grams binary").join(wanted, "class")
-
-    def links(group: pa.Table) -> pa.Table:
-        ids, root, i, j, side = (group.column(k).to_numpy() for k in ("class", "root", "i", "j", "side"))
-        by = np.lexsort((ids, j, i, root))
-        new = np.ones(len(by), bool)
-        for k in (root, i, j):
-            new[1:] &= k[by][1:] == k[by][:-1]
-        starts = np.flatnonzero(~new | (np.arange(len(by)) == 0))
-        out_u, out_v = [], []
-        for a, b in zip(starts, np.append(starts[1:], len(by)), strict=True):
-            own = by[a:b]
-            own = own[np.concatenate([[True], ids[own][1:] != ids[own][:-1]])]
-            if len(own) < 2:
-                continue
-            grams = [np.frombuffer(x, np.uint64) for x in group.column("grams").take(pa.array(own)).to_pylist()]
-            label = _verified(grams, side[own], percent)
-            moved = np.flatnonzero(label != np.arange(len(own)))
-            out_u.append(ids[own][moved])
-            out_v.append(ids[own][label[moved]])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_u, out_v))
+        h, c, size, place, vectors = (np.concatenate([np.frombuffer(x, t) for x in group.column(k).to_pylist()]) for k, t in POSTING)
+        u, v = joined_up(*candidate_edges(h, c, size, place, vectors.reshape(-1, POSTED_RANGES), percent))
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    linked = carried.groupBy("task").applyInArrow(links, "u long, v long")
-    # a neighbourhood in one tile already has one edge per member to its component's first
-    roots = star_components(linked) if parted and parted > 1 else linked.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rows = rows.join(roots, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
-    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least.withColumnRenamed("root", "of"), F.col("root") == F.col("of"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sent = texts.groupBy("unit").cogroup(levels.groupBy("unit")).applyInArrow(postings, "segment long, " + ", ".join(f"{c} binary" for c, _ in POSTING))
+    around = star_components(sent.groupBy("segment").applyInArrow(neighbours, "u long, v long"))
+    around = staged(owners.join(around, F.col("class") == F.col("node")).select("class", "n", "root"), "neighbourhoods")
+    about = around.groupBy("root").agg(F.count("*").alias("__n"), F.sum("n").alias("grams"), F.greatest(F.ceil(F.sum("n") * 8 / F.lit(tile_bytes)), F.ceil(F.count("*") / F.lit(tile_sets))).cast("int").alias("tiles"))
+    total = about.agg(F.sum("grams").alias("grams"), F.sum("__n").alias("classes"), F.max("tiles").alias("tiles")).first()
+    members, tiled = total.classes or 0, (total.tiles or 0) > 1
+    groups = max(1, int(total.grams or 0) * 8 // tile_bytes + 1)
+    placed = lookup(around, about.select("root", "tiles", "__n"), "root", members)
+    small = placed.filter("tiles = 1").select("class", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.pmod(F.xxhash64("root"), F.lit(groups)).alias("task"))
+    large = placed.filter("tiles > 1").select("class", "root", "tiles", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int").alias("tile"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # each tile with the first one
+    first = large.withColumn("i", F.explode(F.when(F.col("tile") == 0, upto("tiles")).otherwise(F.array("tile"))))
+    first = first.select("class", "root", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), F.xxhash64("root", "i").alias("task"))
+
+    def linked(wanted: DataFrame) -> DataFrame:
+        """Edges (u, v) from the verification of sets in the groups (task, root, i, j) that are wanted."""
+
+        def carried(unit: pa.Table, wanted: pa.Table) -> pa.Table:
+            if not wanted.num_rows:
+                return pa.table([pa.array([], t) for t in (*[pa.int64()] * 2, *[pa.int32()] * 3, pa.int64(), pa.binary())], names=["class", "root", "i", "j", "side", "task", "grams"])
+            classes, sets = class_sets(unit, gram)
+            at = np.searchsorted(classes, wanted.column("class").to_numpy())
+            return wanted.select(["class", "root", "i", "j", "side", "task"]).append_column("grams", pa.array([sets[i].tobytes() for i in at.tolist()], pa.binary()))
+
+        def links(group: pa.Table) -> pa.Table:
+            ids, root, i, j, side = (group.column(k).to_numpy() for k in ("class", "root", "i", "j", "side"))
+            by = np.lexsort((side, ids, j, i, root))
+            new = np.ones(len(by), bool)
+            new[1:] = np.any([k[by][1:] != k[by][:-1] for k in (root, i, j)], axis=0)
+            starts = np.flatnonzero(new)
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(starts, np.append(starts[1:], len(by)), strict=True):
+                own = by[a:b]
+                if len(own) > 1:
+                    label = _verified([np.frombuffer(x, np.uint64) for x in group.column("grams").take(pa.array(own)).to_pylist()], side[own], percent)
+                    moved = np.flatnonzero(label != np.arange(len(own)))
+                    u.append(ids[own][moved])
+                    v.append(ids[own][label[moved]])
+            return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in (u, v)], names=["u", "v"])
+
+        wanted = wanted.withColumn("unit", F.pmod("class", F.lit(parts)))
+        sets = texts.groupBy("unit").cogroup(wanted.groupBy("unit")).applyInArrow(carried, "class long, root long, i int, j int, side int, task long, grams binary")
+        return sets.groupBy("task").applyInArrow(links, "u long, v long")
+
+    edges = staged(linked(small.unionByName(first) if tiled else small), "links")
+    if tiled:
+        # what is not in the component that most of a large neighbourhood is in, against all of its tiles
+        found = star_components(edges).select(F.col("node").alias("class"), F.col("root").alias("part"))
+        part = staged(large.join(found, "class", "left").withColumn("part", F.coalesce("part", "class")), "parts")
+        sizes = part.groupBy("root", "part").agg(F.count("*").alias("k"))
+        main = sizes.groupBy("root").agg(F.max(F.struct("k", "part")).alias("m"), F.sum("k").alias("__n"))
+        main = main.filter(F.col("__n") > F.col("m.k")).select("root", F.col("m.part").alias("main"), F.ceil((F.col("__n") - F.col("m.k")) / F.lit(tile_sets)).cast("int").alias("rests"), "__n")
+        part = lookup(part, main, "root", members)
+        task = F.xxhash64("root", "i", "j", F.lit(1)).alias("task")
+        rest = part.filter("part <> main").withColumn("i", F.pmod(F.xxhash64("class", F.lit(1)), F.col("rests")).cast("int")).withColumn("j", F.explode(upto("tiles")))
+        every = part.withColumn("j", F.col("tile")).withColumn("i", F.explode(upto("rests")))
+        both = rest.select("class", "root", "i", "j", F.lit(1).alias("side"), task).unionByName(every.select("class", "root", "i", "j", F.lit(0).alias("side"), task))
+        edges = edges.unionByName(linked(both))
+    return _with_components(rows, owners, star_components(edges))
+
+
+def _with_components(rows: DataFrame, owners: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (doc_id, class, n_shingles) with their component_id; owners are their classes, roots components of those."""
+    linked = owners.join(roots, F.col("class") == F.col("node")).select("class", "root", "doc_id")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("__n"))
+    total = owners.agg(F.count("*").alias("classes"), F.sum("rows").alias("rows")).first()
+    linked = lookup(linked, least, "root", total.classes).select("class", "component_id", F.lit(True).alias("linked"))
+    shared = owners.join(linked, "class", "left").filter("linked OR rows > 1").select("class", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rows").alias("__n"))
+    with_class = lookup(rows.filter("class IS NOT NULL"), shared, "class", total.rows or 0, "left")
+    every = with_class.select("doc_id", "n_shingles", "component_id").unionByName(rows.filter("class IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    return every.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

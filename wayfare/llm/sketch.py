@@ -1,12 +1,12 @@
-"""Count-min sketches of 64-bit keys over a whole table: built in partitions, merged by cell range, read as levels.
+"""Count-min sketches of 64-bit keys that are cut by cell range, however large: built, merged and read by shuffles.
 
-Every task hashes its keys to cells of ``ROWS`` rows, sorts them and sends each range of cells (a segment) as gaps of
-a byte; the merge adds segments up, saturating at 255. What is kept is, for each threshold, one bit per ``fold`` cells
-saying whether any of them has reached it. A key's estimate never falls below its count, so "not reached" is certain.
+A table comes as units, bounded groups of its rows. Every unit hashes its keys to cells of ``ROWS`` rows and sends each
+range of cells (a segment) its distinct cells as gaps of a byte, with counts where they are not one; a segment adds the
+units up and answers each with the levels of the cells it asked about, two bits or fewer a cell; a unit's answers meet
+its rows again. The number of cells follows the number of keys, and no task, neither driver nor broadcast, holds more
+than one segment or one unit's share, so there is no size at which the sketch fills up.
 
-The published bits are bounded by ``MAX_LOG_CELLS`` whatever the input; they are all that the driver collects and
-broadcasts (two rows of 2 ** 28 cells are 64 MB). Beyond that the sketch fills up: more keys look repeated than are,
-the exact step after it does more work, and results stay the same.
+A key's estimate, the least of its cells' counts, never falls below its count, so "not reached" is certain.
 """
 
 from __future__ import annotations
@@ -19,18 +19,92 @@ from wayfare.llm.common import pow2_at_least
 
 ROWS = 2
 ODD = (np.uint64(0x9E6C63D0876A68DB), np.uint64(0xC4CEB9FE1A85EC53))
-MIN_LOG_CELLS, MAX_LOG_CELLS = 16, 28
-LOG_SEGMENT = 22
-FLUSH = 4_000_000
+MIN_LOG_CELLS = 16
+#: Cells of a segment are between these powers of two; they grow with the sketch so that units send fewer pieces.
+LOG_SEGMENT = (18, 27)
+CELLS_DDL = "segment long, unit long, gaps binary, big binary, counts binary"
+LEVELS_DDL = "unit long, segment long, n long, levels binary"
 
 
-def _cells(keys: np.ndarray, row: int, log_cells: int) -> np.ndarray:
-    return ((keys * ODD[row]) >> np.uint64(64 - log_cells)).astype(np.uint32)
+class Sketch:
+    """The shape of a sketch for about ``expected`` keys, and the thresholds whose number reached is a key's level."""
+
+    def __init__(self, expected: int, thresholds: tuple[int, ...]):
+        if not 0 < len(thresholds) < 4 or max(thresholds) > 255:
+            raise ValueError("one to three thresholds, at most 255")
+        self.thresholds = tuple(sorted(thresholds))
+        self.log_cells = max(MIN_LOG_CELLS, pow2_at_least(2 * expected))
+        self.log_segment = min(self.log_cells, max(LOG_SEGMENT[0], min(LOG_SEGMENT[1], self.log_cells // 2 + 8)))
+        self.bits = 1 if len(self.thresholds) == 1 else 2
+
+    def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
+        return (keys * ODD[row]) >> np.uint64(64 - self.log_cells)
+
+    def asked(self, unit: int, keys: np.ndarray) -> pa.Table:
+        """What a unit sends: a row for each segment that any of its keys falls into (CELLS_DDL)."""
+        out = []
+        segments = 1 << (self.log_cells - self.log_segment)
+        for row in range(ROWS):
+            cells, counts = np.unique(self.cells(keys, row), return_counts=True)
+            cells = cells.astype(np.int64)
+            # what a unit counts beyond the greatest threshold changes no level
+            counts = np.minimum(counts, self.thresholds[-1]).astype(np.uint8)
+            own = cells >> self.log_segment
+            cuts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(cells))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                segment = int(own[a])
+                gaps, big = _coded(cells[a:b], segment << self.log_segment)
+                few = counts[a:b]
+                out.append((row * segments + segment, unit, gaps, big, b"" if (few == 1).all() else few.tobytes()))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["segment", "unit", "gaps", "big", "counts"])
+
+    def answer(self, group: pa.Table) -> pa.Table:
+        """A segment's answers (LEVELS_DDL) to all units that asked."""
+        segment = group.column("segment")[0].as_py()
+        table = np.zeros(1 << self.log_segment, np.uint8)
+        asked = []
+        for i in range(group.num_rows):
+            gaps, big, counts = (group.column(c)[i].as_py() for c in ("gaps", "big", "counts"))
+            cells = _decoded(gaps, big)
+            few = np.frombuffer(counts, np.uint8) if counts else np.uint8(1)
+            table[cells] = np.minimum(table[cells].astype(np.int32) + few, 255)
+            asked.append((gaps, big))
+        out = []
+        for gaps, big in asked:
+            held = table[_decoded(gaps, big)]
+            level = sum((held >= t).astype(np.uint8) for t in self.thresholds)
+            planes = [np.packbits((level >> b) & 1) for b in range(self.bits)]
+            out.append((len(held), np.concatenate(planes).tobytes()))
+        n, levels = zip(*out, strict=True)
+        return pa.table({"unit": group.column("unit"), "segment": pa.array([segment] * len(out), pa.int64()), "n": pa.array(n, pa.int64()), "levels": pa.array(levels, pa.binary())})
+
+    def levels(self, keys: np.ndarray, answers: pa.Table) -> np.ndarray:
+        """The level of each of a unit's keys; ``answers`` are all that were sent to the unit."""
+        order = np.argsort(answers.column("segment").to_numpy())
+        segment = answers.column("segment").to_numpy()[order]
+        n = answers.column("n").to_numpy()[order]
+        coded = answers.column("levels").take(pa.array(order))
+        found = np.zeros(int(n.sum()), np.uint8)
+        at = 0
+        for size, x in zip(n.tolist(), coded, strict=True):
+            raw = np.frombuffer(x.as_py(), np.uint8).reshape(self.bits, -1)
+            for b in range(self.bits):
+                found[at : at + size] |= np.unpackbits(raw[b], count=size) << np.uint8(b)
+            at += size
+        first = int(n[segment < (1 << (self.log_cells - self.log_segment))].sum())
+        out = np.full(len(keys), 255, np.uint8)
+        for row, own in enumerate((found[:first], found[first:])):
+            cells, place = np.unique(self.cells(keys, row), return_inverse=True)
+            if len(cells) != len(own):
+                raise ValueError("the answers are not those to this unit's keys")
+            np.minimum(out, own[place], out=out)
+        return out
 
 
-def _coded(sorted_cells: np.ndarray, base: int) -> tuple[bytes, bytes]:
-    """Gaps of a byte; 255 stands for the next entry of the second part."""
-    gaps = np.diff(sorted_cells.astype(np.int64), prepend=base)
+def _coded(cells: np.ndarray, base: int) -> tuple[bytes, bytes]:
+    """Ascending cells as gaps of a byte; 255 stands for the next entry of the second part."""
+    gaps = np.diff(cells, prepend=base)
     big = gaps >= 255
     return np.where(big, 255, gaps).astype(np.uint8).tobytes(), gaps[big].astype(np.uint32).tobytes()
 
@@ -41,78 +115,15 @@ def _decoded(gaps: bytes, big: bytes) -> np.ndarray:
     return np.cumsum(steps)
 
 
-class Sketch:
-    """Levels of keys: how many of the thresholds a key's estimate reaches."""
+def answered(units: DataFrame, key: str, keys_of, sketch: Sketch) -> DataFrame:
+    """Answers (LEVELS_DDL) to all units. ``keys_of(group)`` gives the keys of a group of ``units``, which are grouped
+    by ``key``, a long."""
 
-    def __init__(self, broadcast, log_cells: int, folds: tuple[int, ...], keys: int):
-        self.broadcast, self.log_cells, self.folds, self.keys = broadcast, log_cells, folds, keys
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        tables = self.broadcast.value
-        out = np.zeros(len(keys), np.uint8)
-        reached = np.ones((len(self.folds), len(keys)), bool)
-        for row in range(ROWS):
-            cells = _cells(keys, row, self.log_cells)
-            for t, fold in enumerate(self.folds):
-                at = cells // np.uint32(fold)
-                reached[t] &= ((tables[t][row][at >> np.uint32(3)] >> (np.uint8(7) - (at & np.uint32(7)).astype(np.uint8))) & np.uint8(1)).astype(bool)
-        for t in range(len(self.folds)):
-            out += reached[t]
-        return out
+    def asked(group: pa.Table) -> pa.Table:
+        return sketch.asked(group.column(key)[0].as_py(), keys_of(group))
 
+    def answer(group: pa.Table) -> pa.Table:
+        return sketch.answer(group)
 
-def build(df: DataFrame, keys_of, expected: int, thresholds: tuple[tuple[int, int], ...]) -> Sketch:
-    """keys_of(batch) gives the keys of a record batch of df; thresholds are (count, fold) pairs, ascending."""
-    log_cells = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, pow2_at_least(2 * expected)))
-    log_segment = min(LOG_SEGMENT, log_cells)
-    segments = 1 << (log_cells - log_segment)
-
-    def parts(batches):
-        held, n = [], 0
-
-        def flush():
-            keys = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            for row in range(ROWS):
-                cells = np.sort(_cells(keys, row, log_cells))
-                cuts = np.searchsorted(cells, np.arange(segments + 1, dtype=np.int64) << log_segment)
-                out = [(row * segments + s, int(b - a), *_coded(cells[a:b], s << log_segment)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["segment", "n", "gaps", "big"])
-
-        for batch in batches:
-            for keys in keys_of(batch):
-                held.append(keys)
-                n += len(keys)
-                if n >= FLUSH:
-                    yield from flush()
-                    held.clear()
-                    n = 0
-        yield from flush()
-
-    def merged(batches):
-        counts: dict[int, np.ndarray] = {}
-        total: dict[int, int] = {}
-        for batch in batches:
-            for segment, n, gaps, big in zip(*(batch.column(c).to_pylist() for c in ("segment", "n", "gaps", "big")), strict=True):
-                table = counts.setdefault(segment, np.zeros(1 << log_segment, np.uint8))
-                total[segment] = total.get(segment, 0) + n
-                cells = _decoded(gaps, big)
-                own = np.flatnonzero(np.diff(cells, prepend=-1))
-                times = np.diff(own, append=len(cells))
-                table[cells[own]] = np.minimum(table[cells[own]] + times, 255).astype(np.uint8)
-        for segment, table in counts.items():
-            bits = [np.packbits(table.reshape(-1, fold).max(axis=1) >= least).tobytes() for least, fold in thresholds]
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([total[segment]], pa.int64()), pa.array([bits], pa.list_(pa.binary()))], names=["segment", "n", "bits"])
-
-    sent = df.mapInArrow(parts, "segment int, n long, gaps binary, big binary")
-    # one row a segment, bounded by MAX_LOG_CELLS, a partition of them at a time
-    rows = sent.repartition(min(ROWS * segments, 32), "segment").mapInArrow(merged, "segment int, n long, bits array<binary>").toLocalIterator()
-    n = 0
-    tables = [[np.zeros(max(1, (1 << log_cells) // fold // 8), np.uint8) for _ in range(ROWS)] for _, fold in thresholds]
-    for r in rows:
-        row, segment = divmod(r.segment, segments)
-        for t, (_, fold) in enumerate(thresholds):
-            size = max(1, (1 << log_segment) // fold // 8)
-            tables[t][row][segment * size : (segment + 1) * size] = np.frombuffer(r.bits[t], np.uint8)
-        n += r.n if row == 0 else 0
-    return Sketch(df.sparkSession.sparkContext.broadcast(tables), log_cells, tuple(f for _, f in thresholds), n)
+    sent = units.groupBy(key).applyInArrow(asked, CELLS_DDL)
+    return sent.groupBy("segment").applyInArrow(answer, LEVELS_DDL)

@@ -1,8 +1,10 @@
 """Words of whole Arrow batches as numpy arrays: boundaries, word hashes and hashes of runs of words.
 
 A batch's texts stay one byte buffer; every step is a few passes over arrays, so cost is bytes, not Python objects.
-Word hashes sum a random 64-bit value per byte times a power of an odd base, modulo 2**64, and are then mixed; runs of
-words are hashed likewise over mixed word hashes. Equal words have equal hashes on any machine.
+A word's hash sums, modulo 2**64, a random 64-bit value for each of its bytes and the byte's place in the word, and is
+then mixed: no arithmetic ties the places together, so words of any pattern and length collide only by chance. Another
+salt gives hashes that do not follow from these. Runs of words are sums of mixed word hashes times powers of an odd
+base. Equal words have equal hashes on any machine.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-BASE = np.uint64(0x9E3779B97F4A7C15)
 RUN_BASE = np.uint64(0xD6E8FEB86659FD93)
 #: For a second hash of runs that does not follow from the first.
 RUN_BASE_2 = np.uint64(0xE7037ED1A0B428DB)
@@ -28,9 +29,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[65:91] = _BYTE[97:123]
+#: Values of bytes at the first places of a word come from a table, those of later places are made when needed.
+TABLE_PLACES = 32
+_tables: dict[int, np.ndarray] = {}
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] = np.arange(97, 123)
+
+
+def _byte_values(byte: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
+    """A random value for each byte at its place."""
+    x = (place.astype(np.uint64) << np.uint64(8)) + byte.astype(np.uint64) + np.uint64(1)
+    return mix(mix(x * np.uint64(0x632BE59BD9B4E019) + np.uint64(salt * 0x9FB21C651E98DF25 % 2**64)))
+
+
+def _table(salt: int) -> np.ndarray:
+    if salt not in _tables:
+        at = np.arange(TABLE_PLACES * 256)
+        _tables[salt] = _byte_values(at & 255, at >> 8, salt)
+    return _tables[salt]
+
+
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[list(WHITE)] = True
 
@@ -84,15 +102,23 @@ class Words:
         self.ends = np.flatnonzero(inside & edge[1:]) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self, folded: bool = False) -> np.ndarray:
+    def hashes(self, folded: bool = False, salt: int = 0) -> np.ndarray:
         """64-bit hash of each word; folded: A-Z as a-z."""
-        n = len(self.raw)
-        if not n:
+        lengths = self.ends - self.starts
+        if not len(lengths):
             return np.zeros(0, np.uint64)
-        pw = powers(BASE, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((_BYTE_FOLDED if folded else _BYTE)[self.raw] * pw[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * pw[n - self.starts] * _inverse(BASE, n) + (self.ends - self.starts).astype(np.uint64))
+        begin = np.zeros(len(lengths) + 1, np.int64)
+        np.cumsum(lengths, out=begin[1:])
+        source = np.arange(begin[-1])
+        place = source - np.repeat(begin[:-1], lengths)
+        byte = self.raw[source + np.repeat(self.starts - begin[:-1], lengths)]
+        if folded:
+            byte = _FOLDED[byte]
+        value = _table(salt)[(np.minimum(place, TABLE_PLACES - 1) << 8) | byte]
+        late = np.flatnonzero(place >= TABLE_PLACES)
+        if len(late):
+            value[late] = _byte_values(byte[late], place[late], salt)
+        return mix(np.add.reduceat(value, begin[:-1]) + lengths.astype(np.uint64))
 
     def texts(self) -> np.ndarray:
         """The place of each word's text."""
