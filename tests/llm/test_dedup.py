@@ -56,10 +56,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("least_unit", "partitions"), [(1 << 20, 3), (2000, 5)])
-def test_substrings_are_brute_force(spark, monkeypatch, least_unit, partitions):
+@pytest.mark.parametrize(("unit_bytes", "partitions"), [(1 << 20, 3), (2000, 5)])
+def test_substrings_are_brute_force(spark, monkeypatch, unit_bytes, partitions):
     rows = corpus()
-    monkeypatch.setattr(units, "LEAST_UNIT", least_unit)
+    monkeypatch.setattr(units, "UNIT_BYTES", unit_bytes)
     docs = spark.createDataFrame([(*r, 1, "z") for r in rows], DOCS + ", segment int, ord string").repartition(partitions)
     assert removed(dedup_substrings(docs)) == brute_substrings(rows)
 
@@ -125,6 +125,14 @@ def test_sketch_never_underestimates(spark, thresholds):
         assert (got[u] > true).mean() < 0.2
 
 
+def test_cells_come_back_from_their_code():
+    rng = np.random.RandomState(1)
+    for n, most in ((1, 5), (1, 1 << 26), (7, 3), (5000, 300), (5000, 1 << 26)):
+        cells = np.sort(rng.randint(0, most, n)).astype(np.int64)
+        low, coded = sketch._coded(cells)
+        assert sketch._decoded(n, low, coded).tolist() == cells.tolist()
+
+
 def test_sketch_grows_with_its_keys():
     """The share of keys that occur once and pass as repeated stays small at any number of keys; one unit is enough here,
     as cells and segments follow from the expected number alone."""

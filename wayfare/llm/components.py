@@ -81,7 +81,7 @@ def star_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame
     edges = staged(edges, "edges")
     n = edges.count()
     parts = n // task_edges + 1
-    edges = staged(_contracted(edges.repartition(parts, "u")), "edges")
+    edges = staged(_contracted(edges.repartition(parts, "u", "v")), "edges")
     before = None
     while parts > 1:
         # large star: greater neighbours are linked to the least node of the neighbourhood

@@ -243,7 +243,7 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     rows = held.filter("unit IS NULL").select(*DOCS).mapInArrow(_documents, "doc_id long, class long, n_shingles long")
     owners = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
     owners = staged(owners, "classes")
-    counts = sketch.Sketch(n_bytes // 5 + 1, THRESHOLDS)
+    counts = sketch.Sketch(n_bytes // 6 + 1, THRESHOLDS)
     segments = max(1, n_bytes // 6 // SEGMENT_KEYS + 1)
 
     def keys_of(group: pa.Table) -> np.ndarray:

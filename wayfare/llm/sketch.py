@@ -1,7 +1,7 @@
 """Count-min sketches of 64-bit keys that are cut by cell range, however large: built, merged and read by shuffles.
 
 A table comes as units, bounded groups of its rows. Every unit hashes its keys to cells of ``ROWS`` rows and sends each
-range of cells (a segment) its distinct cells as gaps of a byte, with counts where they are not one; a segment adds the
+range of cells (a segment) its sorted cells as Rice-coded gaps, a bit and a half more than a gap's own bits; a segment adds the
 units up and answers each with the levels of the cells it asked about, two bits or fewer a cell; a unit's answers meet
 its rows again. The number of cells follows the number of keys, and no task, neither driver nor broadcast, holds more
 than one segment or one unit's share, so there is no size at which the sketch fills up.
@@ -21,8 +21,8 @@ ROWS = 2
 ODD = (np.uint64(0x9E6C63D0876A68DB), np.uint64(0xC4CEB9FE1A85EC53))
 MIN_LOG_CELLS = 16
 #: Cells of a segment are between these powers of two; they grow with the sketch so that units send fewer pieces.
-LOG_SEGMENT = (18, 27)
-CELLS_DDL = "segment long, unit long, gaps binary, big binary, counts binary"
+LOG_SEGMENT = (18, 26)
+CELLS_DDL = "segment long, unit long, n long, low int, gaps binary"
 LEVELS_DDL = "unit long, segment long, n long, levels binary"
 
 
@@ -46,38 +46,33 @@ class Sketch:
         segments = 1 << (self.log_cells - self.log_segment)
         for row in range(ROWS):
             cells, counts = np.unique(self.cells(keys, row), return_counts=True)
-            cells = cells.astype(np.int64)
             # what a unit counts beyond the greatest threshold changes no level
-            counts = np.minimum(counts, self.thresholds[-1]).astype(np.uint8)
+            cells = np.repeat(cells.astype(np.int64), np.minimum(counts, self.thresholds[-1]))
             own = cells >> self.log_segment
             cuts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(cells))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                segment = int(own[a])
-                gaps, big = _coded(cells[a:b], segment << self.log_segment)
-                few = counts[a:b]
-                out.append((row * segments + segment, unit, gaps, big, b"" if (few == 1).all() else few.tobytes()))
+                out.append((row * segments + int(own[a]), unit, b - a, *_coded(cells[a:b] - (own[a] << self.log_segment))))
         cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["segment", "unit", "gaps", "big", "counts"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["segment", "unit", "n", "low", "gaps"])
 
     def answer(self, group: pa.Table) -> pa.Table:
         """A segment's answers (LEVELS_DDL) to all units that asked."""
-        segment = group.column("segment")[0].as_py()
         table = np.zeros(1 << self.log_segment, np.uint8)
         asked = []
-        for i in range(group.num_rows):
-            gaps, big, counts = (group.column(c)[i].as_py() for c in ("gaps", "big", "counts"))
-            cells = _decoded(gaps, big)
-            few = np.frombuffer(counts, np.uint8) if counts else np.uint8(1)
-            table[cells] = np.minimum(table[cells].astype(np.int32) + few, 255)
-            asked.append((gaps, big))
+        for n, low, gaps in zip(*(group.column(c).to_pylist() for c in ("n", "low", "gaps")), strict=True):
+            cells = _decoded(n, low, gaps)
+            first = np.flatnonzero(np.diff(cells, prepend=-1))
+            times = np.diff(first, append=n)
+            cells = cells[first]
+            table[cells] = np.minimum(table[cells] + times, 255)
+            asked.append(cells.astype(np.uint32))
         out = []
-        for gaps, big in asked:
-            held = table[_decoded(gaps, big)]
+        for cells in asked:
+            held = table[cells]
             level = sum((held >= t).astype(np.uint8) for t in self.thresholds)
-            planes = [np.packbits((level >> b) & 1) for b in range(self.bits)]
-            out.append((len(held), np.concatenate(planes).tobytes()))
+            out.append((len(held), b"".join(np.packbits((level >> b) & 1).tobytes() for b in range(self.bits))))
         n, levels = zip(*out, strict=True)
-        return pa.table({"unit": group.column("unit"), "segment": pa.array([segment] * len(out), pa.int64()), "n": pa.array(n, pa.int64()), "levels": pa.array(levels, pa.binary())})
+        return pa.table({"unit": group.column("unit"), "segment": group.column("segment"), "n": pa.array(n, pa.int64()), "levels": pa.array(levels, pa.binary())})
 
     def levels(self, keys: np.ndarray, answers: pa.Table) -> np.ndarray:
         """The level of each of a unit's keys; ``answers`` are all that were sent to the unit."""
@@ -102,17 +97,26 @@ class Sketch:
         return out
 
 
-def _coded(cells: np.ndarray, base: int) -> tuple[bytes, bytes]:
-    """Ascending cells as gaps of a byte; 255 stands for the next entry of the second part."""
-    gaps = np.diff(cells, prepend=base)
-    big = gaps >= 255
-    return np.where(big, 255, gaps).astype(np.uint8).tobytes(), gaps[big].astype(np.uint32).tobytes()
-
-
-def _decoded(gaps: bytes, big: bytes) -> np.ndarray:
-    steps = np.frombuffer(gaps, np.uint8).astype(np.int64)
-    steps[steps == 255] = np.frombuffer(big, np.uint32)
-    return np.cumsum(steps)
+def _coded(cells: np.ndarray) -> tuple[int, bytes]:
+    """Ascending cells, which may repeat, as gaps: the number of low bits, and for each gap its high part in unary,
+    then its low bits, plane by plane."""
+    gaps = np.diff(cells, prepend=0)
+    low = max(0, int(np.log2(gaps.mean() * 0.69 + 1e-9)))
+    ends = np.cumsum((gaps >> low) + 1) - 1
+    unary = np.zeros(int(ends[-1]) + 1, np.uint8)
+    unary[ends] = 1
+    return low, b"".join([np.packbits(unary).tobytes(), *(np.packbits(((gaps >> b) & 1).astype(np.uint8)).tobytes() for b in range(low))])
+
+
+def _decoded(n: int, low: int, coded: bytes) -> np.ndarray:
+    raw = np.frombuffer(coded, np.uint8)
+    size = (n + 7) // 8
+    planes = raw[len(raw) - low * size :].reshape(low, size)
+    ends = np.flatnonzero(np.unpackbits(raw[: len(raw) - low * size]))
+    gaps = np.diff(ends, prepend=-1) - 1 << low
+    for b in range(low):
+        gaps |= np.unpackbits(planes[b], count=n).astype(np.int64) << b
+    return np.cumsum(gaps)
 
 
 def answered(units: DataFrame, key: str, keys_of, sketch: Sketch) -> DataFrame:

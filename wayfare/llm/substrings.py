@@ -124,7 +124,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield units.pack(units.unit_of(ord_, dup, parts), ord_, dup, batch.column("text"))
 
     texts = base.mapInArrow(packed, units.DDL).repartition(units.partitions(parts), "unit")
-    counts = sketch.Sketch(n_bytes // 5 + 1, (2,))
+    counts = sketch.Sketch(n_bytes // 6 + 1, (2,))
 
     def keys_of(group: pa.Table) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint64), *(_keys(words, window) for _, _, words in units.unpack(group))])

@@ -15,20 +15,21 @@ from wayfare.llm import textnum
 SLICE_BYTES = 1 << 21
 #: A packed row holds at most about so many bytes of text, unless one text is longer.
 ROW_BYTES = 1 << 25
-LEAST_UNIT, MOST_UNIT, UNITS = 1 << 20, 1 << 24, 256
-#: Units that a partition of them holds.
-PER_PARTITION = 4
+#: Bytes of text of a unit, up to an input of BASE_INPUT; beyond it they grow with the cube root of the input.
+UNIT_BYTES, BASE_INPUT, MOST_UNIT = 1 << 21, 1 << 30, 1 << 26
+#: Units that a partition of them holds, where there are more of them than cores of a machine.
+PER_PARTITION, FEW = 4, 8
 DDL = "unit long, keys binary, marks binary, sizes binary, packed binary"
 NAMES = ["unit", "keys", "marks", "sizes", "packed"]
 
 
 def unit_count(n_bytes: int) -> int:
-    """Units for so many bytes of text: their size is bounded, and small inputs still have many."""
-    return max(1, -(-n_bytes // min(MOST_UNIT, max(LEAST_UNIT, n_bytes // UNITS))))
+    """Units for so many bytes of text."""
+    return max(1, -(-n_bytes // min(MOST_UNIT, int(UNIT_BYTES * max(1.0, n_bytes / BASE_INPUT) ** (1 / 3)))))
 
 
 def partitions(units: int) -> int:
-    return max(1, -(-units // PER_PARTITION)) if units > 64 else units
+    return max(min(units, FEW), units // PER_PARTITION)
 
 
 def unit_of(keys: np.ndarray, marks: np.ndarray, units: int) -> np.ndarray:
