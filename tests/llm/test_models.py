@@ -4,6 +4,7 @@ import zlib
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 from wayfare.llm import quality, store
 from wayfare.llm.bpe import Bpe, Lexicon, build_lexicon
-from wayfare.llm.encoding import Encoder, decimals, decode, encode, round_trip
+from wayfare.llm.encoding import Encoder, LibraryEncoder, decimals, decode, encode, round_trip
 from wayfare.llm.html import main_text
 from wayfare.llm.sampling import fold_of
 from wayfare.llm.toxicity import ToxicityModel, toxicity, toxicity_scores
@@ -22,6 +23,7 @@ DOCS = "doc_id long, text string"
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
 ENCODERS = {p: Encoder(p) for p in (BYTE, WORD)}
+LIBRARY_ENCODERS = {p: LibraryEncoder(p, 500) for p in (BYTE, WORD)}
 ODD = st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("abcXYZ019 \n\t'.,!?ÉßΣςİſḰ中😀🏽́‍\x1c\x85　"))), max_size=80)
 TEXTS = [(1, "Hello  world, it's I'LL\n\n  x"), (2, None), (3, ""), (4, "a<|endoftext|>b <|startoftext|>"), (5, "né 中文 😀👍🏽 " * 50), (5, "x"), (None, "no id"), (6, "z" * 5000 + " " + "ab" * 400), (7, " \t\n ")]
 
@@ -100,15 +102,57 @@ def test_store(spark, tmp_path):
     assert total < sum(r.n_tokens for r in found)  # repeated passages are stored once
 
 
-def test_store_finds_damage(spark, tmp_path):
+def damaged(spark, folder, table, change):
+    """Rewrite a table of a store."""
+    df = change(spark.read.parquet(f"{folder}/{table}"))
+    rows = spark.createDataFrame(df.collect(), df.schema)
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy("kind") if table == "parts" else writer).parquet(f"{folder}/{table}")
+
+
+DAMAGE = {
+    "body": ("parts", lambda df: df.withColumn("body", F.when(F.length("body") > 8, F.concat(F.lit(b"\1\1"), F.expr("substring(body, 3)"))).otherwise(F.col("body"))), "digest"),
+    "missing": ("parts", lambda df: df.filter("body IS NULL OR length(body) < 9"), "missing"),
+    "leaf": ("recipes", lambda df: df.withColumn("leaf", F.lit(b"0" * 16)), "leaf"),
+    "size": ("recipes", lambda df: df.withColumn("n_tokens", F.col("n_tokens") + 1), "follow"),
+}
+
+
+@pytest.mark.parametrize("kind", DAMAGE)
+def test_store_query_finds_damage(spark, tmp_path, monkeypatch, kind):
+    from wayfare.llm import queries
+
+    table, change, message = DAMAGE[kind]
+    spark.createDataFrame(TEXTS, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    write, folders = store.write_store, []
+
+    def write_and_damage(docs, tokenizer, folder):
+        write(docs, tokenizer, folder)
+        folders.append(folder)
+        damaged(spark, folder, table, change)
+
+    monkeypatch.setattr(store, "write_store", write_and_damage)
+    if kind == "leaf":
+        with pytest.raises(Exception, match=message):
+            store.document_crcs(spark, _written(spark, tmp_path, write, table, change)).collect()
+        return
+    with pytest.raises(Exception, match=message):
+        queries.op10_token_store(spark, str(tmp_path)).collect()
+
+
+def _written(spark, tmp_path, write, table, change):
+    folder = f"file://{tmp_path}/store"
+    write(spark.read.parquet(f"{tmp_path}/documents.parquet"), WORD, folder)
+    damaged(spark, folder, table, change)
+    return folder
+
+
+def test_chunk_that_many_documents_use(spark, tmp_path):
     folder = f"file://{tmp_path}/store"
-    store.write_store(spark.createDataFrame(TEXTS, DOCS), WORD, folder)
-    bad = store._recipes(spark, folder).withColumn("n_tokens", F.col("n_tokens") + 1)
-    bad.write.parquet(f"{folder}/other")
-    assert store._roots(spark.read.parquet(f"{folder}/other")).first().n_tokens > sum(r.n_tokens for r in store._recipes(spark, folder).collect())
-    odd = store._recipes(spark, folder).withColumn("leaf", F.lit(b"0" * 16))
-    with pytest.raises(Exception, match="leaf"):
-        store._roots(odd).collect()
+    rows = [(i, "" if i % 3 else f"own words {i}") for i in range(3000)]
+    store.write_store(spark.createDataFrame(rows, DOCS), WORD, folder)
+    found = {r.doc_id: r.ids for r in store.read_documents(spark, folder).collect()}
+    assert all(found[i] == [*LIBRARY[WORD].encode(t, add_special_tokens=False).ids, 1] for i, t in rows)
 
 
 def test_store_empty(spark, tmp_path):
@@ -118,21 +162,37 @@ def test_store_empty(spark, tmp_path):
     assert store.document_crcs(spark, folder).count() == 0
 
 
-def test_joined_crcs():
-    rng = np.random.RandomState(1)
-    pieces = [rng.bytes(n) for n in (0, 1, 4, 1000, 70000, 3, 8)]
-    first = np.array([0, 3, 4, 7])
-    got = store.joined_crcs(np.array([zlib.crc32(p) for p in pieces]), np.array([len(p) for p in pieces]), first)
-    assert got.tolist() == [zlib.crc32(b"".join(pieces[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
-
-
 def test_cuts_follow_content():
     rng = np.random.RandomState(4)
     body = rng.randint(0, 49000, 4000).astype(np.uint16)
-    a, b = store.cuts(body, 6), store.cuts(np.concatenate([rng.randint(0, 49000, 37).astype(np.uint16), body]), 6) - 37
+    one = lambda x, *how: store.cuts(x, np.array([0, len(x)]), *how)
+    a, b = one(body, 6), one(np.concatenate([rng.randint(0, 49000, 37).astype(np.uint16), body]), 6) - 37
     assert a[-1] == 4000 and len(set(a[1:].tolist()) & set(b.tolist())) > 0.95 * (len(a) - 1)
-    same = store.cuts(np.zeros(50_000, np.uint16), 6, 1000)
+    same = one(np.zeros(50_000, np.uint16), 6, 1000)
     assert np.diff(same, prepend=0).max() <= 1000 and same[-1] == 50_000
+    both = store.cuts(np.concatenate([body, body[:50], body]), np.array([0, 4000, 4050, 8050]), 6)
+    assert set(a.tolist()) | {4050} | set((a + 4050).tolist()) <= set(both.tolist())
+    assert [e for e in both.tolist() if e > 4050] == (a + 4050).tolist()
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(ODD, max_size=6))
+def test_library_encoder_is_the_library(path, texts):
+    encoder = LIBRARY_ENCODERS[path]
+    ids, at = encoder.encode(pa.array([*texts, None], pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [LIBRARY[path].encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+
+
+def test_library_encoder_in_small_steps():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aA'é1.&<|") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 400))) for _ in range(40)]
+    texts += ["x" * 30_000 + " y", "a<|endoftext|>b<|ENDOFTEXT|> <|startoftext|>" * 300, "a", "&b", "1", "2"]
+    small = LibraryEncoder(WORD, 100)
+    small.SLICE_BYTES, small.WORDS_AT_ONCE = 500, 30
+    for _ in range(2):
+        ids, at = small.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [LIBRARY[WORD].encode(t, add_special_tokens=False).ids for t in texts]
 
 
 PAGE = "<html><head><title>t</title><style>p{}</style><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy, now. Really, buy.</div>{}<footer>&copy; me, all rights.</footer></body></html>"

@@ -16,6 +16,8 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import unicodedata
 import uuid
@@ -29,6 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm import textnum
 from wayfare.llm.bpe import Bpe, Lexicon, build_lexicon
 from wayfare.llm.common import shared_dir, text_column
 
@@ -46,6 +49,10 @@ WORD_OR_END = regex.compile(WORD_PIECES.pattern + r"|\n")
 MAYBE_UNASSIGNED = re.compile("[\u0378-\U0010ffff]")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
+#: Kinds of ASCII bytes: 1 letters, 2 digits, 3 other printable characters but the apostrophe; 0 all else.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127], _KINDS[48:58], _KINDS[39] = 3, 2, 0
+_KINDS[65:91] = _KINDS[97:123] = 1
 
 
 @cache
@@ -63,6 +70,8 @@ class Encoder:
 
     def __init__(self, path: str, lexicon: Lexicon | None = None, cache_pieces: int = CACHE_PIECES):
         self.bpe, self.lexicon, self.most = load(path), lexicon, cache_pieces
+        if len(self.bpe.token_length) > 1 << 16:
+            raise ValueError(f"{path} has ids beyond 16 bits")
         self.words = bool(self.bpe.suffix)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.bpe.special, key=len, reverse=True))) if self.bpe.special else None
         self.path, self._library = path, None
@@ -197,6 +206,161 @@ class Encoder:
         return [raw[at[a] : at[b]].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+class LibraryEncoder:
+    """A worker's encoder on top of the tokenizers library, for whole Arrow arrays.
+
+    For a file of words with ends, which lowers case and cuts between letters, digits and other characters, texts are cut
+    into pieces at ASCII white space and where ASCII characters of those three kinds meet; not around apostrophes and
+    control characters, nor in words that may hold a special token. A piece is known by 128 bits of hashes, the ids of
+    known pieces are gathered from one array, and the new pieces of a slice go to the library as one text, so cost is a
+    few passes over arrays and the library's time for what is new. At most ``most`` pieces are kept, those used last.
+    For other files whole texts go to the library. Ids are 16 bits wide where the vocabulary allows it, else 32.
+    """
+
+    WORDS_AT_ONCE = 20_000
+    SLICE_BYTES = 1 << 21
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        from tokenizers import Tokenizer
+
+        self.library, self.most = Tokenizer.from_file(path), most
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.words = bool(load_suffix(path))
+        self.dtype = id_type(self.library)
+        self.special = sorted({t.content.encode()[:2] for t in self.library.get_added_tokens_decoder().values()})
+        self.clock = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # ascending by key
+        self.start, self.length, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, self.dtype)
+
+    def _library_ids(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids of each) of words."""
+        ids, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for at in range(0, len(starts), self.WORDS_AT_ONCE):
+            body, places = textnum.gather(raw, starts[at : at + self.WORDS_AT_ONCE], lengths[at : at + self.WORDS_AT_ONCE], gap=1, fill=0x0A)
+            made = self.library.encode(body.tobytes().decode(), add_special_tokens=False)
+            characters = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])[places]
+            own = np.array(made.ids, self.dtype)
+            word = np.searchsorted(characters, np.fromiter((o[0] for o in made.offsets), np.int64, len(own)), "right") - 1
+            ids.append(own)
+            counts.append(np.diff(np.searchsorted(word, np.arange(len(places)))))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _places(self, key: np.ndarray, check: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Places of distinct words among those known, after learning the new ones."""
+        self.clock += 1
+        if len(self.key) + len(key) > 2 * self.most:
+            keep = np.sort(np.argsort(self.used, kind="stable")[max(0, len(self.used) - self.most) :])
+            pool, at = textnum.gather(self.pool, self.start[keep], self.length[keep])
+            self.key, self.check, self.length, self.used, self.start, self.pool = self.key[keep], self.check[keep], self.length[keep], self.used[keep], at[:-1], pool
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        held = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), bool)
+        new = np.flatnonzero(~held)
+        if len(new):
+            ids, counts = self._library_ids(raw, starts[new], lengths[new])
+            joined = np.concatenate([self.key, key[new]])
+            by = np.argsort(joined, kind="stable")
+            begin = np.concatenate([[0], np.cumsum(counts)[:-1]]) + len(self.pool)
+            merge = lambda a, b: np.concatenate([a, b])[by]
+            self.key, self.check, self.start, self.length, self.used = joined[by], merge(self.check, check[new]), merge(self.start, begin), merge(self.length, counts), merge(self.used, np.zeros(len(new), np.int64))
+            self.pool = np.concatenate([self.pool, ids])
+            at = np.searchsorted(self.key, key)
+            wrong = np.flatnonzero(self.check[at] != check)  # one key with two checks: the next one is meant
+            while len(wrong):
+                at[wrong] += 1
+                wrong = wrong[self.check[at[wrong]] != check[wrong]]
+        self.used[at] = self.clock
+        return at
+
+    def _pieces(self, words: textnum.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, hashes, other hashes) of the pieces of the words."""
+        raw = words.raw
+        kind = _KINDS[raw]
+        cut = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        cut &= (kind[1:] > 0) & (kind[:-1] > 0)
+        cut[words.starts[words.starts > 0] - 1] = False  # texts may meet without white space
+        whole = np.zeros(0, np.int64)
+        for two in self.special:
+            at = np.flatnonzero((raw[:-1] == two[0]) & (raw[1:] == two[1])) if len(two) == 2 else np.flatnonzero(raw == two[0])
+            whole = np.union1d(whole, np.searchsorted(words.starts, at, "right") - 1)
+        for w in whole.tolist():
+            cut[words.starts[w] : words.ends[w] - 1] = False
+        inner = np.flatnonzero(cut) + 1
+        starts, ends = np.sort(np.concatenate([words.starts, inner])), np.sort(np.concatenate([words.ends, inner]))
+        key, check = (textnum.span_hashes(raw, starts, ends, folded=True, salt=k) for k in (0, 1))
+        if len(whole):  # case tells special tokens from others
+            at = np.searchsorted(starts, words.starts[whole])
+            key[at], check[at] = (textnum.span_hashes(raw, starts[at], ends[at], salt=k) for k in (2, 3))
+        return starts, ends, key, check
+
+    def _slice(self, words: textnum.Words) -> tuple[np.ndarray, np.ndarray]:
+        if not len(words.starts):
+            return np.zeros(0, self.dtype), np.zeros(len(words.first), np.int64)
+        starts, ends, hashes, checks = self._pieces(words)
+        key, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        if np.any(checks != checks[first][place]):  # two pieces of one key
+            pairs, first, place = np.unique(np.stack([hashes, checks], axis=1), axis=0, return_index=True, return_inverse=True)
+            key, place = np.ascontiguousarray(pairs[:, 0]), place.ravel()
+        at = self._places(key, checks[first], words.raw, starts[first], (ends - starts)[first])[place]
+        ids, places = textnum.gather(self.pool, self.start[at], self.length[at])
+        return ids, places[np.searchsorted(starts, np.append(words.starts, len(words.raw)))[words.first]]
+
+    def _parts(self, raw: np.ndarray) -> list[tuple[int, int]]:
+        """Cuts of a very long text, after white space."""
+        out, at = [], 0
+        while at < len(raw):
+            end = min(len(raw), at + self.SLICE_BYTES)
+            while end < len(raw):
+                white = np.flatnonzero(np.isin(raw[end : end + self.SLICE_BYTES], textnum.WHITE))
+                end = end + int(white[0]) + 1 if len(white) else min(len(raw), end + self.SLICE_BYTES)
+                if len(white):
+                    break
+            out.append((at, end))
+            at = end
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, the n + 1 places of the texts' ids)."""
+        raw, offsets = textnum.buffers(texts)
+        if not self.words:
+            made = [np.array(self.library.encode(bytes(raw[a:b]).decode(), add_special_tokens=False).ids, self.dtype) for a, b in itertools.pairwise(offsets.tolist())]
+            return np.concatenate([np.zeros(0, self.dtype), *made]), np.concatenate([[0], np.cumsum([len(x) for x in made], dtype=np.int64)])
+        ids, sizes, at = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.SLICE_BYTES, "right")) - 1)
+            own = raw[offsets[at] : offsets[end]]
+            if end == at + 1 and len(own) > 2 * self.SLICE_BYTES:
+                made = [self._slice(textnum.Words(own[a:b], np.array([0, b - a])))[0] for a, b in self._parts(own)]
+                ids += made
+                sizes.append(np.array([sum(len(x) for x in made)]))
+            else:
+                made, places = self._slice(textnum.Words(own, offsets[at : end + 1] - offsets[at]))
+                ids.append(made)
+                sizes.append(np.diff(places))
+            at = end
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def load_suffix(path: str) -> str | None:
+    """What a tokenizer file puts at the ends of words."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)["model"].get("end_of_word_suffix")
+
+
+def id_type(library) -> type:
+    return np.uint16 if max(library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else np.uint32
+
+
+@cache
+def library_encoder(path: str) -> LibraryEncoder:
+    """This worker's encoder; its cache serves one task after another."""
+    return LibraryEncoder(path)
+
+
 def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) -> list[str]:
     """The most frequent pieces of all texts, so many of each of COUNT_BUCKETS hash ranges."""
     share = max(1, pieces // COUNT_BUCKETS)

@@ -84,6 +84,25 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes, none of them empty; folded: A-Z as a-z."""
+    lengths = ends - starts
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    begin = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=begin[1:])
+    source = np.arange(begin[-1])
+    place = source - np.repeat(begin[:-1], lengths)
+    byte = raw[source + np.repeat(starts - begin[:-1], lengths)]
+    if folded:
+        byte = _FOLDED[byte]
+    value = _table(salt)[(np.minimum(place, TABLE_PLACES - 1) << 8) | byte]
+    late = np.flatnonzero(place >= TABLE_PLACES)
+    if len(late):
+        value[late] = _byte_values(byte[late], place[late], salt)
+    return mix(np.add.reduceat(value, begin[:-1]) + lengths.astype(np.uint64))
+
+
 class Words:
     """Words of consecutive texts: starts and ends in the bytes, and first: the n + 1 places of each text's first word."""
 
@@ -104,21 +123,7 @@ class Words:
 
     def hashes(self, folded: bool = False, salt: int = 0) -> np.ndarray:
         """64-bit hash of each word; folded: A-Z as a-z."""
-        lengths = self.ends - self.starts
-        if not len(lengths):
-            return np.zeros(0, np.uint64)
-        begin = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=begin[1:])
-        source = np.arange(begin[-1])
-        place = source - np.repeat(begin[:-1], lengths)
-        byte = self.raw[source + np.repeat(self.starts - begin[:-1], lengths)]
-        if folded:
-            byte = _FOLDED[byte]
-        value = _table(salt)[(np.minimum(place, TABLE_PLACES - 1) << 8) | byte]
-        late = np.flatnonzero(place >= TABLE_PLACES)
-        if len(late):
-            value[late] = _byte_values(byte[late], place[late], salt)
-        return mix(np.add.reduceat(value, begin[:-1]) + lengths.astype(np.uint64))
+        return span_hashes(self.raw, self.starts, self.ends, folded, salt)
 
     def texts(self) -> np.ndarray:
         """The place of each word's text."""
