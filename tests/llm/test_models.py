@@ -218,6 +218,71 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+LONG = ["The river, which was high, ran past the mill; nobody saw it, or so they said.", "In March, after the frost, the miller came back. He said nothing, and left.", "Later, much later, they found the boat, the oars, and a letter; it was empty."]
+LINKS = "".join(f"<li><a href='/{i}'>Other story number {i}</a></li>" for i in range(6))
+#: Neither article elements nor telling names: paths alone tell content from menus, lists of links and fine print.
+UNNAMED = [
+    (f"<body><div><ul>{LINKS}</ul></div><div><h1>The mill</h1><p>{LONG[0]}</p><p>{LONG[1]}</p><ul>{LINKS}</ul><p>{LONG[2]}</p></div><div>Imprint <a>contact</a></div></body>", " ".join(["The mill", *LONG])),
+    (f"<body><table><tr><td><a>Home</a></td><td><a>News</a></td></tr></table><div class=c1><h2>The mill</h2><p>{LONG[0]}<p>{LONG[1]}<div class=c2><a>One</a> <a>Two</a></div><div class=c2><a>Three</a></div><p>{LONG[2]}</div><div class=c3>Top</div></body>", " ".join(["The mill", *LONG])),
+    (f"<body><div><div>{LONG[0]}</div><div>{LONG[1]}</div><div>{LONG[2]}</div><ol>{LINKS}</ol></div><div><ul>{LINKS}</ul></div></body>", " ".join(LONG)),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), UNNAMED)
+def test_paths_choose_content_without_names(html, text):
+    assert main_text(html) == text
+    assert main_text(html, 0.0, 0.0) != text  # without thresholds every path is content
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><p class=it's>{LONG[0]}</p><p>{LONG[1]}</p></article>", " ".join(LONG[:2])),
+        (f"<article><p>{LONG[0]}</p><div class='side-effects'><p>{LONG[1]}</p></div><div class='related work'><p>{LONG[2]}</p></div></article>", " ".join(LONG)),
+        (f"<article><p>{LONG[0]}</p><div class='related'><ul>{LINKS}</ul></div><div class='ad-box'><p>{LONG[1]}</p></div></article>", LONG[0]),
+        (f"<article><p>{LONG[0]}</p><p title=\"a > b\" data-x='it\"s'>{LONG[1]}</p><p x=\"open>{LONG[2]}</p></article>", " ".join(LONG)),
+        (f"<article><p>{LONG[0]}</p><ul><li>one pear</li><li>two figs</li></ul><p>{LONG[1]}</p></article>", f"{LONG[0]} one pear two figs {LONG[1]}"),
+    ],
+)
+def test_main_text_of_odd_markup(html, text):
+    assert main_text(html) == text
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        pages = ["<div>" * n + LONG[0] + "</div>" * n, "<div>x" * n, "<b><p>" * n + "</section>" * n, "<blockquote>" * n + "<p>y" * n, "<a href=" * n, "<!-- " * n]
+        began = time.process_time()
+        texts = [main_text(p) for p in pages]
+        assert texts[0] == LONG[0]
+        return time.process_time() - began
+
+    seconds(100)
+    small, large = seconds(2_000), seconds(20_000)
+    assert large < 30 * small + 1
+
+
+def test_path_ratios_are_brute_force():
+    import math
+
+    from wayfare.llm.html import Page, content_paths, path_ratios
+
+    for html, _ in UNNAMED:
+        found = Page(html).blocks
+        per = {b.path: [x for x in found if x.path == b.path] for b in found}
+        size = [sum(len(x.text) for x in per[b.path]) / len(per[b.path]) for b in found]
+        marks = [sum(sum(c in ".,;:!?" for c in x.text) for x in per[b.path]) / len(per[b.path]) for b in found]
+        near = lambda s, i: 0.25 * s[max(i - 1, 0)] + 0.5 * s[i] + 0.25 * s[min(i + 1, len(s) - 1)]
+        open_share = [1 - sum(x.linked for x in per[b.path]) / sum(len(x.text) for x in per[b.path]) for b in found]
+        fused = np.array([math.log2(1 + near(size, i)) * math.log2(2 + near(marks, i)) * open_share[i] for i in range(len(found))])
+        ratios, spread = path_ratios(found)
+        assert spread == pytest.approx(fused.std())
+        for path in per:
+            assert ratios[path] == pytest.approx(np.mean([f for f, b in zip(fused, found, strict=True) if b.path == path]))
+        assert set(content_paths(found)) == {p for p in per if ratios[p] >= min(max(ratios.values()), (1.0 if per[p][0].generic else 0.25) * spread)}
+
+
 def test_pages_are_the_article(spark, sf_dir):
     import re
     from html import unescape
