@@ -1,8 +1,10 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame functions only.
 
 A text is the multiset of its paragraphs (line ends cut, and sentence ends within a line). Each paragraph hashes to
-a wide vector of 0/1 lanes, three 20-bit lanes to a 60-bit word; a document's fingerprint is the sum of its
-paragraphs' vectors, each word modulo 2**60, with the number of paragraphs modulo 2**32. So fingerprints
+two vectors: ``WIDE`` full words of 32 bits, halves of 64-bit hashes under as many seeds, added modulo 2**32; and 0/1
+lanes, three 20-bit lanes to a 60-bit word, added modulo 2**60. A document's fingerprint is the sum of its paragraphs'
+vectors, with the number of paragraphs modulo 2**32. The wide words, 512 bits, decide whether texts are equal; the
+lanes tell how alike they are. So fingerprints
 - do not depend on the order of paragraphs, and equal texts have equal ones;
 - add and subtract: ``combine(a, b)`` is the fingerprint of both texts' paragraphs together, ``remove(a, b)`` takes
   b's paragraphs out, without the texts;
@@ -16,20 +18,25 @@ keeps sums and equality and only blurs the likeness. Rows that share a doc_id ar
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import text_column
 
-SEEDS = 3
+SEEDS = 8
+LANE_SEEDS = 3
 SHIFTS = 20
 LANE_BITS = 20
 LANES_PER_WORD = 3
-WORDS = SEEDS * SHIFTS
+WORDS = LANE_SEEDS * SHIFTS
+WIDE = 2 * SEEDS
 LANE_MASK = (1 << LANE_BITS) - 1
 ONE_PER_LANE = sum(1 << (LANE_BITS * i) for i in range(LANES_PER_WORD))
 WORD_MASK = (1 << (LANE_BITS * LANES_PER_WORD)) - 1
-COUNT_MASK = (1 << 32) - 1
+COUNT_MASK = WIDE_MASK = (1 << 32) - 1
+#: Rows of a range of doc_id that one window works on, and the number of ranges from which they grow instead.
+RANGE_ROWS, MOST_RANGES, BLOCK = 2000, 1 << 16, 256
 CUT = r"[\r\n]+|(?<=[.!?])\x20+"
 
 
@@ -38,25 +45,32 @@ def paragraphs(text: Column) -> Column:
 
 
 def packed_sums(paragraph: str) -> list[Column]:
-    """The count and the WORDS packed sums, as aggregates over rows of one paragraph each (null: none)."""
-    out = [F.count(paragraph).alias("v0")]
-    for seed in range(SEEDS):
-        h = F.col(f"__h{seed}")
+    """The count, the WORDS packed sums and the WIDE sums, as aggregates over rows of one paragraph each (null: none)."""
+    out = [F.count(paragraph)]
+    for seed in range(LANE_SEEDS):
         for shift in range(SHIFTS):
-            lane = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(ONE_PER_LANE))
-            out.append(F.sum(lane).bitwiseAND(F.lit(WORD_MASK)).alias(f"v{len(out)}"))
-    return out
+            lane = F.shiftrightunsigned(F.col(f"__h{seed}"), shift).bitwiseAND(F.lit(ONE_PER_LANE))
+            out.append(F.sum(lane).bitwiseAND(F.lit(WORD_MASK)))
+    for seed in range(SEEDS):
+        for half in (F.col(f"__h{seed}").bitwiseAND(F.lit(WIDE_MASK)), F.shiftrightunsigned(F.col(f"__h{seed}"), 32)):
+            out.append(F.sum(half).bitwiseAND(F.lit(WIDE_MASK)))
+    return [c.alias(f"v{i}") for i, c in enumerate(out)]
+
+
+def sum_array() -> Column:
+    return F.array(*[F.col(f"v{i}") for i in range(1 + WORDS + WIDE)])
 
 
 def hashed(df: DataFrame, paragraph: str) -> DataFrame:
+    """The seed comes first, so that the hashes of a paragraph do not follow from one another."""
     none = F.col(paragraph).isNull()
-    return df.withColumns({f"__h{seed}": F.when(none, F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(paragraph), F.lit(seed))) for seed in range(SEEDS)})
+    return df.withColumns({f"__h{seed}": F.when(none, F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(seed), F.col(paragraph))) for seed in range(SEEDS)})
 
 
 def vector_of(parts: DataFrame, keys: list[str], paragraph: str = "paragraph") -> DataFrame:
     """keys and vector array<long> for rows (keys, paragraph); sums of generated code, partial before any shuffle."""
     sums = hashed(parts, paragraph).groupBy(*keys).agg(*packed_sums(paragraph))
-    return sums.select(*keys, F.array(*[F.col(f"v{i}") for i in range(WORDS + 1)]).alias("vector"))
+    return sums.select(*keys, sum_array().alias("vector"))
 
 
 def exploded(text: Column) -> Column:
@@ -78,11 +92,12 @@ def remove(a: Column, b: Column) -> Column:
 
 
 def _reduced(v: Column) -> Column:
-    return F.transform(v, lambda x, i: x.bitwiseAND(F.when(i == 0, F.lit(COUNT_MASK)).otherwise(F.lit(WORD_MASK))))
+    mask = lambda i: F.when((i > 0) & (i <= WORDS), F.lit(WORD_MASK)).otherwise(F.lit(WIDE_MASK))
+    return F.transform(v, lambda x, i: x.bitwiseAND(mask(i)))
 
 
 def as_string(v: Column) -> Column:
-    return F.array_join(F.transform(v, lambda x, i: F.when(i == 0, F.lpad(F.hex(x), 8, "0")).otherwise(F.lpad(F.hex(x), 15, "0"))), "")
+    return F.array_join(F.transform(v, lambda x, i: F.when((i > 0) & (i <= WORDS), F.lpad(F.hex(x), 15, "0")).otherwise(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def _dot(a: str, b: str) -> Column:
@@ -102,19 +117,26 @@ def likeness(df: DataFrame, a: str, b: str, into: str) -> DataFrame:
     return df.withColumn(into, value)
 
 
-def in_ranges(df: DataFrame, rows_per_bucket: int = 2000, max_buckets: int = 4096) -> DataFrame:
+def range_of(value: Column, bounds: np.ndarray) -> Column:
+    """How many of the ascending bounds are at most the value: among every BLOCK-th first, then within the block."""
+    if not len(bounds):
+        return F.lit(0)
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= value))
+    block = upto(F.lit(bounds[::BLOCK]))
+    within = upto(F.slice(F.lit(bounds), (block - 1) * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(block == 0, 0).otherwise((block - 1) * BLOCK + within)
+
+
+def in_ranges(df: DataFrame, range_rows: int = RANGE_ROWS, most_ranges: int = MOST_RANGES) -> DataFrame:
     """Rows (doc_id, text) with __bucket, a range of doc_id, and __copy: a copy of each range's first row closes the
     range before it, the first of all the last, so that no window over the next document spans the table. Ranges are
     cut at quantiles; rows that share a doc_id share a range."""
     df = df.withColumn("__tie", F.xxhash64("text"))
     n = df.count()
-    buckets = max(1, min(max_buckets, -(-n // rows_per_bucket)))
+    buckets = max(1, min(most_ranges, -(-n // range_rows)))
     cuts = df.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    bucket = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))))
+    bounds = np.array(sorted({int(c) for c in cuts}), np.int64)
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(range_of(F.col("doc_id"), bounds))
     df = df.withColumn("__bucket", bucket)
     firsts = df.groupBy("__bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "__tie")).alias("f")).orderBy("__bucket").collect()  # a row a range
     closes = [(firsts[(i + 1) % len(firsts)].f.doc_id, firsts[(i + 1) % len(firsts)].f["__tie"], row["__bucket"]) for i, row in enumerate(firsts)]
@@ -139,7 +161,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("about", about).select("__bucket", "__at", "about", F.posexplode(F.array("text", "__edited")).alias("kind", "t"))
     parts = rows.select("__bucket", "__at", "about", "kind", exploded(F.col("t")).alias("paragraph"))
     sums = hashed(parts, "paragraph").groupBy("__bucket", "__at", "kind").agg(F.first("about").alias("about"), *packed_sums("paragraph"))
-    sums = sums.select("__bucket", "__at", "kind", "about", F.array(*[F.col(f"v{i}") for i in range(WORDS + 1)]).alias("vector"))
+    sums = sums.select("__bucket", "__at", "kind", "about", sum_array().alias("vector"))
     order = Window.partitionBy("__bucket").orderBy("__at", "kind")
     sums = sums.withColumn("edited_vector", F.lead("vector", 1).over(order)).withColumn("next_vector", F.lead("vector", 2).over(order))
     sums = sums.filter((F.col("kind") == 0) & ~F.col("about")["__copy"]).select("about.*", "vector", "edited_vector", "next_vector")
