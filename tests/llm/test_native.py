@@ -136,6 +136,23 @@ def test_markov_adds_random_strings_only(spark):
     assert MarkovPair.train(samples(spark).filter("label = 1")) is None
 
 
+@pytest.mark.parametrize("kind", ["base62", "base64", "urlsafe", "upper", "lower", "base32", "hex upper"])
+def test_recall_by_format_and_false_alarms(spark, kind):
+    """At least 0.9 of the random strings of each format are found, and at most 0.01 of ordinary identifiers are."""
+    import random
+    import string
+
+    letters, digits = string.ascii_letters, string.digits
+    alphabet = {"base62": letters + digits, "base64": letters + digits + "+/", "urlsafe": letters + digits + "-_", "upper": string.ascii_uppercase + digits, "lower": string.ascii_lowercase + digits, "base32": string.ascii_uppercase + "234567", "hex upper": "0123456789ABCDEF"}[kind]
+    rng = random.Random(31)
+    parts = "alpha beta river mountain report quarter invoice customer backup restore monthly archive picture gallery winter summer".split()
+    rows = [(i, f"a value {''.join(rng.choice(alphabet) for _ in range(rng.choice((20, 24, 32, 40))))} there") for i in range(300)]
+    rows += [(1000 + i, f"see {rng.choice('_-/').join(rng.choice(parts) for _ in range(4))} or {''.join(rng.choice(parts).title() for _ in range(4))}") for i in range(300)]
+    out = secret_spans(spark.createDataFrame(rows, DOCS)).collect()
+    assert sum(r.n_markov > 0 for r in out if r.doc_id < 1000) >= 270
+    assert sum(r.n_markov > 0 for r in out if r.doc_id >= 1000) <= 3
+
+
 def test_default_training_finds_planted_secrets(spark):
     import random
 
@@ -185,10 +202,29 @@ def test_ranges_do_not_change_results(spark, monkeypatch):
     docs = spark.createDataFrame([(i * 7 % 501, f"Doc {i}. Shared line. Another {i % 5}.\nTail {i}") for i in range(300)], DOCS)
     whole = got(document_fingerprints(docs), "doc_id", "edited_sha256", "near_next", "near_edited")
     split = fingerprints.in_ranges
-    monkeypatch.setattr(fingerprints, "in_ranges", lambda df: split(df, rows_per_bucket=23))
+    monkeypatch.setattr(fingerprints, "BLOCK", 4)
+    monkeypatch.setattr(fingerprints, "in_ranges", lambda df: split(df, range_rows=23))
     assert got(document_fingerprints(docs), "doc_id", "edited_sha256", "near_next", "near_edited") == whole
 
 
+def test_range_of_counts_bounds(spark):
+    import numpy as np
+
+    for bounds in ([], [5], list(range(0, 3000, 3))):
+        values = [-1, 0, 4, 5, 6, 1500, 2996, 2997, 10_000]
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        found = [r.r for r in df.select(fingerprints.range_of(F.col("v"), np.array(bounds, np.int64)).alias("r")).collect()]
+        assert found == [sum(b <= v for b in bounds) for v in values]
+
+
+def test_wide_words_are_full_words(spark):
+    docs = spark.createDataFrame([(i, f"paragraph {i}") for i in range(200)], "k long, text string")
+    vectors = [r.vector for r in fingerprint(docs, "k").collect()]
+    wide = {w for v in vectors for w in v[1 + fingerprints.WORDS :]}
+    assert all(len(v) == 1 + fingerprints.WORDS + fingerprints.WIDE for v in vectors)
+    assert len(wide) == 200 * fingerprints.WIDE and max(wide) > 1 << 31
+
+
 def test_homomorphism(spark):
     rows = spark.createDataFrame([("a", "One. Two. Three."), ("b", "Four.\nFive."), ("c", "Five. One.\nThree. Four. Two.")], "k string, text string")
     v = {r.k: r.vector for r in fingerprint(rows, "k").collect()}

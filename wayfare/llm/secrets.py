@@ -7,11 +7,12 @@ samples with add-one smoothing; a token's score is its log-likelihood ratio per
 above the threshold and overlaps no base span is added with kind ``markov``. The threshold is the midpoint between
 what ordinary samples hardly reach (their median and four times their upper quartile's distance from it, in standard
 deviations, so that some secrets among them do not move it) and the 1st percentile of random ones, never below zero.
-Ordinary samples above it are then left out and the chains fitted once more.
+Ordinary samples above it are then left out and the chains fitted once more, with samples of no label below it.
 
 The labelled samples of the query do not come from the patterns: random strings over several alphabets and identifiers
-made of common words (``made_samples``, the same each time) and, as ordinary, the other long tokens of all documents
-(``corpus_tokens``), each once.
+made of common words (``made_samples``, the same each time). The other long tokens of all documents (``corpus_tokens``),
+each once, are samples without a label: those that the first fit does not find random are ordinary in the second, so
+secrets among them are not learnt as ordinary.
 
 Defined results: null and empty texts have no spans; no samples of either label leaves the method silent, base spans
 stay; rows are scanned one by one, so equal rows have equal spans.
@@ -106,6 +107,10 @@ def _tokens(df: DataFrame, into: str = "tokens") -> DataFrame:
     return df.withColumn(into, F.filter(found, lambda x: x["t"].rlike("[A-Za-z]"))).drop("__at", "__base")
 
 
+#: The label of samples that may be of either kind.
+UNLABELLED = -1
+
+
 def made_samples() -> list[tuple[str, int]]:
     """Labelled samples (text, label): 1 for random strings over each of RANDOM, 0 for identifiers of several styles."""
     rng = random.Random(20)
@@ -127,7 +132,7 @@ def corpus_tokens(docs: DataFrame) -> DataFrame:
 
 def default_samples(docs: DataFrame) -> DataFrame:
     made = docs.sparkSession.createDataFrame(made_samples(), "text string, label int")
-    return cut(corpus_tokens(docs).withColumn("label", F.lit(0)).unionByName(made))
+    return cut(corpus_tokens(docs).withColumn("label", F.lit(UNLABELLED)).unionByName(made))
 
 
 def transitions(text: Column) -> Column:
@@ -143,10 +148,11 @@ class MarkovPair:
 
     @classmethod
     def train(cls, samples: DataFrame) -> MarkovPair | None:
-        """From (text, label) rows; None where a label has no samples."""
+        """From (text, label) rows; None where a label has no samples. Unlabelled ones count as ordinary from the second
+        fit on, if the first does not find them random."""
         width = len(ALPHABET) + 1
         samples = samples.filter(F.char_length("text") > 1)
-        pair, fitted = None, samples
+        pair, fitted = None, samples.filter(F.col("label") != UNLABELLED)
         for _ in range(2):
             counts = fitted.select("label", F.explode_outer(transitions(F.col("text"))).alias("k")).groupBy("label", "k").count().collect()  # at most 2 * 67 ** 2 rows
             table = np.ones((2, width, width))
@@ -158,11 +164,12 @@ class MarkovPair:
                 return pair
             logp = np.log(table / table.sum(axis=2, keepdims=True))
             pair = cls((logp[1] - logp[0]).ravel(), 0.0)
-            scored = samples.withColumn("score", pair.score(F.col("text")))
+            scored = fitted.withColumn("score", pair.score(F.col("text")))
             marks = {r.label: r.q for r in scored.groupBy("label").agg(F.percentile_approx("score", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.75)), 10_000).alias("q")).collect()}
             _, middle, upper = marks[0]
             pair.threshold = max(0.0, (middle + 4 * (upper - middle) / 0.6745 + marks[1][0]) / 2)
-            fitted = scored.filter((F.col("label") == 1) | (F.col("score") <= F.lit(float(pair.threshold)))).select("text", "label")
+            scored = samples.withColumn("score", pair.score(F.col("text")))
+            fitted = scored.filter((F.col("label") == 1) | (F.col("score") <= F.lit(float(pair.threshold)))).select("text", F.greatest("label", F.lit(0)).alias("label"))
         return pair
 
     def score(self, text: Column) -> Column:
