@@ -9,7 +9,7 @@ import pytest
 
 from wayfare.llm import jaccard, sketch, substrings, textnum, units
 from wayfare.llm.components import local_components, star_components
-from wayfare.llm.jaccard import jaccard_components, link_overlap
+from wayfare.llm.jaccard import deduplicated, jaccard_components, link_overlap
 from wayfare.llm.substrings import dedup_substrings
 
 DOCS = "doc_id long, text string"
@@ -267,3 +267,18 @@ def test_edges_of_a_gram_hold_every_link():
         u, v = jaccard.candidate_edges(h.astype(np.uint64), classes[who], sizes[who], place, vectors[who], 85, near)
         label = dict(zip(classes.tolist(), local_components(len(sets), np.searchsorted(classes, u), np.searchsorted(classes, v)).tolist(), strict=True))
         assert all(label[classes[i]] == label[classes[j]] for i, j in links)
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(4)
+    make = lambda: [rng.choice([f"n{i}" for i in range(500)]) for _ in range(60)]
+    x, y, z = make(), make(), make()
+    near = [*y[:-1], "other"]
+    text = " ".join
+    rows = [(1, text(x)), (5, text(x)), (5, text(y)), (7, text(near)), (9, text(z)), (9, text(z)), (None, text(z)), (None, text(make())), (3, None), (4, ""), (4, ""), (6, text(x).upper())]
+    docs = spark.createDataFrame([(d, t, i, "c", None) for i, (d, t) in enumerate(rows)], "doc_id long, text string, `a.b` int, class string, __row string").repartition(3)
+    out = deduplicated(docs, 5, 80)
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert kept == sorted([(1, text(x)), (5, text(y)), (9, text(z)), rows[7], (3, None), (4, "")], key=str)
+    assert deduplicated(docs.limit(0)).count() == 0

@@ -356,6 +356,34 @@ def test_toxicity_without_labels(spark):
     assert toxicity(docs, model).first().score == 1.0
 
 
+def test_encode_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6), (2, None, 7, 8)], "doc_id long, text string, `a.b` int, ids int")
+    out = {r.doc_id: r for r in encode(docs, BYTE).collect()}
+    assert out[1]["a.b"] == 5 and out[1].ids == LIBRARY[BYTE].encode("a b", add_special_tokens=False).ids and out[2].n_tokens == 0
+    graded = quality.grade(docs.withColumn("kept", F.lit("x")), quality.OrdinalModel.train(["a", "b"], [0, 1])).collect()
+    assert all(isinstance(r.kept, bool) and r["a.b"] in (5, 7) for r in graded)
+
+
+def test_pipeline_stages_cope_with_odd_tables(spark, tmp_path):
+    """Repeated ids, nulls in every column, clashing and dotted names, and empty tables, at every stage."""
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, ids string, kept int, markov string, class string"
+    rows = [(1, "some words here now and then", "en", None, 5, 1, "x", 2, None, "c"), (1, "some words here now and then", "en", None, 5, 1, "x", 2, None, "c"), (1, "quite other words of this text", None, "s", None, None, None, None, "m", None), (None, None, None, None, None, None, None, None, None, None), (2, "", "en", "s", 0, 1, "", 0, "", "")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "unrelated item of the benchmark"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            assert out.columns == docs.columns or name == corpus_pipeline.STAGES[-1][0]
+            assert out.count() <= len(table)
+    near = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, schema), folder)
+    assert sorted(str(r.text) for r in near.collect()) == sorted(["some words here now and then", "quite other words of this text", "None", ""])
+
+
 def test_pipeline_on_fixture(spark, tmp_path):
     import corpus_pipeline
 

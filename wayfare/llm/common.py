@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_dirs: dict[str, str] = {}
 
@@ -43,6 +44,16 @@ def text_column(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def as_row(df: DataFrame, columns: list[str] | None = None):
+    """The columns as one struct: names with dots, or that clash, then pass through any function."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)])
+
+
+def with_fields(field, ddl: str):
+    """A schema of one field and those of a DDL string; names inside the field may be of any kind."""
+    return T.StructType([field, *T.StructType.fromDDL(ddl).fields])
+
+
 def pow2_at_least(n: float) -> int:
     """Exponent of the least power of two that is n or more."""
     return max(0, int(n - 1).bit_length()) if n > 1 else 0

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import textnum
 from wayfare.llm.bpe import Bpe, Lexicon, build_lexicon
-from wayfare.llm.common import shared_dir, text_column
+from wayfare.llm.common import as_row, shared_dir, text_column, with_fields
 
 LEXICON_PIECES = 32_768
 COUNT_BUCKETS = 64
@@ -444,10 +444,11 @@ def encoded_batches(batches, encoder: Encoder, texts_at_once: int = 512):
 
 
 def encode(docs: DataFrame, path: str, lexicon_pieces: int = LEXICON_PIECES) -> DataFrame:
-    """docs with n_tokens and ids (array<int>) for its text; other columns stay."""
+    """docs with n_tokens and ids (array<int>) for its text, in place of columns of these names; other columns stay. Null
+    text has no ids."""
     name = shared_lexicon(docs, path, lexicon_pieces)
     own = [c for c in docs.columns if c not in ("n_tokens", "ids")]
-    base = docs.select(*own).withColumn("text", text_column(docs))
+    base = docs.select(as_row(docs, own).alias("row"), text_column(docs).alias("text"))
 
     def run(batches):
         encoder = worker_encoder(path, name)
@@ -455,24 +456,23 @@ def encode(docs: DataFrame, path: str, lexicon_pieces: int = LEXICON_PIECES) ->
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             sizes = np.array([len(x) for x in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=[*part.schema.names, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["row", "n_tokens", "ids"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, n_tokens long, ids array<int>")
+    return base.mapInArrow(run, with_fields(base.schema["row"], "n_tokens long, ids array<int>")).select("row.*", "n_tokens", "ids")
 
 
 def decode(encoded: DataFrame, path: str, into: str = "decoded") -> DataFrame:
-    """encoded with the text of its ids; null ids are empty."""
-    base = encoded.drop(into).withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    """encoded with the text of its ids, in place of a column of that name; null ids are empty."""
+    own = [c for c in encoded.columns if c != into]
+    base = encoded.select(as_row(encoded, own).alias("row"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):
         encoder = Encoder(path)
         for batch in batches:
             ids = [np.asarray(x, np.int64) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encoder.decode(ids), pa.string())], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(encoder.decode(ids), pa.string())], names=["row", "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, {into} string")
+    return base.mapInArrow(run, with_fields(base.schema["row"], "decoded string")).select("row.*", F.col("decoded").alias(into))
 
 
 def decimals(ids: np.ndarray) -> bytes:

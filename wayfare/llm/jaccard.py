@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm import sketch, textnum, units
-from wayfare.llm.common import staged, text_column
+from wayfare.llm.common import as_row, staged, text_column
 from wayfare.llm.components import joined_up, lookup, star_components
 
 GRAM = 4
@@ -187,20 +187,23 @@ def _docs_row(part: pa.RecordBatch, classes: np.ndarray, sizes: np.ndarray) -> p
     """One row with the documents of a slice; the columns of units are null there."""
     known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
     ids = np.ascontiguousarray(part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    own = [x.tobytes() for x in (ids, known.astype(np.uint8), classes, sizes.astype(np.int64))]
+    own = [x.tobytes() for x in (ids, known.astype(np.uint8), np.ascontiguousarray(part.column("key").to_numpy()), classes, sizes.astype(np.int64))]
     return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] + [pa.nulls(1, pa.binary())] * 4 + [pa.array([x], pa.binary()) for x in own], names=[*units.NAMES, *DOCS])
 
 
-DOCS = ["ids", "known", "classes", "shingles"]
+DOCS = ["ids", "known", "texts", "classes", "shingles"]
 SIGNED = units.DDL + ", " + ", ".join(f"{c} binary" for c in DOCS)
 
 
+ROWS_DDL = "doc_id long, key long, class long, n_shingles long"
+
+
 def _documents(batches):
-    """doc_id, class, n_shingles of the rows that _docs_row made."""
+    """The rows (ROWS_DDL) that _docs_row made."""
     for batch in batches:
-        for ids, known, classes, sizes in zip(*(batch.column(c).to_pylist() for c in DOCS), strict=True):
-            ids, known, classes, sizes = np.frombuffer(ids, np.int64), np.frombuffer(known, np.uint8), np.frombuffer(classes, np.int64), np.frombuffer(sizes, np.int64)
-            yield _rows({"doc_id": (pa.array(ids, mask=known == 0), pa.int64()), "class": (pa.array(classes, mask=sizes == 0), pa.int64()), "n_shingles": (sizes, pa.int64())})
+        for held in zip(*(batch.column(c).to_pylist() for c in DOCS), strict=True):
+            ids, known, keys, classes, sizes = (np.frombuffer(x, t) for x, t in zip(held, (np.int64, np.uint8, np.int64, np.int64, np.int64), strict=True))
+            yield _rows({"doc_id": (pa.array(ids, mask=known == 0), pa.int64()), "key": (keys, pa.int64()), "class": (pa.array(classes, mask=sizes == 0), pa.int64()), "n_shingles": (sizes, pa.int64())})
 
 
 def class_sets(group: pa.Table, gram: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -216,7 +219,34 @@ def class_sets(group: pa.Table, gram: int) -> tuple[np.ndarray, list[np.ndarray]
 
 def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile_bytes: int = TILE_BYTES, tile_sets: int = TILE_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id (see the module), a row per row of docs."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    found = _components(docs, gram, percent, tile_bytes, tile_sets)[0]
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, of which one stays of each component: that of the least doc_id, known ids before
+    none, and of the least hash of the text among rows of one id. Of rows equal in doc_id and text one stays, whatever
+    their other columns hold; texts without words are in no component."""
+    rows, total = _components(docs, gram, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    grouped = rows.filter("component IS NOT NULL").withColumn("place", place)
+    first = grouped.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("__n"))
+    gone = lookup(grouped.select("component", "place"), first, "component", total).filter(F.col("place") != F.col("first"))
+    gone = gone.select("place.doc_id", "place.key").distinct()
+    twice = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "key")
+    twice = twice.join(gone, twice.doc_id.eqNullSafe(gone.doc_id) & (twice.key == gone.key), "left_anti")
+    marked = gone.withColumn("__gone", F.lit(True)).unionByName(twice.withColumn("__gone", F.lit(False)))
+    marked = staged(marked.withColumnsRenamed({"doc_id": "__marked", "key": "__marked_text"}), "marked")  # its size is known to the join
+    held = docs.select(as_row(docs).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text_column(docs)).alias("__text"))
+    held = held.join(marked, F.col("__id").eqNullSafe(F.col("__marked")) & (F.col("__text") == F.col("__marked_text")), "left")
+    once = held.filter("__gone IS NULL").unionByName(held.filter("NOT __gone").dropDuplicates(["__id", "__text"]))
+    return once.select("__row.*")
+
+
+def _components(docs: DataFrame, gram: int, percent: int, tile_bytes: int = TILE_BYTES, tile_sets: int = TILE_SETS) -> tuple[DataFrame, int]:
+    """(doc_id, key (hash of the text), n_shingles, component, component_id), a row per row of docs, and the number of
+    rows with words; component is null where a row is alone or without words."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).withColumn("key", F.xxhash64("text"))
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = units.unit_count(n_bytes)
 
@@ -240,7 +270,7 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
 
     held = staged(base.mapInArrow(signed, SIGNED), "signed")
     texts = held.filter("unit IS NOT NULL").select(*units.NAMES).repartition(units.partitions(parts), "unit")
-    rows = held.filter("unit IS NULL").select(*DOCS).mapInArrow(_documents, "doc_id long, class long, n_shingles long")
+    rows = held.filter("unit IS NULL").select(*DOCS).mapInArrow(_documents, ROWS_DDL)
     owners = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
     owners = staged(owners, "classes")
     counts = sketch.Sketch(n_bytes // 6 + 1, THRESHOLDS)
@@ -343,13 +373,15 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     return _with_components(rows, owners, star_components(edges))
 
 
-def _with_components(rows: DataFrame, owners: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows (doc_id, class, n_shingles) with their component_id; owners are their classes, roots components of those."""
+def _with_components(rows: DataFrame, owners: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """What _components returns, for rows (ROWS_DDL); owners are their classes, roots components of those."""
     linked = owners.join(roots, F.col("class") == F.col("node")).select("class", "root", "doc_id")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("__n"))
     total = owners.agg(F.count("*").alias("classes"), F.sum("rows").alias("rows")).first()
-    linked = lookup(linked, least, "root", total.classes).select("class", "component_id", F.lit(True).alias("linked"))
-    shared = owners.join(linked, "class", "left").filter("linked OR rows > 1").select("class", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rows").alias("__n"))
-    with_class = lookup(rows.filter("class IS NOT NULL"), shared, "class", total.rows or 0, "left")
-    every = with_class.select("doc_id", "n_shingles", "component_id").unionByName(rows.filter("class IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
-    return every.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = lookup(linked, least, "root", total.classes).select("class", "component_id", F.col("root").alias("linked"))
+    shared = owners.join(linked, "class", "left").filter("linked IS NOT NULL OR rows > 1").select("class", F.coalesce("linked", "class").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rows").alias("__n"))
+    out = ["doc_id", "key", "n_shingles", "component", "component_id"]
+    with_class = lookup(rows.filter("class IS NOT NULL"), shared, "class", total.rows or 0, "left").select(*out)
+    none = F.lit(None).cast("long")
+    without = rows.filter("class IS NULL").withColumns({"component": none, "component_id": none}).select(*out)
+    return with_class.unionByName(without), total.rows or 0

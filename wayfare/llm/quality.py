@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm import textnum
-from wayfare.llm.common import text_column
+from wayfare.llm.common import as_row, text_column, with_fields
 from wayfare.llm.sampling import labelled
 
 SAMPLE = 4_000
@@ -131,10 +131,11 @@ class OrdinalModel:
 
 
 def grade(docs: DataFrame, model: OrdinalModel, least: int | None = None, keep: float = KEEP) -> DataFrame:
-    """docs with expected_grade, tail_probability (of ``least``, the best grade unless given, or better) and kept."""
+    """docs with expected_grade, tail_probability (of ``least``, the best grade unless given, or better) and kept, in place
+    of columns of these names."""
     own = [c for c in docs.columns if c not in ("expected_grade", "tail_probability", "kept")]
     at = len(model.grades) - 1 if least is None else int(np.searchsorted(model.grades, least))
-    base = docs.select(*own)
+    base = docs.select(as_row(docs, own).alias("row"), text_column(docs).alias("text"))
 
     def run(batches):
         grades = np.array(model.grades, float)
@@ -144,10 +145,10 @@ def grade(docs: DataFrame, model: OrdinalModel, least: int | None = None, keep:
                 tails = model.tails(s)
                 expected = grades[0] + tails @ np.diff(grades)
                 tail = tails[:, at - 1] if at else np.ones(len(s))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= keep, pa.bool_())], names=[*part.schema.names, "expected_grade", "tail_probability", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= keep, pa.bool_())], names=["row", "expected_grade", "tail_probability", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, expected_grade double, tail_probability double, kept boolean")
+    made = ["expected_grade", "tail_probability", "kept"]
+    return base.mapInArrow(run, with_fields(base.schema["row"], "expected_grade double, tail_probability double, kept boolean")).select("row.*", *made)
 
 
 def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", sample: int = SAMPLE, folds: tuple[int, ...] | None = None) -> OrdinalModel:
