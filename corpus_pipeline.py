@@ -7,49 +7,51 @@ docs. All but the last return the columns of documents; the last adds token ids
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wayfare.llm.common import staged, table
+from wayfare.llm.common import as_row, staged, table
 
 SHINGLE_WORDS = 5
 SHINGLE_PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts go whose probability of the best grade is below a half."""
+    """Texts go whose probability of the best grade is below a half. Null and empty texts are judged by the model's
+    intercept; without labels all stay; columns of any name stay."""
     from wayfare.llm import quality
 
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return quality.grade(rows, model).filter("kept").select("row.*")
+    rows = docs.select(as_row(docs).alias("own"), "text")
+    return quality.grade(rows, model).filter("kept").select("own.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, the least doc_id stays;
-    rows without doc_id stay."""
-    from wayfare.llm.jaccard import jaccard_components
+    """Of each component of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more one row stays, that of
+    the least doc_id (rows without one come last, rows of one id by a hash of their text); of rows equal in doc_id and
+    text one stays. Null texts are empty, and texts without words are in no component."""
+    from wayfare.llm.jaccard import deduplicated
 
-    groups = jaccard_components(docs, gram=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
+    return deduplicated(docs, gram=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
+    """Documents that hold ten consecutive words of a benchmark item go; rows are judged by their own text, so rows that
+    share an id may part. Null texts hold nothing and stay; an empty benchmark leaves all; columns of any name stay."""
     from wayfare.llm.decontaminate import decontaminated
 
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; n_chars is that of the masked text."""
+    """Secrets are masked in the text; n_chars is that of the masked text, and both stay as they are where there is no
+    secret, null texts included. No row goes, equal rows are masked alike, and columns of any name stay."""
     from wayfare.llm.secrets import redacted
 
     return redacted(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become ids: the columns of documents but text, with n_tokens and ids."""
+    """Texts become ids: the columns of documents but text, with n_tokens and ids in place of columns of these names. Null
+    and empty texts have no ids; no row goes."""
     import public_tokenizers
 
     from wayfare.llm.encoding import encode
