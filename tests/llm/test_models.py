@@ -319,6 +319,30 @@ def test_ordinal_grades(spark):
     assert all(0 <= r.tail_probability <= 1 and r.kept == (r.tail_probability >= 0.5) for r in out.values())
 
 
+def test_slope_is_that_of_the_loss():
+    rows = rated(24)
+    entries = quality._sparse([t for _, t, _ in rows])
+    above = np.array([g for _, _, g in rows])[:, None] > np.arange(2)
+    rng = np.random.RandomState(0)
+    params = np.concatenate([rng.normal(0, 0.05, 1 << quality.LOG_FEATURES), [0.3, -0.4]])
+    found = quality.slope(params, entries, above)
+    for k in [*np.unique(entries[1])[::17].tolist(), len(params) - 2, len(params) - 1]:
+        step = np.zeros_like(params)
+        step[k] = 1e-5
+        assert found[k] == pytest.approx((quality.loss(params + step, entries, above) - quality.loss(params - step, entries, above)) / 2e-5, abs=1e-6)
+    model = quality.OrdinalModel.train([t for _, t, _ in rows], [g for _, _, g in rows])
+    fitted = np.concatenate([model.weights, [model.thresholds[0], np.log(np.expm1(np.diff(model.thresholds)[0]))]])
+    assert quality.loss(fitted, entries, above) < 0.5 * quality.loss(np.concatenate([np.zeros(1 << quality.LOG_FEATURES), fitted[-2:]]), entries, above)
+
+
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs, labels, folds=(1, 2, 3, 4))
+    out = {r.doc_id: r.kept for r in quality.grade(docs, model).select("doc_id", "kept").collect()}
+    held = [(out[r.doc_id], bool(r.quality)) for r in labels.collect() if fold_of(r.doc_id) == 0 and r.quality is not None]
+    assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.95
+
+
 def test_quality_without_ratings(spark):
     docs, none = spark.createDataFrame([(1, "a"), (2, None)], DOCS), spark.createDataFrame([], "doc_id long, quality int")
     assert {(r.kept, r.expected_grade) for r in quality.quality(docs, none).collect()} == {(True, 0.0)}

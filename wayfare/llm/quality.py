@@ -93,6 +93,31 @@ def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(places), np.concatenate(values)
 
 
+def thresholds_of(params: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, and gaps that are positive by their softplus."""
+    at = 1 << LOG_FEATURES
+    return params[at] + np.concatenate([[0.0], np.cumsum(np.logaddexp(0, params[at + 1 :]))])
+
+
+def loss(params: np.ndarray, entries: tuple, above: np.ndarray) -> float:
+    """Mean over texts of the log losses at all thresholds, and the penalty on the weights."""
+    row, feature, value = entries
+    s = np.bincount(row, value * params[feature], len(above))
+    z = s[:, None] - thresholds_of(params)
+    return float((np.logaddexp(0, z) - above * z).sum() / len(above) + PENALTY / 2 * (params[: 1 << LOG_FEATURES] ** 2).sum())
+
+
+def slope(params: np.ndarray, entries: tuple, above: np.ndarray) -> np.ndarray:
+    """The gradient of the loss."""
+    row, feature, value = entries
+    size = 1 << LOG_FEATURES
+    s = np.bincount(row, value * params[feature], len(above))
+    wrong = (_logistic(s[:, None] - thresholds_of(params)) - above) / len(above)
+    by_weight = np.bincount(feature, value * wrong.sum(axis=1)[row], size) + PENALTY * params[:size]
+    gaps = [-wrong[:, k:].sum() * _logistic(params[size + k]) for k in range(1, above.shape[1])]
+    return np.concatenate([by_weight, [-wrong.sum()], gaps])
+
+
 class OrdinalModel:
     """Grades 0 .. K - 1 with K - 1 ordered thresholds; ``grades`` are the ratings they stand for, ascending."""
 
@@ -104,26 +129,18 @@ class OrdinalModel:
         grades = sorted(set(ratings))
         if len(grades) < 2:
             return cls(np.zeros(1 << LOG_FEATURES), np.zeros(0), grades or [0])
-        row, feature, value = _sparse(texts)
-        y = np.searchsorted(grades, ratings)
-        above = y[:, None] > np.arange(len(grades) - 1)  # each threshold is a question that all texts answer
+        entries = _sparse(texts)
+        above = np.searchsorted(grades, ratings)[:, None] > np.arange(len(grades) - 1)  # each threshold is a question that all texts answer
         share = above.mean(axis=0).clip(1e-3, 1 - 1e-3)
         first = -np.log(share[0] / (1 - share[0]))
         gaps = np.diff(-np.log(share / (1 - share))).clip(1e-2)
         params = np.concatenate([np.zeros(1 << LOG_FEATURES), [first], np.log(np.expm1(gaps))])
         m, v = np.zeros_like(params), np.zeros_like(params)
-        n, size = len(texts), 1 << LOG_FEATURES
         for step in range(1, steps + 1):
-            gap = np.logaddexp(0, params[size + 1 :])
-            thresholds = np.concatenate([[params[size]], params[size] + np.cumsum(gap)])
-            s = np.bincount(row, value * params[feature], n)
-            wrong = (_logistic(s[:, None] - thresholds) - above) / n
-            by_text = wrong.sum(axis=1)
-            slope = np.concatenate([np.bincount(feature, value * by_text[row], size) + PENALTY * params[:size], [-wrong.sum()], [-wrong[:, k:].sum() * _logistic(params[size + k]) for k in range(1, len(thresholds))]])
-            m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+            down = slope(params, entries, above)
+            m, v = 0.9 * m + 0.1 * down, 0.999 * v + 0.001 * down**2
             params = params - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        gap = np.logaddexp(0, params[size + 1 :])
-        return cls(params[:size], np.concatenate([[params[size]], params[size] + np.cumsum(gap)]), grades)
+        return cls(params[: 1 << LOG_FEATURES], thresholds_of(params), grades)
 
     def tails(self, s: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold k, descending along k."""
