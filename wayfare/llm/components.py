@@ -38,9 +38,11 @@ def joined_up(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], root[moved]
 
 
-def lookup(df: DataFrame, found: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+def lookup(df: DataFrame, found: DataFrame, key: str, rows: int, how: str = "inner", stage: bool = True) -> DataFrame:
     """df joined with ``found``, which has one row a key and its number of rows in df as __n. Keys that hold more than
-    HOT_SHARE of df's ``rows`` rows, fewer than 1 / HOT_SHARE of them, are joined by broadcast, the others by shuffle."""
+    HOT_SHARE of df's ``rows`` rows, fewer than 1 / HOT_SHARE of them, are joined by broadcast, the others by shuffle.
+    ``found`` is read three times and df twice, so it is staged unless told otherwise, and df should be a stored table."""
+    found = staged(found, "found") if stage else found
     most = max(1, int(rows * HOT_SHARE))
     hot = F.broadcast(found.filter(F.col("__n") > most).drop("__n"))
     by_hot = df.join(hot, key)

@@ -229,6 +229,7 @@ def deduplicated(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     their other columns hold; texts without words are in no component."""
     rows, total = _components(docs, gram, percent)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    rows = staged(rows, "components")
     grouped = rows.filter("component IS NOT NULL").withColumn("place", place)
     first = grouped.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("__n"))
     gone = lookup(grouped.select("component", "place"), first, "component", total).filter(F.col("place") != F.col("first"))
@@ -315,10 +316,11 @@ def _components(docs: DataFrame, gram: int, percent: int, tile_bytes: int = TILE
     around = star_components(sent.groupBy("segment").applyInArrow(neighbours, "u long, v long"))
     around = staged(owners.join(around, F.col("class") == F.col("node")).select("class", "n", "root"), "neighbourhoods")
     about = around.groupBy("root").agg(F.count("*").alias("__n"), F.sum("n").alias("grams"), F.greatest(F.ceil(F.sum("n") * 8 / F.lit(tile_bytes)), F.ceil(F.count("*") / F.lit(tile_sets))).cast("int").alias("tiles"))
+    about = staged(about, "about")
     total = about.agg(F.sum("grams").alias("grams"), F.sum("__n").alias("classes"), F.max("tiles").alias("tiles")).first()
     members, tiled = total.classes or 0, (total.tiles or 0) > 1
     groups = max(1, int(total.grams or 0) * 8 // tile_bytes + 1)
-    placed = lookup(around, about.select("root", "tiles", "__n"), "root", members)
+    placed = lookup(around, about.select("root", "tiles", "__n"), "root", members, stage=False)
     small = placed.filter("tiles = 1").select("class", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.pmod(F.xxhash64("root"), F.lit(groups)).alias("task"))
     large = placed.filter("tiles > 1").select("class", "root", "tiles", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int").alias("tile"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -364,7 +366,7 @@ def _components(docs: DataFrame, gram: int, percent: int, tile_bytes: int = TILE
         sizes = part.groupBy("root", "part").agg(F.count("*").alias("k"))
         main = sizes.groupBy("root").agg(F.max(F.struct("k", "part")).alias("m"), F.sum("k").alias("__n"))
         main = main.filter(F.col("__n") > F.col("m.k")).select("root", F.col("m.part").alias("main"), F.ceil((F.col("__n") - F.col("m.k")) / F.lit(tile_sets)).cast("int").alias("rests"), "__n")
-        part = lookup(part, main, "root", members)
+        part = staged(lookup(part, main, "root", members), "parts")
         task = F.xxhash64("root", "i", "j", F.lit(1)).alias("task")
         rest = part.filter("part <> main").withColumn("i", F.pmod(F.xxhash64("class", F.lit(1)), F.col("rests")).cast("int")).withColumn("j", F.explode(upto("tiles")))
         every = part.withColumn("j", F.col("tile")).withColumn("i", F.explode(upto("rests")))
@@ -375,7 +377,7 @@ def _components(docs: DataFrame, gram: int, percent: int, tile_bytes: int = TILE
 
 def _with_components(rows: DataFrame, owners: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """What _components returns, for rows (ROWS_DDL); owners are their classes, roots components of those."""
-    linked = owners.join(roots, F.col("class") == F.col("node")).select("class", "root", "doc_id")
+    linked = staged(owners.join(roots, F.col("class") == F.col("node")).select("class", "root", "doc_id"), "linked")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("__n"))
     total = owners.agg(F.count("*").alias("classes"), F.sum("rows").alias("rows")).first()
     linked = lookup(linked, least, "root", total.classes).select("class", "component_id", F.col("root").alias("linked"))

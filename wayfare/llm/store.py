@@ -204,7 +204,7 @@ def _rebuilt(spark: SparkSession, folder: str, schema: str, columns) -> DataFram
     uses = recipes.select("slot", "start", "doc_id", "n_tokens", "leaf", F.posexplode("chunks").alias("at", "digest"))
     counts = uses.groupBy("digest").agg(F.count("*").alias("__n"))
     total = recipes.agg(F.sum(F.size("chunks"))).first()[0] or 0
-    found = lookup(uses, _chunks(spark, folder).join(counts, "digest"), "digest", total, "left")
+    found = lookup(uses, _chunks(spark, folder).join(counts, "digest"), "digest", total, "left", stage=False)
     kind = np.dtype(f"<u{spark.read.parquet(f'{folder}/format').first().bytes}")
 
     def rebuild(group: pa.Table) -> pa.Table:
