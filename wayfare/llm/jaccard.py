@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from wayfare.llm import sketch, textnum, units
 from wayfare.llm.common import as_row, staged, text_column
 from wayfare.llm.components import joined_up, lookup, star_components
+from wayfare.plans.staging import small
 
 GRAM = 4
 PERCENT = 85
@@ -50,6 +51,8 @@ SEGMENT_KEYS = 4_000_000
 THRESHOLDS = (2, 8, 32)
 #: Classes that a task remembers to have sent.
 MOST_MET = 1_000_000
+#: Rows to go that reach the documents by broadcast (17 bytes each); more are joined by shuffle.
+MARKED_ROWS = 1_000_000
 POSTING = (("grams", np.uint64), ("classes", np.int64), ("sizes", np.int32), ("places", np.int32), ("counts", np.uint8))
 
 
@@ -237,7 +240,7 @@ def deduplicated(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     twice = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "key")
     twice = twice.join(gone, twice.doc_id.eqNullSafe(gone.doc_id) & (twice.key == gone.key), "left_anti")
     marked = gone.withColumn("__gone", F.lit(True)).unionByName(twice.withColumn("__gone", F.lit(False)))
-    marked = staged(marked.withColumnsRenamed({"doc_id": "__marked", "key": "__marked_text"}), "marked")  # its size is known to the join
+    marked = small(staged(marked.withColumnsRenamed({"doc_id": "__marked", "key": "__marked_text"}), "marked"), MARKED_ROWS)
     held = docs.select(as_row(docs).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text_column(docs)).alias("__text"))
     held = held.join(marked, F.col("__id").eqNullSafe(F.col("__marked")) & (F.col("__text") == F.col("__marked_text")), "left")
     once = held.filter("__gone IS NULL").unionByName(held.filter("NOT __gone").dropDuplicates(["__id", "__text"]))
@@ -321,7 +324,7 @@ def _components(docs: DataFrame, gram: int, percent: int, tile_bytes: int = TILE
     members, tiled = total.classes or 0, (total.tiles or 0) > 1
     groups = max(1, int(total.grams or 0) * 8 // tile_bytes + 1)
     placed = lookup(around, about.select("root", "tiles", "__n"), "root", members, stage=False)
-    small = placed.filter("tiles = 1").select("class", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.pmod(F.xxhash64("root"), F.lit(groups)).alias("task"))
+    single = placed.filter("tiles = 1").select("class", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.pmod(F.xxhash64("root"), F.lit(groups)).alias("task"))
     large = placed.filter("tiles > 1").select("class", "root", "tiles", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int").alias("tile"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # each tile with the first one
@@ -358,7 +361,7 @@ def _components(docs: DataFrame, gram: int, percent: int, tile_bytes: int = TILE
         sets = texts.groupBy("unit").cogroup(wanted.groupBy("unit")).applyInArrow(carried, "class long, root long, i int, j int, side int, task long, grams binary")
         return sets.groupBy("task").applyInArrow(links, "u long, v long")
 
-    edges = staged(linked(small.unionByName(first) if tiled else small), "links")
+    edges = staged(linked(single.unionByName(first) if tiled else single), "links")
     if tiled:
         # what is not in the component that most of a large neighbourhood is in, against all of its tiles
         found = star_components(edges).select(F.col("node").alias("class"), F.col("root").alias("part"))
