@@ -419,8 +419,8 @@ def _route_costs(spark, sf):
     return spark.range(1, 101).select(F.col("id").alias("link"), (1 + (F.col("id") * 37 % 64) / 64.0).alias("cost"))
 
 
-_ROUTES = """routes AS (SELECT o.n_nationkey::BIGINT + 1 AS origin, (o.n_nationkey::BIGINT + 1) % 25 + 1 AS destination, k AS route_id,
- unnest([o.n_nationkey::BIGINT + 1, (o.n_nationkey + 1) % 5 + 30 + k, (o.n_nationkey + 1) % 25 + 1 + 60 + k % 2]) AS link FROM nation o, range(3) t(k)),
+_ROUTES = """routes AS (SELECT o.n_nationkey::BIGINT + 1 AS origin, d.n_nationkey::BIGINT + 1 AS destination, k AS route_id,
+ unnest([o.n_nationkey::BIGINT + 1, (o.n_nationkey + 1) % 5 + 30 + k, d.n_nationkey + 1 + 60 + k % 2]) AS link FROM nation o, nation d, range(3) t(k) WHERE o.n_nationkey <> d.n_nationkey),
 priced AS (SELECT *, 1 + (link * 37 % 64) / 64.0::DOUBLE AS t FROM routes),
 r1 AS (SELECT *, sum(t) OVER (PARTITION BY origin, destination, route_id) AS cost FROM priced),
 r2 AS (SELECT *, min(cost) OVER (PARTITION BY origin, destination) AS least FROM r1),
@@ -510,7 +510,7 @@ def _stops(spark, sf):
     return names.select(F.col("event_type").alias("stop_id"), (k * 1.5).cast("double").alias("lon"), (k * 0.5).cast("double").alias("lat"), F.lit("S").alias("parent_station"))
 
 
-@query(f"""WITH {STOPS}, f AS (SELECT * FROM st WHERE seq < 4), l AS (SELECT *, lead(stop) OVER (PARTITION BY pattern_id, trip_id ORDER BY seq) AS t FROM f) SELECT DISTINCT 'L' || pattern_id || '_' || pattern_id AS line_id, seq AS line_seg_idx, stop AS from_stop, t AS to_stop FROM l WHERE t IS NOT NULL""")
+@query(f"""WITH {STOPS}, f AS (SELECT * FROM st WHERE departure BETWEEN 0 AND 86400), l AS (SELECT *, lead(stop) OVER (PARTITION BY pattern_id, trip_id ORDER BY seq) AS t FROM f) SELECT DISTINCT 'L' || pattern_id || '_' || pattern_id AS line_id, seq AS line_seg_idx, stop AS from_stop, t AS to_stop FROM l WHERE t IS NOT NULL""")
 def line_segments(spark, sf):
     return _lines(spark, sf).select("line_id", "line_seg_idx", "from_stop", "to_stop")
 
@@ -522,17 +522,53 @@ def _transit_graph(spark, sf):
     return segments, nodes
 
 
-@query()
+_SEGMENTS = f"""{STOPS}, f AS (SELECT * FROM st WHERE departure BETWEEN 0 AND 86400),
+legs AS (SELECT *, lead(stop) OVER (PARTITION BY pattern_id, trip_id ORDER BY seq) AS to_stop FROM f),
+gaps AS (SELECT *, arrival - lag(arrival) OVER (PARTITION BY pattern_id, seq ORDER BY arrival, trip_id) AS gap FROM f),
+filled AS (SELECT pattern_id, coalesce(gap, lead(gap) OVER (PARTITION BY pattern_id, seq ORDER BY arrival, trip_id), 86400) AS gap FROM gaps),
+headway AS (SELECT pattern_id, min(gap)::DOUBLE AS headway FROM filled GROUP BY 1),
+day AS (SELECT pattern_id, seq - 1 AS seq, avg(t) AS of_day FROM (SELECT *, arrival - lag(departure) OVER (PARTITION BY pattern_id, trip_id ORDER BY seq) AS t FROM st) WHERE t IS NOT NULL GROUP BY 1, 2),
+period AS (SELECT pattern_id, seq - 1 AS seq, avg(t) AS of_period FROM (SELECT *, arrival - lag(departure) OVER (PARTITION BY pattern_id, trip_id ORDER BY seq) AS t FROM f) WHERE t IS NOT NULL GROUP BY 1, 2),
+segments AS (SELECT 'L' || s.pattern_id || '_' || s.pattern_id AS line_id, s.seq AS line_seg_idx, from_stop, to_stop, CASE WHEN headway > 0 THEN 1.0::DOUBLE / headway END AS freq, coalesce(of_period, of_day, 86400.0) AS travel_time
+  FROM (SELECT DISTINCT pattern_id, seq, stop AS from_stop, to_stop FROM legs WHERE to_stop IS NOT NULL) s LEFT JOIN headway h ON s.pattern_id = h.pattern_id
+  LEFT JOIN period p ON s.pattern_id = p.pattern_id AND s.seq = p.seq LEFT JOIN day d ON s.pattern_id = d.pattern_id AND s.seq = d.seq),
+places AS (SELECT event_type AS stop_id, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)),
+kinds AS (SELECT 1 AS k, 'stop' AS node_type, stop_id, NULL AS line_id, NULL::BIGINT AS line_seg_idx, NULL AS taz_id, k * 1.5::DOUBLE AS lon, k * 0.5::DOUBLE AS lat FROM places
+  UNION ALL SELECT 2, 'boarding', stop_id, line_id, line_seg_idx, NULL, k * 1.5, k * 0.5 FROM (SELECT DISTINCT line_id, line_seg_idx, from_stop FROM segments) JOIN places ON from_stop = stop_id
+  UNION ALL SELECT 3, 'alighting', stop_id, line_id, line_seg_idx, NULL, k * 1.5, k * 0.5 FROM (SELECT DISTINCT line_id, line_seg_idx, to_stop FROM segments) JOIN places ON to_stop = stop_id
+  UNION ALL SELECT t.k, CASE t.k WHEN 4 THEN 'origin' ELSE 'destination' END, NULL, NULL, NULL, (n_nationkey + 1)::VARCHAR, ((n_nationkey + 1) * 37) % 64 / 8.0, ((n_nationkey + 1) * 23) % 64 / 8.0 FROM nation, (VALUES (4), (5)) t(k)),
+vertices AS (SELECT row_number() OVER (ORDER BY k, taz_id NULLS FIRST, stop_id NULLS FIRST, line_id NULLS FIRST, line_seg_idx NULLS FIRST) AS node_id, node_type, stop_id, line_id, line_seg_idx, taz_id, lon::DOUBLE AS lon, lat::DOUBLE AS lat FROM kinds),
+board AS (SELECT * FROM vertices WHERE node_type = 'boarding'), alight AS (SELECT * FROM vertices WHERE node_type = 'alighting'), stops AS (SELECT * FROM vertices WHERE node_type = 'stop'),
+transfers AS (SELECT DISTINCT 'inner_transfer' AS edge_type, a.node_id AS a_node, b.node_id AS b_node, 1e-6::DOUBLE AS trav_time, 'inf'::DOUBLE AS freq, b.line_id, b.line_seg_idx FROM alight a JOIN board b ON a.stop_id = b.stop_id AND a.line_id <> b.line_id),
+ways AS (SELECT 'on-board' AS edge_type, b.node_id AS a_node, a.node_id AS b_node, travel_time AS trav_time, 'inf'::DOUBLE AS freq, s.line_id, s.line_seg_idx FROM segments s JOIN board b ON s.line_id = b.line_id AND s.line_seg_idx = b.line_seg_idx AND from_stop = b.stop_id JOIN alight a ON s.line_id = a.line_id AND s.line_seg_idx = a.line_seg_idx AND to_stop = a.stop_id
+  UNION ALL SELECT 'boarding', t.node_id, b.node_id, 1e-6, freq, b.line_id, b.line_seg_idx FROM board b JOIN (SELECT DISTINCT line_id, line_seg_idx, from_stop, freq FROM segments) s ON s.line_id = b.line_id AND s.line_seg_idx = b.line_seg_idx AND from_stop = b.stop_id JOIN stops t ON t.stop_id = b.stop_id
+  UNION ALL SELECT 'alighting', a.node_id, t.node_id, 480.0, 'inf'::DOUBLE, a.line_id, a.line_seg_idx FROM alight a JOIN stops t ON t.stop_id = a.stop_id
+  UNION ALL SELECT 'dwell', a.node_id, b.node_id, 30.0, 'inf'::DOUBLE, b.line_id, b.line_seg_idx FROM alight a JOIN board b ON a.line_id = b.line_id AND a.line_seg_idx + 1 = b.line_seg_idx AND a.stop_id = b.stop_id
+  UNION ALL SELECT * FROM transfers)"""
+
+
+@query(f"WITH {_SEGMENTS} SELECT * FROM vertices")
 def transit_vertices(spark, sf):
     return _transit_graph(spark, sf)[1]
 
 
-@query()
+@query(f"WITH {_SEGMENTS} SELECT row_number() OVER (ORDER BY edge_type, a_node, b_node, line_id NULLS FIRST, line_seg_idx NULLS FIRST) AS link_id, * FROM ways")
 def transit_edges(spark, sf):
     segments, nodes = _transit_graph(spark, sf)
     return transit.edges(segments, nodes, transfers=transit.transfers(nodes, _stops(spark, sf)))
 
 
+@query(f"WITH {_SEGMENTS} SELECT * FROM transfers")
+def transfer_edges(spark, sf):
+    nodes = _transit_graph(spark, sf)[1]
+    return transit.transfers(nodes, _stops(spark, sf))
+
+
+@query(f"WITH {_SEGMENTS} SELECT DISTINCT line_id, freq FROM segments")
+def line_frequency(spark, sf):
+    return _lines(spark, sf).select("line_id", "freq").distinct()
+
+
 @query("""WITH z AS (SELECT n_nationkey + 1 AS p, ((n_nationkey + 1) * 37) % 64 / 8.0 AS x, ((n_nationkey + 1) * 23) % 64 / 8.0 AS y FROM nation),
 h AS (SELECT r_regionkey + 101 AS t, ((r_regionkey + 101) * 37) % 64 / 8.0 AS x, ((r_regionkey + 101) * 23) % 64 / 8.0 AS y FROM region),
 d AS (SELECT p, t, sqrt(pow(z.x - h.x, 2) + pow(z.y - h.y, 2)) AS d FROM z, h)
@@ -595,7 +631,7 @@ def trips_without_stops(spark, sf):
     return trips.join(_clean(spark, sf), "trip_id", "left_anti")
 
 
-@query(f"{_CLEAN}, f AS (SELECT trip_id, min(departure) AS d FROM clean WHERE trip_id % 100 = 1 GROUP BY 1) SELECT c.trip_id || '-' || (d + k * 1800) AS trip_id, stop_id, seq, arrival + k * 1800 AS arrival, departure + k * 1800 AS departure FROM clean c JOIN f ON c.trip_id = f.trip_id, range(3) t(k)")
+@query(f"{_CLEAN}, f AS (SELECT trip_id, min(departure) AS d FROM clean GROUP BY 1) SELECT c.trip_id || '-' || (d + k * 1800) AS trip_id, stop_id, seq, arrival + k * 1800 AS arrival, departure + k * 1800 AS departure FROM clean c JOIN f ON c.trip_id = f.trip_id, range(3) t(k)")
 def frequency_expansion(spark, sf):
     rows = _clean(spark, sf)
     freq = rows.groupBy("trip_id").agg(F.min("departure").alias("start")).select("trip_id", "start", (F.col("start") + 5400).alias("end"), F.lit(1800).cast("long").alias("headway_secs"))
@@ -655,7 +691,7 @@ def network_counts(spark, sf):
 
 
 @query("""WITH z AS (SELECT n_nationkey::BIGINT + 1 AS node_id, ((n_nationkey + 1) * 37) % 64 / 8.0 AS x, ((n_nationkey + 1) * 23) % 64 / 8.0 AS y FROM nation)
-SELECT a.node_id AS origin, b.node_id AS destination, round(2 * 6371000 * asin(sqrt(pow(sin((radians(b.y) - radians(a.y)) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin((radians(b.x) - radians(a.x)) / 2), 2))), 3) AS metres, round(degrees(atan2(abs(b.y - a.y), abs(b.x - a.x))), 9) AS bearing FROM z a, z b WHERE b.node_id = a.node_id % 25 + 1""")
+SELECT a.node_id AS origin, b.node_id AS destination, round(2 * 6371000 * asin(sqrt(pow(sin((radians(b.y) - radians(a.y)) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin((radians(b.x) - radians(a.x)) / 2), 2))), 3) AS metres, round(degrees(atan2(abs(b.y - a.y), abs(b.x - a.x))), 9) AS bearing FROM z a, z b WHERE a.node_id <> b.node_id""")
 def distances_and_bearings(spark, sf):
     z = model.nodes(spark, sf).filter("is_centroid").select("node_id", "lon", "lat")
     a, b = z.toDF("origin", "x1", "y1"), z.toDF("destination", "x2", "y2")
