@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.vdf import array_vdf, check_parameters
 from wayfare.operators.paths import all_or_nothing, collect_network, skims
+from wayfare.plans.staging import cut
 
 ALGORITHMS = ("all-or-nothing", "msa", "frank-wolfe", "cfw", "bfw")
 ALIASES = {"fw": "frank-wolfe"}
@@ -95,7 +96,10 @@ class Assignment:
             out.append(y * c.pce)
         return out
 
-    def execute(self, algorithm: str = "bfw", max_iter: int = 250, rgap_target: float = 1e-4, steps_below_needed: int = 1) -> Result:
+    def execute(self, algorithm: str = "bfw", max_iter: int = 250, rgap_target: float = 1e-4, steps_below_needed: int = 1, skim_fields: tuple[str, ...] = (), path_folder: str | None = None) -> Result:
+        """Assign. With ``skim_fields`` (the cost and fields of the edges), skims of each class are kept: ``final``, at the
+        last times, and ``blended``, averaged over the iterations as flows are. With a folder, each iteration's paths of
+        each class are stored there. Both read every iteration's searches again."""
         algorithm = ALIASES.get(algorithm, algorithm)
         if algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {algorithm}; there are {', '.join(ALGORITHMS)}")
@@ -105,8 +109,12 @@ class Assignment:
         s: list[np.ndarray] = []
         older: list[np.ndarray] = []
         step, restart, conjugate_failed, betas = 1.0, False, False, (1.0, 0.0, 0.0)
+        weights: list[tuple[float, dict]] = []
         for k in range(1, max_iter + 1):
             y = self._loaded(times)
+            if path_folder:
+                self._store_paths(times, k, path_folder)
+            seen = {c.name: cut(self._class_skims(i, times, skim_fields)) for i, c in enumerate(self.classes)} if skim_fields else {}
             if k == 1:
                 x, s, older, step = [v.copy() for v in y], [v.copy() for v in y], [v.copy() for v in y], 1.0
             else:
@@ -125,6 +133,8 @@ class Assignment:
                 restart = False
                 older, s, step = s, new, lam
                 x = [lam * d + (1 - lam) * f for d, f in zip(s, x, strict=True)]
+            # a conjugate direction holds older searches too: of the new one it takes beta0
+            weights.append((1.0 if k == 1 else step * betas[0], seen))
             v = sum(x) + self.preload
             if algorithm == "all-or-nothing":
                 times = self.time(v)
@@ -141,7 +151,28 @@ class Assignment:
             if below >= steps_below_needed:
                 break
         self.flow_arrays = [f / c.pce for f, c in zip(x, self.classes, strict=True)]
-        return Result(self._flows(times, n), report, times)
+        result = Result(self._flows(times, n), report, times)
+        if skim_fields:
+            names = ["cost", *[f for f in skim_fields if f != "cost"]]
+            result.skims = {c.name: {"final": self._class_skims(i, times, skim_fields), "blended": self.blended_skims([(w, s[c.name]) for w, s in weights], names)} for i, c in enumerate(self.classes)}
+        return result
+
+    def _class_skims(self, which: int, times: np.ndarray, fields: tuple[str, ...]) -> DataFrame:
+        """origin, destination, cost and fields of a class's shortest paths, its fixed costs included."""
+        self.net.cost = times + self.fixed[which]
+        self.net._lists = None
+        zones = self.net.nodes[self.net.is_centroid].tolist()
+        return skims(self.spark, self.net, self.spark.createDataFrame([(int(z),) for z in zones], "origin long"), tuple(f for f in fields if f != "cost"))
+
+    def _store_paths(self, times: np.ndarray, iteration: int, folder: str) -> None:
+        from wayfare.operators.paths import shortest_paths
+        from wayfare.sources.tables import save_paths
+
+        for c, fixed in zip(self.classes, self.fixed, strict=True):
+            self.net.cost = times + fixed
+            self.net._lists = None
+            pairs = c.demand.filter(F.col(c.core) > 0).filter("origin <> destination").select("origin", "destination")
+            save_paths(shortest_paths(self.spark, self.net, pairs), iteration, c.name, folder)
 
     def _direction(self, x, y, s, older, step, plain, one_conjugate):
         if plain:
@@ -208,12 +239,9 @@ class Assignment:
 
         return self.spark.createDataFrame(pd.DataFrame(cols))
 
-    def final_skims(self, result: Result, fields: tuple[str, ...]) -> DataFrame:
-        """Skims at the final times; blended ones follow from running skims with flows' weights."""
-        self.net.cost = result.times
-        self.net._lists = None
-        zones = self.net.nodes[self.net.is_centroid].tolist()
-        return skims(self.spark, self.net, self.spark.createDataFrame([(int(z),) for z in zones], "origin long"), fields)
+    def final_skims(self, result: Result, fields: tuple[str, ...]) -> dict[str, DataFrame]:
+        """By class, skims at the final times with the class's fixed costs."""
+        return {c.name: self._class_skims(i, result.times, fields) for i, c in enumerate(self.classes)}
 
 
 def results_table(flows: DataFrame, classes: list[str]) -> DataFrame:

@@ -160,6 +160,63 @@ def compressed_values(edges: DataFrame, crosswalk: DataFrame, fields: list[str])
     return edges.join(crosswalk, "link_id").groupBy("compressed_id", along).agg(*[F.sum(f).alias(f) for f in fields], F.count("*").alias("n_links"))
 
 
+def _along(column: str = "direction"):
+    return F.when(F.col("forward"), F.col(column)).otherwise(-F.col(column))
+
+
+def compressed_edges(edges: DataFrame, crosswalk: DataFrame, fields: list[str]) -> DataFrame:
+    """The directed edges of the contracted network: link_id (the chain's compressed_id), a_node, b_node, direction (the way
+    along the chain) and sums of fields. A way is there if every link of the chain permits it."""
+    whole = crosswalk.groupBy("compressed_id").agg(F.count("*").alias("size"))
+    held = edges.join(crosswalk, "link_id").withColumn("way", _along()).withColumn("at", F.col("position") * F.col("way"))
+    ends = held.groupBy("compressed_id", "way").agg(F.min_by("a_node", "at").alias("a_node"), F.max_by("b_node", "at").alias("b_node"), F.count("*").alias("n"), *[F.sum(f).alias(f) for f in fields])
+    ends = ends.join(whole, "compressed_id").filter(F.col("n") == F.col("size"))
+    return ends.select(F.col("compressed_id").alias("link_id"), "a_node", "b_node", F.col("way").cast("int").alias("direction"), *fields)
+
+
+def network_loads(loads: DataFrame, crosswalk: DataFrame, cores: list[str]) -> DataFrame:
+    """Loads (link_id, direction) of a contracted network on the links of its chains."""
+    held = loads.select(F.col("link_id").alias("compressed_id"), F.col("direction").alias("way"), *cores).join(crosswalk, "compressed_id")
+    return held.select("link_id", _along("way").cast("int").alias("direction"), *cores)
+
+
+def expanded_routes(routes: DataFrame, crosswalk: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and links: routes as arrays of signed compressed ids, as arrays of signed network links."""
+    steps = routes.select(*keys, F.posexplode("links").alias("step", "way")).withColumn("compressed_id", F.abs("way"))
+    held = steps.join(crosswalk, "compressed_id").withColumn("sign", F.signum(F.col("way").cast("double")).cast("long"))
+    placed = F.struct("step", (F.col("position") * F.col("sign")).alias("at"), (F.col("link_id") * F.col("sign") * F.when(F.col("forward"), 1).otherwise(-1)).alias("link"))
+    return held.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["link"]).alias("links"))
+
+
+def skimmable_fields(links: DataFrame) -> list[str]:
+    """Numeric fields that can be summed along paths; pairs by their common name."""
+    pairs = paired_fields(links)
+    numeric = [n for n, t in links.dtypes if t in ("int", "bigint", "smallint", "float", "double") and n not in KEYS]
+    return sorted({n[:-3] if n[:-3] in pairs else n for n in numeric})
+
+
+def with_time_field(edges: DataFrame, field: str) -> DataFrame:
+    """edges with the field as ``time``; values that are missing or not positive are an error."""
+    if edges.filter(F.col(field).isNull() | F.isnan(F.col(field).cast("double")) | (F.col(field) <= 0)).limit(1).count():
+        raise ValueError(f"{field} holds values that are missing or not positive")
+    return edges.withColumn("time", F.col(field).cast("double"))
+
+
+def mode_graphs(links: DataFrame, modes: list[str]) -> dict[str, DataFrame]:
+    """The directed edges of each mode."""
+    return {m: directed_edges(of_mode(links, m)) for m in modes}
+
+
+def shared_nodes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """node_id of the nodes of both tables."""
+    return a.select("node_id").intersect(b.select("node_id"))
+
+
+def other_nodes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """node_id of the nodes of the first table only."""
+    return a.select("node_id").subtract(b.select("node_id"))
+
+
 def compressed_links(crosswalk: DataFrame) -> DataFrame:
     """compressed_id and its links in order."""
     return crosswalk.groupBy("compressed_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "link_id"))), lambda x: x["link_id"]).alias("links"))

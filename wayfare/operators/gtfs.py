@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.clock import format_date, to_seconds
+from wayfare.plans.ranking import numbered
+from wayfare.plans.staging import cut, small
 
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 PATTERN_STEP = 1000
@@ -153,6 +155,67 @@ def shapes(points: DataFrame) -> DataFrame:
     return points.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("shape_pt_sequence").cast("long").alias("k"), F.col("shape_pt_lon").cast("double").alias("lon"), F.col("shape_pt_lat").cast("double").alias("lat")))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("points"))
 
 
+def fares(attributes: DataFrame) -> DataFrame:
+    """fare_id (numbered by fare, from 1), fare, agency_id, price, currency, payment_method, transfer, transfer_duration; a
+    fare without a duration has none, one without transfers listed allows any."""
+    own = attributes.select(F.col("fare_id").cast("string").alias("fare"), "agency_id", F.col("price").cast("double").alias("price"), F.col("currency_type").alias("currency"), F.coalesce(F.col("payment_method").cast("int"), F.lit(0)).alias("payment_method"), F.expr("try_cast(transfers AS int)").alias("transfer"), F.expr("try_cast(transfer_duration AS double)").alias("transfer_duration"))
+    if own.groupBy("fare").count().filter("count > 1").limit(1).count():
+        raise ValueError("a fare is defined twice")
+    return numbered(own, ["fare"], "fare_id", 1)
+
+
+def fare_rules(rules: DataFrame, fare_table: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules, zones): every rule with the number of its fare, its route's number or null for any, and its zones' numbers;
+    zones are all that rules name, numbered in order. Rules of unknown fares are left out."""
+    blank = lambda c: F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "", F.col(c).cast("string"))
+    own = rules.select(F.col("fare_id").cast("string").alias("fare"), blank("route_id").alias("route"), blank("origin_id").alias("o"), blank("destination_id").alias("d"))
+    zones = numbered(own.select(F.explode(F.array("o", "d")).alias("zone")).filter("zone IS NOT NULL").distinct(), ["zone"], "fare_zone_id", 1)
+    out = own.join(small(fare_table.select("fare", "fare_id")), "fare")
+    known = routes.select(F.col("route").cast("string").alias("route"), F.col("route_id").alias("route_number"))
+    out = out.join(small(known), "route", "left")
+    for side, name in (("o", "origin"), ("d", "destination")):
+        out = out.join(small(zones.select(F.col("zone").alias(side), F.col("fare_zone_id").alias(name))), side, "left")
+    return out.select("fare_id", F.col("route_number").alias("route_id"), "origin", "destination"), zones
+
+
+def load_day(tables: dict[str, DataFrame], date: str) -> dict[str, DataFrame]:
+    """A feed's tables (agency, stops, routes, trips, stop_times, calendar, calendar_dates, frequencies, fare_attributes and
+    fare_rules as they are there) as the tables of one day's service: stops, routes, patterns, trips, schedule, route
+    links, and fares with rules and zones where there are fares."""
+    days = service_days(tables.get("calendar"), tables.get("calendar_dates"))
+    running = trips_on(tables["trips"], days, date)
+    times = parsed_stop_times(tables["stop_times"].join(running.select("trip_id"), "trip_id", "left_semi"))
+    rows = without_repeats(clean_stop_times(times, tables["stops"]))
+    routes = numbered(tables["routes"].select(F.col("route_id").cast("string").alias("route"), *[c for c in tables["routes"].columns if c != "route_id"]), ["route"], "route_id", 1)
+    rows = cut(rows)
+    own = running.select("trip_id", F.col("route_id").cast("string").alias("route")).join(small(routes.select("route", "route_id")), "route").select("trip_id", "route_id")
+    hashes = cut(pattern_hashes(rows, own))
+    ids = pattern_ids(hashes)
+    trips = hashes.join(ids.select("pattern_hash", "route_id", "pattern_id"), ["pattern_hash", "route_id"])
+    if "frequencies" in tables:
+        when = tables["frequencies"].select("trip_id", to_seconds(F.col("start_time")).alias("start"), to_seconds(F.col("end_time")).alias("end"), F.col("headway_secs").cast("long").alias("headway_secs"))
+        when = when.join(trips.select("trip_id"), "trip_id", "left_semi")
+        made = expand_frequencies(when, rows)
+        repeated = rows.join(when.select("trip_id").distinct(), "trip_id", "left_anti").select(F.col("trip_id").cast("string").alias("trip_id"), "stop_id", "seq", "arrival", "departure")
+        of = lambda df: df.withColumn("base", F.regexp_replace("trip_id", "-[0-9]+$", ""))
+        base = trips.select(F.col("trip_id").cast("string").alias("base"), "route_id", "pattern_id", "pattern_hash")
+        departures = of(made.select("trip_id").distinct()).join(base, "base").drop("base")
+        still = base.join(when.select(F.col("trip_id").cast("string").alias("base")).distinct(), "base", "left_anti").withColumnRenamed("base", "trip_id")
+        trips = departures.select("trip_id", "route_id", "pattern_id", "pattern_hash").unionByName(still)
+        rows = repeated.unionByName(made)
+    else:
+        trips, rows = trips.withColumn("trip_id", F.col("trip_id").cast("string")), rows.withColumn("trip_id", F.col("trip_id").cast("string")).drop("stop_sequence")
+    schedule = rows.join(trips.select("trip_id", "pattern_id"), "trip_id")
+    out = {"stops": tables["stops"], "routes": routes, "patterns": trips.select("pattern_id", "route_id", "pattern_hash").distinct(), "trips": trips.select("trip_id", "route_id", "pattern_id"), "schedule": schedule, "route_links": stop_pairs(schedule)}
+    if "agency" in tables:
+        out["agencies"] = tables["agency"]
+    if "fare_attributes" in tables:
+        out["fares"] = fares(tables["fare_attributes"])
+        if "fare_rules" in tables:
+            out["fare_rules"], out["fare_zones"] = fare_rules(tables["fare_rules"], out["fares"], routes)
+    return out
+
+
 def last_per_pattern(schedule: DataFrame) -> DataFrame:
     """Of each pattern the schedule of its last trip, for exports of one trip a pattern."""
     w = Window.partitionBy("pattern_id").orderBy(F.desc("trip_id"))

@@ -207,13 +207,39 @@ def hyperpath(tail, head, time, freq, n_nodes: int, target: int, demand: dict[in
     return volume, u
 
 
-def a_star(net: Network, origin: int, target: int, x: np.ndarray, y: np.ndarray, scale: float) -> tuple[float, list[int]]:
-    """(cost, edges) to one target, nodes taken in order of cost so far plus ``scale`` times the straight distance left.
+HEURISTICS = ("haversine", "equirectangular")
+EARTH = 6_371_000.0
 
-    The result is a shortest path while no edge costs less than ``scale`` times its length.
+
+def straight_distances(lon: np.ndarray, lat: np.ndarray, target: int, heuristic: str = "haversine") -> np.ndarray:
+    """Metres from all nodes to one, along great circles or, faster and somewhat less true, on a plane at its latitude."""
+    if heuristic not in HEURISTICS:
+        raise ValueError(f"unknown heuristic {heuristic}; there are {', '.join(HEURISTICS)}")
+    x, y = np.radians(lon), np.radians(lat)
+    dx, dy = x - x[target], y - y[target]
+    if heuristic == "equirectangular":
+        return EARTH * np.hypot(dx * np.cos((y + y[target]) / 2), dy)
+    return 2 * EARTH * np.arcsin(np.sqrt(np.sin(dy / 2) ** 2 + np.cos(y) * np.cos(y[target]) * np.sin(dx / 2) ** 2))
+
+
+def least_cost_per_metre(net: Network, lon: np.ndarray, lat: np.ndarray) -> float:
+    """The greatest factor by which straight distances never exceed costs."""
+    x, y = np.radians(lon), np.radians(lat)
+    dx, dy = x[net.head] - x[net.tail], y[net.head] - y[net.tail]
+    far = 2 * EARTH * np.arcsin(np.sqrt(np.sin(dy / 2) ** 2 + np.cos(y[net.tail]) * np.cos(y[net.head]) * np.sin(dx / 2) ** 2))
+    own = far > 0
+    return float((net.cost[own] / far[own]).min()) if own.any() else 0.0
+
+
+def a_star(net: Network, origin: int, target: int, x: np.ndarray, y: np.ndarray, scale: float, heuristic: str | None = None) -> tuple[float, list[int]]:
+    """(cost, edges) to one target, nodes taken in order of cost so far plus ``scale`` times the distance left: straight
+    on the plane of x and y, or over the earth (longitudes, latitudes) by one of HEURISTICS.
+
+    The result is a shortest path while no edge costs less than ``scale`` times its length. A node whose cost falls
+    after it was taken is taken again, so a plane's distances, which may disagree a little, do no harm.
     """
     first, head, cost, centroid = net.lists()
-    left = (scale * np.hypot(x - x[target], y - y[target])).tolist()
+    left = (scale * (straight_distances(x, y, target, heuristic) if heuristic else np.hypot(x - x[target], y - y[target]))).tolist()
     far = [np.inf] * len(net.nodes)
     into = [-1] * len(net.nodes)
     done = bytearray(len(net.nodes))
@@ -233,6 +259,7 @@ def a_star(net: Network, origin: int, target: int, x: np.ndarray, y: np.ndarray,
             if far[n] + cost[e] < far[m]:
                 far[m] = far[n] + cost[e]
                 into[m] = e
+                done[m] = 0
                 heapq.heappush(heap, (far[m] + left[m], m))
     return np.inf, []
 

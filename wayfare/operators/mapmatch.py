@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.operators.paths import MAX_EDGES
 from wayfare.operators.kernels import Network
 
 DISCOUNT, BUFFER = 0.1, 20.0
@@ -54,6 +55,8 @@ def match_one(net: Network, x: np.ndarray, y: np.ndarray, stops: np.ndarray, sha
 def match_patterns(spark: SparkSession, net: Network, nodes: DataFrame, patterns: DataFrame, buffer: float = BUFFER) -> DataFrame:
     """pattern_id, seq, link_id, direction for patterns (pattern_id, stops array<struct<lon,lat>>, shape the same or null);
     coordinates are those of nodes, planar."""
+    if nodes.limit(2 * MAX_EDGES + 1).count() > 2 * MAX_EDGES:
+        raise ValueError(f"more than {2 * MAX_EDGES} nodes")
     held = {r.node_id: (r.lon, r.lat) for r in nodes.select("node_id", "lon", "lat").collect()}  # the network's nodes, as bounded as it is
     place = np.array([held.get(int(i), (np.inf, np.inf)) for i in net.nodes], float)
     shared = spark.sparkContext.broadcast((net, place[:, 0], place[:, 1]))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.operators.kernels import Network
+from wayfare.operators.kernels import HEURISTICS, Network, a_star, least_cost_per_metre
 from wayfare.plans.staging import cut
 
 MAX_EDGES = 20_000_000
@@ -87,6 +87,128 @@ def shortest_paths(spark, net: Network, pairs: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, schema)
 
 
+def places_of(net: Network, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes of the network's nodes; nodes are no more than twice the edges of a network that fits."""
+    lon, lat = np.zeros(len(net.nodes)), np.zeros(len(net.nodes))
+    ids = nodes.select("node_id", "lon", "lat").toArrow()
+    at = np.searchsorted(net.nodes, ids.column("node_id").to_numpy())
+    own = (at < len(net.nodes)) & (net.nodes[np.minimum(at, len(net.nodes) - 1)] == ids.column("node_id").to_numpy())
+    lon[at[own]], lat[at[own]] = ids.column("lon").to_numpy()[own], ids.column("lat").to_numpy()[own]
+    return lon, lat
+
+
+def a_star_paths(spark, net: Network, nodes: DataFrame, pairs: DataFrame, heuristic: str = "haversine") -> DataFrame:
+    """origin, destination, cost, links (signed) of connected pairs, each by A* with distances over the earth."""
+    lon, lat = places_of(net, nodes)
+    shared = spark.sparkContext.broadcast((net, lon, lat, least_cost_per_metre(net, lon, lat)))
+
+    def run(batches):
+        net, lon, lat, scale = shared.value
+        for batch in batches:
+            rows = []
+            for origin, end in zip(batch.column("origin").to_pylist(), batch.column("destination").to_pylist(), strict=True):
+                o, d = net.index(origin), net.index(end)
+                cost, es = a_star(net, o, d, lon, lat, scale, heuristic) if o >= 0 and d >= 0 and o != d else (np.inf, [])
+                if es:
+                    rows.append((origin, end, cost, (net.link[es] * net.direction[es]).tolist()))
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["origin", "destination", "cost", "links"])
+
+    return pairs.select(F.col("origin").cast("long"), F.col("destination").cast("long")).distinct().mapInArrow(run, "origin long, destination long, cost double, links array<long>")
+
+
+class PathResult:
+    """The path of one origin over a network that the driver holds: compute once, then trace other destinations from the
+    same tree; after an early exit or A*, whose trees are not whole, a new destination is searched for again."""
+
+    def __init__(self, net: Network, lon: np.ndarray | None = None, lat: np.ndarray | None = None):
+        self.net, self.lon, self.lat, self.heuristic = net, lon, lat, HEURISTICS[0]
+        self.reset()
+
+    def reset(self) -> None:
+        self.origin = self.destination = None
+        self.links, self.directions, self.nodes, self.mileposts, self.cost = [], [], [], [], float("inf")
+        self._tree, self._whole = None, False
+
+    def heuristics(self) -> list[str]:
+        return list(HEURISTICS)
+
+    def set_heuristic(self, heuristic: str) -> None:
+        if heuristic not in HEURISTICS:
+            raise ValueError(f"unknown heuristic {heuristic}; there are {', '.join(HEURISTICS)}")
+        self.heuristic = heuristic
+
+    def compute(self, origin: int, destination: int, early_exit: bool = False, a_star_search: bool = False) -> None:
+        o, d = self.net.index(origin), self.net.index(destination)
+        if o < 0 or d < 0:
+            raise ValueError(f"node {origin if o < 0 else destination} is not in the network")
+        self.reset()
+        self.origin, self._early, self._by_a_star = origin, early_exit, a_star_search
+        if a_star_search:
+            if self.lon is None:
+                raise ValueError("A* needs the places of nodes")
+            cost, es = a_star(self.net, o, d, self.lon, self.lat, least_cost_per_metre(self.net, self.lon, self.lat), self.heuristic)
+            self._take(destination, cost, es)
+            return
+        far, into, _ = self.net.tree(o, target=d if early_exit else -1)
+        self._tree, self._whole = (far, into), not early_exit
+        self._take(destination, far[d], self.net.path(into, d) if d != o else [])
+
+    def update_trace(self, destination: int) -> None:
+        d = self.net.index(destination)
+        if self.origin is None or d < 0:
+            raise ValueError("compute a path first" if self.origin is None else f"node {destination} is not in the network")
+        if not self._whole:
+            self.compute(self.origin, destination, self._early, self._by_a_star)
+            return
+        far, into = self._tree
+        self._take(destination, far[d], self.net.path(into, d))
+
+    def _take(self, destination: int, cost: float, es: list[int]) -> None:
+        self.destination, self.cost = destination, float(cost)
+        self.links, self.directions = self.net.link[es].tolist(), self.net.direction[es].tolist()
+        self.nodes = [self.origin, *self.net.nodes[self.net.head[es]].tolist()] if es else []
+        self.mileposts = [0.0, *np.cumsum(self.net.cost[es]).tolist()] if es else []
+
+
+def path_trees(spark, net: Network, origins: DataFrame) -> DataFrame:
+    """origin, node, cost, link (signed) into the node and the node before: the whole tree of each origin, to be stored."""
+    shared = spark.sparkContext.broadcast(net)
+
+    def run(batches):
+        net = shared.value
+        for batch in batches:
+            for origin in batch.column("origin").to_pylist():
+                o = net.index(origin)
+                if o < 0:
+                    continue
+                far, into, order = net.tree(o)
+                at = np.array([n for n in order if n != o], np.int64)
+                es = np.array([into[n] for n in at], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), origin), pa.int64()), pa.array(net.nodes[at], pa.int64()), pa.array(np.asarray(far)[at], pa.float64()), pa.array(net.link[es] * net.direction[es], pa.int64()), pa.array(net.nodes[net.tail[es]], pa.int64())], names=["origin", "node", "cost", "link", "before"])
+
+    return origins.select(F.col("origin").cast("long")).distinct().mapInArrow(run, "origin long, node long, cost double, link long, before long")
+
+
+def traced(trees: DataFrame, destinations: DataFrame) -> DataFrame:
+    """origin, destination, links of stored trees: all wanted traces go back one node a round, until all have arrived."""
+    wanted = trees.join(destinations.select(F.col("destination").alias("node")).distinct(), "node")
+    step = trees.select("origin", F.col("node").alias("at"), F.col("link").alias("own"), F.col("before").alias("next"))
+    live = cut(wanted.select("origin", F.col("node").alias("destination"), F.array("link").alias("links"), F.col("before").alias("at")))
+    done = []
+    while True:
+        done.append(live.filter(F.col("at") == F.col("origin")).select("origin", "destination", "links"))
+        rest = live.filter(F.col("at") != F.col("origin"))
+        if not rest.limit(1).count():
+            break
+        live = cut(rest.join(step, ["origin", "at"]).select("origin", "destination", F.concat(F.array("own"), "links").alias("links"), F.col("next").alias("at")))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def unreachable(spark, net: Network, zones: DataFrame) -> DataFrame:
     """origin, destination of centroid pairs without a path, sorted."""
     out = skims(spark, net, zones.select(F.col("node_id").alias("origin")))

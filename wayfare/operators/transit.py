@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.geo import TRANSIT_RADIUS, haversine
 from wayfare.operators.kernels import hyperpath
+from wayfare.operators.paths import MAX_EDGES
 from wayfare.plans.ranking import numbered
-from wayfare.plans.staging import small
+from wayfare.plans.staging import cut, small
 
 DWELL, ALIGHT_PENALTY, TINY = 30.0, 480.0, 1e-6
 
@@ -48,7 +49,7 @@ def line_segments(stop_times: DataFrame, routes: DataFrame, start: int, end: int
     legs = stop_times.filter(F.col("departure").between(start, end)).withColumn("to_stop", F.lead("stop").over(w)).filter("to_stop IS NOT NULL")
     segments = legs.select("pattern_id", "seq", F.col("stop").alias("from_stop"), "to_stop").distinct()
     named = segments.join(small(routes.select("pattern_id", "shortname")), "pattern_id")
-    freq = F.try_divide(F.lit(1.0), F.col("headway")) if with_headway else F.lit(float("inf"))
+    freq = F.when(F.col("headway") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), F.col("headway"))) if with_headway else F.lit(float("inf"))
     timed = named.join(headways(stop_times, start, end), "pattern_id", "left").join(segment_times_in(stop_times, start, end), ["pattern_id", "seq"], "left")
     return timed.select(F.concat_ws("_", "shortname", F.col("pattern_id").cast("string")).alias("line_id"), F.col("seq").alias("line_seg_idx"), "from_stop", "to_stop", freq.alias("freq"), "travel_time")
 
@@ -137,6 +138,94 @@ def within(points: DataFrame, targets: DataFrame, distance: float) -> DataFrame:
     return spread.join(held, ["gx", "gy"]).select("point_id", "target_id", d.alias("distance")).filter(F.col("distance") <= distance)
 
 
+def node_mapping(nodes: DataFrame, blocking: bool = True) -> DataFrame:
+    """taz_id, node_id_origin, node_id_destination: the vertices that each zone's trips leave from and arrive at."""
+    of = lambda kind, name: nodes.filter(F.col("node_type") == kind).select("taz_id", F.col("node_id").alias(name))
+    if blocking:
+        return of("origin", "node_id_origin").join(of("destination", "node_id_destination"), "taz_id")
+    return of("od", "node_id_origin").withColumn("node_id_destination", F.col("node_id_origin"))
+
+
+def radius_pairs(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """point_id, target_id, distance: targets within each point's own radius. A point looks into the cells around it of
+    a grid as wide as the power of two above its radius, so small radii meet few targets whatever the largest is."""
+    level = F.ceil(F.log2("radius")).cast("int")
+    width = F.pow(F.lit(2.0), F.col("level"))
+    near = F.sequence(F.lit(-1), F.lit(1))
+    spread = points.filter("radius > 0").select("point_id", F.col("lon").alias("px"), F.col("lat").alias("py"), "radius", level.alias("level"))
+    levels = F.broadcast(spread.select("level").distinct())  # at most some thousand powers of two
+    spread = spread.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
+    spread = spread.withColumn("gx", F.floor(F.col("px") / width).cast("long") + F.col("dx")).withColumn("gy", F.floor(F.col("py") / width).cast("long") + F.col("dy"))
+    held = targets.select("target_id", F.col("lon").alias("tx"), F.col("lat").alias("ty")).join(levels)
+    held = held.withColumn("gx", F.floor(F.col("tx") / width).cast("long")).withColumn("gy", F.floor(F.col("ty") / width).cast("long"))
+    d = F.sqrt(F.pow(F.col("px") - F.col("tx"), 2) + F.pow(F.col("py") - F.col("ty"), 2))
+    return spread.join(held, ["level", "gx", "gy"]).withColumn("distance", d).filter("distance <= radius").select("point_id", "target_id", "distance")
+
+
+def overlapping_regions(zones: DataFrame, stops: DataFrame, cell: float, fill_missing: bool = False) -> DataFrame:
+    """taz_id, stop_id, distance: every stop that is no farther from a zone than its nearest other zone. Zones without a
+    neighbour within a cell's width have no region; with ``fill_missing`` zones without stops get their nearest one."""
+    places = zones.select(F.col("taz_id").alias("point_id"), "lon", "lat")
+    others = zones.select(F.col("taz_id").alias("target_id"), "lon", "lat")
+    apart = within(places, others, cell).filter("point_id <> target_id").groupBy("point_id").agg(F.min("distance").alias("radius"))
+    targets = stops.select(F.col("stop_id").alias("target_id"), "lon", "lat")
+    out = radius_pairs(places.join(apart, "point_id"), targets)
+    if fill_missing:
+        missing = places.join(out.select("point_id").distinct(), "point_id", "left_anti")
+        out = out.unionByName(nearest(missing, targets, cell))
+    return out.select(F.col("point_id").alias("taz_id"), F.col("target_id").alias("stop_id"), "distance")
+
+
+def access_connectors(pairs: DataFrame, nodes: DataFrame, blocking: bool = True, speed: float = 1.0) -> DataFrame:
+    """Edges from origin vertices to stop vertices for pairs (taz_id, stop_id), timed by great-circle distance."""
+    o = nodes.filter(F.col("node_type") == ("origin" if blocking else "od")).select("taz_id", F.col("node_id").alias("a_node"), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
+    t = nodes.filter("node_type = 'stop'").select("stop_id", F.col("node_id").alias("b_node"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    held = pairs.select("taz_id", "stop_id").join(o, "taz_id").join(t, "stop_id")
+    time = haversine("x1", "y1", "x2", "y2", TRANSIT_RADIUS) / speed + TINY
+    return _edge(held, "access_connector", "a_node", "b_node", time)
+
+
+def walking_edges(nodes: DataFrame, distance: float, speed: float = 1.0) -> DataFrame:
+    """Edges between stop vertices that are up to a distance (degrees) apart, both ways, timed by great-circle distance."""
+    stops = nodes.filter("node_type = 'stop'")
+    pairs = within(stops.select(F.col("node_id").alias("point_id"), "lon", "lat"), stops.select(F.col("node_id").alias("target_id"), "lon", "lat"), distance).filter("point_id <> target_id")
+    at = lambda name, x, y: stops.select(F.col("node_id").alias(name), F.col("lon").alias(x), F.col("lat").alias(y))
+    held = pairs.select(F.col("point_id").alias("a_node"), F.col("target_id").alias("b_node")).join(at("a_node", "x1", "y1"), "a_node").join(at("b_node", "x2", "y2"), "b_node")
+    return _edge(held, "walking", "a_node", "b_node", haversine("x1", "y1", "x2", "y2", TRANSIT_RADIUS) / speed + TINY)
+
+
+CONNECTORS = ("nearest_neighbour", "overlapping_regions")
+
+
+def transit_graph(stop_times: DataFrame, routes: DataFrame, stops: DataFrame, zones: DataFrame, start: int, end: int, cell: float, connectors: str = "nearest_neighbour", blocking: bool = True, walking: float | None = None, inner_transfers: bool = True, outer_transfers: bool = False, speed: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, edges, node mapping) of the lines that run in a period: segments, connectors of zones by one of
+    CONNECTORS, transfers, and walking edges between stops up to a distance."""
+    if connectors not in CONNECTORS:
+        raise ValueError(f"unknown connectors {connectors}; there are {', '.join(CONNECTORS)}")
+    segments = line_segments(stop_times, routes, start, end)
+    nodes = cut(vertices(segments, stops, zones, blocking))
+    mapping = node_mapping(nodes, blocking)
+    zones = zones.select(F.col("taz_id").cast("string").alias("taz_id"), "lon", "lat")
+    stops_at = stops.select(F.col("stop_id").cast("string").alias("stop_id"), "lon", "lat").distinct()
+    if connectors == "nearest_neighbour":
+        found = nearest(zones.withColumnRenamed("taz_id", "point_id"), stops_at.withColumnRenamed("stop_id", "target_id"), cell)
+        pairs = found.select(F.col("point_id").alias("taz_id"), F.col("target_id").alias("stop_id"))
+    else:
+        pairs = overlapping_regions(zones, stops_at, cell, fill_missing=True)
+    access = access_connectors(pairs, nodes, blocking, speed)
+    more = [access, egress(access, mapping).select(*EDGE)]
+    if inner_transfers:
+        more.append(transfers(nodes, stops, speed).select(*EDGE))
+    if outer_transfers:
+        more.append(transfers(nodes, stops, speed, inner=False).select(*EDGE))
+    if walking is not None:
+        more.append(walking_edges(nodes, walking, speed).select(*EDGE))
+    joined = more[0]
+    for m in more[1:]:
+        joined = joined.unionByName(m)
+    return nodes, edges(segments, nodes, connectors=joined), mapping
+
+
 def closest_k(connectors: DataFrame, k: int) -> DataFrame:
     """The k connectors of least travel time of each zone."""
     w = Window.partitionBy("taz_id").orderBy("trav_time", "stop_id")
@@ -173,6 +262,8 @@ def assign(spark: SparkSession, transit_edges: DataFrame, demand: DataFrame, ori
         raise ValueError("edges need nodes, and times and frequencies that are not negative")
     if demand.filter(f"{flow} < 0").limit(1).count():
         raise ValueError("demand is negative")
+    if transit_edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} edges")
     t = transit_edges.select("link_id", "a_node", "b_node", "trav_time", "freq").toArrow().combine_chunks()
     get = lambda c: t.column(c).to_numpy()
     nodes = np.unique(np.concatenate([get("a_node"), get("b_node")]))

@@ -44,6 +44,38 @@ def clean_to_area(nodes: DataFrame, links: DataFrame, area: DataFrame, cell: flo
     return links.join(inside.withColumnRenamed("n", "a_node"), "a_node", "left_semi").join(inside.withColumnRenamed("n", "b_node"), "b_node", "left_semi")
 
 
+def add_centroid(nodes: DataFrame, zone_id: int, lon: float, lat: float) -> DataFrame:
+    """nodes with a centroid of the zone's number at a place; a zone that has one, or a place that is taken, is an error."""
+    if nodes.filter((F.col("node_id") == zone_id) | ((F.col("lon") == lon) & (F.col("lat") == lat))).limit(1).count():
+        raise ValueError(f"node {zone_id}, or a node at its place, is there already")
+    values = {"node_id": zone_id, "is_centroid": True, "lon": float(lon), "lat": float(lat)}
+    return nodes.unionByName(nodes.sparkSession.createDataFrame([tuple(values.get(c) for c in nodes.columns)], nodes.schema))
+
+
+def connect_mode(links: DataFrame, nodes: DataFrame, zones: DataFrame, mode: str, per_zone: int, cell: float, link_types: str = "") -> DataFrame:
+    """links with connectors of a mode from each zone's centroid to nodes inside its ring (zone_id, ring) that links of the
+    mode, of any of the types' letters if given, reach. Zones that have connectors of the mode keep them."""
+    from wayfare.operators.network import connectors
+
+    open_links = links.filter((F.instr("modes", mode) > 0) & (F.col("link_type") != "centroid_connector"))
+    if link_types:
+        open_links = open_links.filter(F.col("link_type").substr(1, 1).isin(list(link_types)))
+    reached = open_links.select(F.explode(F.array("a_node", "b_node")).alias("node_id")).distinct()
+    free = nodes.filter("NOT is_centroid").join(reached, "node_id", "left_semi")
+    inside = zone_of(free.select(F.col("node_id").alias("point_id"), "lon", "lat"), zones, cell)
+    held = links.filter((F.col("link_type") == "centroid_connector") & (F.instr("modes", mode) > 0)).select(F.col("a_node").alias("zone_id")).distinct()
+    candidates = inside.select(F.col("point_id").alias("node_id"), "zone_id").join(free.select("node_id", "lon", "lat"), "node_id").join(held, "zone_id", "left_anti")
+    centroids = nodes.filter("is_centroid").select(F.col("node_id").alias("zone_id"), "lon", "lat")
+    first = (links.agg(F.max("link_id")).first()[0] or 0) + 1
+    return links.unionByName(connectors(centroids, candidates, per_zone, first, mode), allowMissingColumns=True)
+
+
+def disconnect_mode(links: DataFrame, zone_id: int, mode: str) -> DataFrame:
+    """links without the connectors of a zone for a mode; connectors of several modes lose that one only."""
+    own = (F.col("link_type") == "centroid_connector") & ((F.col("a_node") == zone_id) | (F.col("b_node") == zone_id)) & (F.instr("modes", mode) > 0)
+    return links.filter(~(own & (F.col("modes") == mode))).withColumn("modes", F.when(own, F.translate("modes", mode, "")).otherwise(F.col("modes")))
+
+
 def extent_hull(nodes: DataFrame) -> list[tuple[float, float]]:
     """Hull of all nodes: each task keeps the hull of its own, so a few vertices a task reach the driver."""
     import pyarrow as pa

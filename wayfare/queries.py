@@ -529,7 +529,7 @@ filled AS (SELECT pattern_id, coalesce(gap, lead(gap) OVER (PARTITION BY pattern
 headway AS (SELECT pattern_id, min(gap)::DOUBLE AS headway FROM filled GROUP BY 1),
 day AS (SELECT pattern_id, seq - 1 AS seq, avg(t) AS of_day FROM (SELECT *, arrival - lag(departure) OVER (PARTITION BY pattern_id, trip_id ORDER BY seq) AS t FROM st) WHERE t IS NOT NULL GROUP BY 1, 2),
 period AS (SELECT pattern_id, seq - 1 AS seq, avg(t) AS of_period FROM (SELECT *, arrival - lag(departure) OVER (PARTITION BY pattern_id, trip_id ORDER BY seq) AS t FROM f) WHERE t IS NOT NULL GROUP BY 1, 2),
-segments AS (SELECT 'L' || s.pattern_id || '_' || s.pattern_id AS line_id, s.seq AS line_seg_idx, from_stop, to_stop, CASE WHEN headway > 0 THEN 1.0::DOUBLE / headway END AS freq, coalesce(of_period, of_day, 86400.0) AS travel_time
+segments AS (SELECT 'L' || s.pattern_id || '_' || s.pattern_id AS line_id, s.seq AS line_seg_idx, from_stop, to_stop, CASE WHEN headway = 0 THEN 'inf'::DOUBLE ELSE 1.0::DOUBLE / headway END AS freq, coalesce(of_period, of_day, 86400.0) AS travel_time
   FROM (SELECT DISTINCT pattern_id, seq, stop AS from_stop, to_stop FROM legs WHERE to_stop IS NOT NULL) s LEFT JOIN headway h ON s.pattern_id = h.pattern_id
   LEFT JOIN period p ON s.pattern_id = p.pattern_id AND s.seq = p.seq LEFT JOIN day d ON s.pattern_id = d.pattern_id AND s.seq = d.seq),
 places AS (SELECT event_type AS stop_id, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)),

@@ -6,6 +6,7 @@ among them. Nothing is kept outside the folder, and several projects may be open
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,6 +127,35 @@ def save_skims(final: DataFrame | None, blended: DataFrame | None, path: str) ->
     write(od.combine(parts, fill=None), path)
 
 
+def save_select_links(found: dict[str, tuple[DataFrame, DataFrame]], folder: str, flows: bool = True, matrices: bool = True) -> None:
+    """By class, the loads and the demand of select-link sets (see Assignment.select_links), each a table of its own."""
+    for name, (loads, demand) in found.items():
+        if flows:
+            write(loads, f"{folder}/{name}_flows.parquet")
+        if matrices:
+            write(demand, f"{folder}/{name}_demand.parquet")
+
+
+def save_class_skims(skims: dict[str, dict[str, DataFrame]], folder: str) -> None:
+    """A file of skims a class, final and blended side by side."""
+    for name, parts in skims.items():
+        save_skims(parts.get("final"), parts.get("blended"), f"{folder}/{name}.parquet")
+
+
+def cores_wanted(count: int, there: int) -> int:
+    """Cores for a count as users give it: 0 is all, a negative one leaves so many free, at least one, at most all."""
+    if not isinstance(count, int) or isinstance(count, bool):
+        raise ValueError("a number of cores is a whole number")
+    return there if count == 0 else max(1, there + count) if count < 0 else min(count, there)
+
+
+# What a project is run with unless told otherwise.
+PARAMETERS = {
+    "assignment": {"rgap": 1e-4, "maximum_iterations": 250},
+    "distribution": {"ipf": {"convergence": 1e-4, "maximum_iterations": 5000, "balance": 1e-3}, "gravity": {"maximum_error": 1e-4, "maximum_iterations": 100}},
+}
+
+
 def save_graph(edges: DataFrame, crosswalk: DataFrame | None, settings: dict, folder: str) -> None:
     """A prepared graph: its edges, its crosswalk to compressed links if there is one, and how it was made."""
     write(edges, f"{folder}/edges.parquet")
@@ -147,7 +177,7 @@ def save_paths(paths: DataFrame, iteration: int, class_name: str, folder: str) -
 
 
 class Project:
-    """A folder of tables. ``open`` checks that it is one, ``new`` lays it out; leaving it removes orphan nodes."""
+    """A folder of tables. ``open`` checks that it is one, ``new`` lays it out, ``close`` removes orphan nodes."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -165,10 +195,23 @@ class Project:
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Project:
         project = cls(spark, folder)
+        project._finish_replacements()
         if not project._exists("about"):
             raise FileNotFoundError(f"{folder} holds no project")
         return project
 
+    def _finish_replacements(self) -> None:
+        """A table that was set aside when a replacement was broken off comes back."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return
+        for f in fs.listStatus(root):
+            name = f.getPath().getName()
+            if name.startswith(".") and name.endswith(".old") and not self._exists(name[1:-4]):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(self._path(name[1:-4])))
+
     def _path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
@@ -198,11 +241,63 @@ class Project:
         jvm = self.spark.sparkContext._jvm
         new, old = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(self._path(name))
         fs = new.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
+        kept = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/.{name}.old")
+        fs.delete(kept, True)
+        there = fs.exists(old)
+        if there and not fs.rename(old, kept):
+            raise OSError(f"{name} could not be set aside")
         if not fs.rename(new, old):
+            if there:
+                fs.rename(kept, old)
             raise OSError(f"{name} could not be replaced")
+        fs.delete(kept, True)
         self.spark.catalog.refreshByPath(self._path(name))
 
+    def parameters(self) -> dict:
+        """The project's parameters, or the defaults where none were written."""
+        rows = self.table("about").filter("infoname = 'parameters'").collect()
+        return json.loads(rows[0].infovalue) if rows else json.loads(json.dumps(PARAMETERS))
+
+    def set_parameters(self, parameters: dict) -> None:
+        self.set_info("parameters", json.dumps(parameters, sort_keys=True))
+
+    def restore_parameters(self) -> None:
+        self.set_parameters(PARAMETERS)
+
+    def note(self, message: str) -> None:
+        """Add a line to the project's log, in the order of writing."""
+        path = f"{self.folder}/log"
+        row = [(datetime.now(timezone.utc), message)]
+        self.spark.createDataFrame(row, "written timestamp, message string").coalesce(1).write.mode("append").parquet(path)
+
+    def log(self) -> list[str]:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return [r.message for r in self.spark.read.parquet(f"{self.folder}/log").orderBy("written").collect()]
+        except AnalysisException:  # nothing written yet
+            return []
+
+    def clear_log(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self) -> None:
+        """Leave the project in order: orphan nodes go, and the log says so."""
+        self.clean()
+        self.note("closed")
+
+    def describe(self, name: str, new_name: str | None = None, description: str | None = None) -> None:
+        """Rename or describe a registered matrix or result; its files stay where they are."""
+        registry = self.table("registry")
+        if not registry.filter(F.col("name") == name).limit(1).count():
+            raise KeyError(name)
+        if new_name and registry.filter(F.col("name") == new_name).limit(1).count():
+            raise ValueError(f"{new_name} is registered already")
+        own = F.col("name") == name
+        changed = registry.withColumn("description", F.when(own & F.lit(description is not None), F.lit(description)).otherwise(F.col("description")))
+        self.save("registry", changed.withColumn("name", F.when(own, F.lit(new_name or name)).otherwise(F.col("name"))))
+
     def add_field(self, table: str, field: str, kind: str, description: str) -> None:
         """A column of nulls, and a line about it."""
         if not field.replace("_", "").isalnum() or not field[0].isalpha() or field != field.lower():
