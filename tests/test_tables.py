@@ -32,8 +32,8 @@ def test_gravity_models(spark, tmp_path):
     with pytest.raises(ValueError):
         distribution.GravityModel("LOGIT", beta=0.1)
     m = distribution.GravityModel("GAMMA", alpha=0.2, beta=0.1)
-    m.save(str(tmp_path / "m.json"))
-    assert distribution.GravityModel.load(str(tmp_path / "m.json")) == m
+    m.save(spark, f"file://{tmp_path}/m.json")
+    assert distribution.GravityModel.load(spark, f"file://{tmp_path}/m.json") == m
     p, a = margins(spark)
     cost = p.select(F.col("zone_id").alias("origin")).crossJoin(a.select(F.col("zone_id").alias("destination"))).withColumn("cost", (1 + F.abs(F.col("origin") - F.col("destination"))).cast("double"))
     seed = distribution.gravity_seed(cost, p, a, distribution.GravityModel("EXPO", beta=0.3), max_cost=4.0)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions.vdf import array_vdf, check_parameters
-from wayfare.operators.paths import all_or_nothing, collect_network, skims
+from wayfare.operators.paths import collect_network, loads_at, packed_demand, skims
 from wayfare.plans.staging import cut
 
 ALGORITHMS = ("all-or-nothing", "msa", "frank-wolfe", "cfw", "bfw")
@@ -66,6 +66,7 @@ class Assignment:
                 raise ValueError(f"{c.fixed_cost} holds negative costs")
             self.fixed.append(own * c.fixed_cost_multiplier / c.vot)
         self.preload = np.zeros(len(self.t0))
+        self._packed = self._shared = None
         self.keys = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(self.net.link, self.net.direction, strict=True))}
 
     def add_preload(self, preload: DataFrame) -> None:
@@ -85,15 +86,19 @@ class Assignment:
 
     def _loaded(self, times: np.ndarray) -> list[np.ndarray]:
         """All-or-nothing loads of each class at its own costs, in passenger-car equivalents."""
-        out = []
-        for c, fixed in zip(self.classes, self.fixed, strict=True):
-            self.net.cost = times + fixed
+        if self._packed is None:
+            self._packed = [packed_demand(c.demand, [c.core], self.partitions) for c in self.classes]
             self.net._lists = None
+            self._shared = self.spark.sparkContext.broadcast(self.net)
+        out = []
+        for c, fixed, packed in zip(self.classes, self.fixed, self._packed, strict=True):
+            cost = self.spark.sparkContext.broadcast(times + fixed)
             y = np.zeros(len(times))
-            t = all_or_nothing(self.spark, self.net, c.demand, [c.core], self.partitions).toArrow()
+            t = loads_at(self._shared, cost, packed, [c.core]).toArrow()
             at = [self.keys[k] for k in zip(t.column("link_id").to_pylist(), t.column("direction").to_pylist(), strict=True)]
             y[at] = t.column(c.core).to_numpy()
             out.append(y * c.pce)
+            cost.destroy()
         return out
 
     def execute(self, algorithm: str = "bfw", max_iter: int = 250, rgap_target: float = 1e-4, steps_below_needed: int = 1, skim_fields: tuple[str, ...] = (), path_folder: str | None = None) -> Result:

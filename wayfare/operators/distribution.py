@@ -8,12 +8,16 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.plans.staging import BROADCAST_ROWS, cut, small
 
 BALANCE = 1e-3
+#: Cells that one task fits by itself (24 bytes each, and as much again at work).
+TASK_CELLS = 4_000_000
 
 
 def check_balance(productions: DataFrame, attractions: DataFrame, tolerance: float = BALANCE) -> tuple[float, float]:
@@ -33,10 +37,60 @@ def _factors(spark, cells: DataFrame, by: str, other: str, target: dict, scales:
     return {r[by]: (target.get(r[by], 0.0) / r.t if target.get(r[by], 0.0) > 0 and r.t else 0.0) for r in sums.collect()}  # a row a zone
 
 
+def _fitted_by_jobs(spark, cells: DataFrame, made: dict, drawn: dict, row_scale: dict, col_scale: dict, most: int, tolerance: float | None) -> list[dict]:
+    """Rounds of two jobs each; changes the scales in place and returns the report."""
+    report: list[dict] = []
+    for k in range(1, most + 1):
+        # factors of the rows are against the columns' scales times their own, and the other way round
+        needed = _factors(spark, cells, "origin", "destination", made, col_scale)
+        r = {z: (needed[z] / row_scale[z] if row_scale[z] else 0.0) for z in needed if made.get(z, 0.0) > 0}
+        row_scale.update({z: needed[z] for z in r})
+        needed = _factors(spark, cells, "destination", "origin", drawn, row_scale)
+        c = {z: (needed[z] / col_scale[z] if col_scale[z] else 0.0) for z in needed}
+        col_scale.update(needed)
+        error = max([max(f, 1 / f if f > 0 else 1.0, 1.0) for f in (*r.values(), *c.values())], default=1.0) - 1
+        report.append({"iteration": k, "error": error})
+        if tolerance is not None and error < tolerance:
+            break
+    return report
+
+
+def _fitted_in_task(cells: DataFrame, made: dict, drawn: dict, row_scale: dict, col_scale: dict, most: int, tolerance: float | None) -> tuple[dict, dict, list[dict]]:
+    """The same rounds over all cells at once, in one task: for matrices that fit one."""
+
+    def fit(group: pa.Table) -> pa.Table:
+        rows, i = np.unique(group.column("origin").to_numpy(), return_inverse=True)
+        cols, j = np.unique(group.column("destination").to_numpy(), return_inverse=True)
+        flow = group.column("flow").to_numpy()
+        p, a = np.array([made.get(int(z), 0.0) for z in rows]), np.array([drawn.get(int(z), 0.0) for z in cols])
+        r, c = np.array([row_scale.get(int(z), 1.0) for z in rows]), np.array([col_scale.get(int(z), 1.0) for z in cols])
+        part = lambda wanted, sums: np.divide(wanted, sums, out=np.zeros(len(wanted)), where=(wanted > 0) & (sums != 0))
+        change = lambda new, old: np.divide(new, old, out=np.zeros(len(new)), where=old != 0)
+        errors = []
+        for _ in range(most):
+            needed = part(p, np.bincount(i, flow * c[j], len(rows)))
+            by_row, r = change(needed, r)[p > 0], np.where(p > 0, needed, r)
+            needed = part(a, np.bincount(j, flow * r[i], len(cols)))
+            by_col, c = change(needed, c), needed
+            f = np.concatenate([by_row, by_col])
+            errors.append(float(np.max(np.maximum(np.maximum(f, np.divide(1.0, f, out=np.ones(len(f)), where=f > 0)), 1.0), initial=1.0) - 1))
+            if tolerance is not None and errors[-1] < tolerance:
+                break
+        kind = ["row"] * len(rows) + ["column"] * len(cols) + ["error"] * len(errors)
+        return pa.table({"kind": pa.array(kind, pa.string()), "at": pa.array(np.concatenate([rows, cols, np.arange(1, len(errors) + 1)]), pa.int64()), "value": pa.array(np.concatenate([r, c, errors]), pa.float64())})
+
+    found = cells.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "kind string, at long, value double").collect()  # zones and rounds
+    take = lambda kind: {r.at: r.value for r in found if r.kind == kind}
+    report = [{"iteration": k, "error": e} for k, e in sorted(take("error").items())]
+    if not report:  # no cell at all: nothing changes
+        report = [{"iteration": k, "error": 0.0} for k in range(1, (1 if tolerance is not None else most) + 1)]
+    return row_scale | take("row"), col_scale | take("column"), report
+
+
 def ipf(seed: DataFrame, productions: DataFrame, attractions: DataFrame, tolerance: float = 1e-4, max_iterations: int = 5000, fixed_iterations: int | None = None) -> tuple[DataFrame, list[dict]]:
     """(origin, destination, flow) fitted to both margins, and a report (iteration from 1, error).
 
-    A fitted cell is its seed times a scale of its row and one of its column, so only two vectors of zones change. Each
+    Up to ``TASK_CELLS`` cells one task does all rounds. Beyond: a fitted cell is its seed times a scale of its row and one of its column, so only two vectors of zones change. Each
     half of an iteration is one aggregation of the stored seed by one end, with the other end's scales broadcast (zones
     are at most ``BROADCAST_ROWS``); no plan grows. The error is the greatest of all factors and their inverses, less
     one. Rows without production keep their seed unless their attraction is zero too, and are in no sum.
@@ -59,19 +113,11 @@ def ipf(seed: DataFrame, productions: DataFrame, attractions: DataFrame, toleran
     for z in [r.destination for r in cells.select("destination").distinct().collect() if r.destination not in col_scale]:  # zones
         col_scale[z] = 1.0
         drawn[z] = 0.0
-    report: list[dict] = []
-    for k in range(1, (fixed_iterations or max_iterations) + 1):
-        # factors of the rows are against the columns' scales times their own, and the other way round
-        needed = _factors(spark, cells, "origin", "destination", made, col_scale)
-        r = {z: (needed[z] / row_scale[z] if row_scale[z] else 0.0) for z in needed if made.get(z, 0.0) > 0}
-        row_scale.update({z: needed[z] for z in r})
-        needed = _factors(spark, cells, "destination", "origin", drawn, row_scale)
-        c = {z: (needed[z] / col_scale[z] if col_scale[z] else 0.0) for z in needed}
-        col_scale.update(needed)
-        error = max([max(f, 1 / f if f > 0 else 1.0, 1.0) for f in (*r.values(), *c.values())], default=1.0) - 1
-        report.append({"iteration": k, "error": error})
-        if not fixed_iterations and error < tolerance:
-            break
+    rounds = (fixed_iterations or max_iterations, None if fixed_iterations else tolerance)
+    if cells.limit(TASK_CELLS + 1).count() <= TASK_CELLS:
+        row_scale, col_scale, report = _fitted_in_task(cells, made, drawn, row_scale, col_scale, *rounds)
+    else:
+        report = _fitted_by_jobs(spark, cells, made, drawn, row_scale, col_scale, *rounds)
     rows = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in row_scale.items()], "origin long, r double"))
     cols = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in col_scale.items()], "destination long, c double"))
     out = whole.join(rows, "origin", "left").join(cols, "destination", "left")
@@ -103,14 +149,13 @@ class GravityModel:
             return F.when(cost != 0, F.pow(cost, F.lit(-self.alpha)))
         return F.when((cost != 0) | F.lit(self.alpha >= 0), F.pow(cost, F.lit(self.alpha))) * F.exp(-self.beta * cost)
 
-    def save(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(asdict(self), f)
+    def save(self, spark, path: str) -> None:
+        """A line of JSON in a folder of any store that Spark reaches."""
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
-    def load(cls, path: str) -> GravityModel:
-        with open(path, encoding="utf-8") as f:
-            return cls(**json.load(f))
+    def load(cls, spark, path: str) -> GravityModel:
+        return cls(**json.loads(spark.read.text(path).first().value))
 
 
 def gravity_seed(impedance: DataFrame, productions: DataFrame, attractions: DataFrame, model: GravityModel, max_cost: float | None = None) -> DataFrame:

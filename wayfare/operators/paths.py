@@ -215,12 +215,24 @@ def unreachable(spark, net: Network, zones: DataFrame) -> DataFrame:
     return out.filter((F.col("cost") == float("inf")) & (F.col("origin") != F.col("destination"))).select("origin", "destination").orderBy("origin", "destination")
 
 
+def packed_demand(demand: DataFrame, cores: list[str], partitions: int | None = None) -> DataFrame:
+    """Demand as one row an origin, stored: for loads that are asked for again and again."""
+    return cut(_by_origin(demand, cores, partitions))
+
+
 def all_or_nothing(spark, net: Network, demand: DataFrame, cores: list[str], partitions: int | None = None) -> DataFrame:
     """link_id, direction and a load per core for edges that carry any: each task adds its origins' loads up first."""
-    shared = spark.sparkContext.broadcast(net)
+    return loads_at(spark.sparkContext.broadcast(net), None, _by_origin(demand, cores, partitions), cores)
+
+
+def loads_at(shared, cost, packed: DataFrame, cores: list[str]) -> DataFrame:
+    """all_or_nothing of packed demand over a network that is broadcast already, at other costs if a broadcast of them
+    is given: an iteration then sends its costs only."""
 
     def run(batches):
         net = shared.value
+        if cost is not None:
+            net.cost, net._lists = cost.value, None
         total = np.zeros((len(net.head), len(cores)))
         for batch in batches:
             for origin, cells in zip(batch.column("origin").to_pylist(), batch.column("cells").to_pylist(), strict=True):
@@ -228,7 +240,7 @@ def all_or_nothing(spark, net: Network, demand: DataFrame, cores: list[str], par
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(net.link[used], pa.int64()), pa.array(net.direction[used], pa.int32()), *[pa.array(total[used, k], pa.float64()) for k in range(len(cores))]], names=["link_id", "direction", *cores])
 
-    parts = _by_origin(demand, cores, partitions).mapInArrow(run, ", ".join(["link_id long", "direction int", *[f"`{c}` double" for c in cores]]))
+    parts = packed.mapInArrow(run, ", ".join(["link_id long", "direction int", *[f"`{c}` double" for c in cores]]))
     return parts.groupBy("link_id", "direction").agg(*[F.sum(c).alias(c) for c in cores])
 
 
