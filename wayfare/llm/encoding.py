@@ -2,8 +2,8 @@
 
 Texts are cut into pieces as the tokenizer file's pre-tokenizer does; a piece's ids come from, in turn, a bounded cache
 of the worker, the memory-mapped lexicon transducer of frequent pieces, and exact merges (``bpe.Bpe``). The lexicon is
-compiled on the driver from piece counts over all texts: each hash range keeps its most frequent pieces, a bounded
-number in all, so the file has a bounded size; it lies in the shared folder and Spark hands it to every executor. It
+compiled on the driver from piece counts over all texts: of each hash range at most so many pieces go on, and the most
+frequent of them all, a bounded number, are taken, so the file has a bounded size; it lies in the shared folder and Spark hands it to every executor. It
 only saves work: ids are the same without it.
 
 Two families of tokenizer files are understood: byte-level ones, whose pieces carry a leading space, and word-level
@@ -21,6 +21,7 @@ import json
 import re
 import unicodedata
 import uuid
+import zlib
 from collections import Counter
 from functools import cache
 
@@ -36,7 +37,8 @@ from wayfare.llm.bpe import Bpe, Lexicon, build_lexicon
 from wayfare.llm.common import as_row, shared_dir, text_column, with_fields
 
 LEXICON_PIECES = 32_768
-COUNT_BUCKETS = 64
+#: Bytes of text to each hash range of pieces, and the least number of ranges.
+BUCKET_BYTES, LEAST_BUCKETS = 1 << 26, 64
 CACHE_PIECES = 250_000
 FLUSH_PIECES = 1_000_000
 
@@ -362,9 +364,10 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 
 def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) -> list[str]:
-    """The most frequent pieces of all texts, so many of each of COUNT_BUCKETS hash ranges."""
-    share = max(1, pieces // COUNT_BUCKETS)
+    """The most frequent pieces of all texts; ties go by the piece."""
     encoder_words = bool(load(path).suffix)
+    texts = docs.select(text_column(docs).alias("text"))
+    buckets = max(LEAST_BUCKETS, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
 
     def counted(batches):
         encoder = Encoder(path)
@@ -375,12 +378,12 @@ def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
             for unit, n in units.items():
                 for p in encoder.pieces_of([unit])[0] if encoder_words else BYTE_PIECES.findall(" " + unit):
                     out[p] += n
-            rows: list[list] = [[[], []] for _ in range(COUNT_BUCKETS)]
+            rows: dict[int, tuple[list, list]] = {}
             for p, n in out.items():
-                own = rows[_bucket(p)]
+                own = rows.setdefault(zlib.crc32(p.encode()) % buckets, ([], []))
                 own[0].append(p)
                 own[1].append(n)
-            held = [(b, "\n".join(ps), np.array(ns, np.int64).tobytes()) for b, (ps, ns) in enumerate(rows) if ps]
+            held = [(b, "\n".join(ps), np.array(ns, np.int64).tobytes()) for b, (ps, ns) in rows.items()]
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["bucket", "pieces", "counts"])
 
@@ -397,18 +400,11 @@ def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
         for ps, ns in zip(group.column("pieces"), group.column("counts"), strict=True):
             for p, n in zip(ps.as_py().split("\n"), np.frombuffer(ns.as_py(), np.int64).tolist(), strict=True):
                 total[p] = total.get(p, 0) + n
-        first = sorted(total, key=lambda p: (-total[p], p))[:share]
-        return pa.table([pa.array(first, pa.string())], names=["piece"])
-
-    texts = docs.select(text_column(docs).alias("text"))
-    rows = texts.mapInArrow(counted, "bucket int, pieces string, counts binary").groupBy("bucket").applyInArrow(most, "piece string").collect()  # at most `pieces` rows
-    return [r.piece for r in rows]
-
-
-def _bucket(piece: str) -> int:
-    import zlib
+        first = sorted(total, key=lambda p: (-total[p], p))[:pieces]
+        return pa.table([pa.array(first, pa.string()), pa.array([total[p] for p in first], pa.int64())], names=["piece", "n"])
 
-    return zlib.crc32(piece.encode()) % COUNT_BUCKETS
+    rows = texts.mapInArrow(counted, "bucket int, pieces string, counts binary").groupBy("bucket").applyInArrow(most, "piece string, n long")
+    return [r.piece for r in rows.orderBy(F.desc("n"), "piece").limit(pieces).collect()]
 
 
 def shared_lexicon(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) -> str:
