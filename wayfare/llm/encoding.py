@@ -40,7 +40,7 @@ LEXICON_PIECES = 32_768
 #: Bytes of text to each hash range of pieces, and the least number of ranges.
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 26, 64
 CACHE_PIECES = 250_000
-FLUSH_BYTES = 1 << 22
+FLUSH_PIECES = 1_000_000
 
 # The pre-tokenizers' patterns of the two families of files.
 BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -371,41 +371,31 @@ def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
     buckets = max(LEAST_BUCKETS, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     share = 4 * pieces // buckets + 64
 
-    def rows_of(pieces: list[str], counts: np.ndarray):
-        """A row for each hash range with its pieces and their counts."""
-        own = np.array([zlib.crc32(p.encode()) % buckets for p in pieces], np.int64)
-        by = np.argsort(own, kind="stable")
-        cuts = np.append(np.flatnonzero(np.diff(own[by], prepend=-1)), len(by))
-        held = [(int(own[by[i]]), "\n".join([pieces[k] for k in by[i:j].tolist()]), counts[by[i:j]].astype(np.int64).tobytes()) for i, j in itertools.pairwise(cuts.tolist())]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["bucket", "pieces", "counts"])
-
-    def counted_words(batches):
+    def counted(batches):
         encoder = Encoder(path)
-        for batch in batches:
-            for part in textnum.slices(batch, "text", FLUSH_BYTES):
-                out: Counter[str] = Counter()
-                for unit, n in Counter(w for t in part.column("text").to_pylist() for w in t.split()).items():
-                    for p in encoder.pieces_of([unit])[0]:
-                        out[p] += n
-                yield from rows_of(list(out), np.fromiter(out.values(), np.int64, len(out)))
+        units: Counter[str] = Counter()
+
+        def flush():
+            out: Counter[str] = Counter()
+            for unit, n in units.items():
+                for p in encoder.pieces_of([unit])[0] if encoder_words else BYTE_PIECES.findall(" " + unit):
+                    out[p] += n
+            rows: dict[int, tuple[list, list]] = {}
+            for p, n in out.items():
+                own = rows.setdefault(zlib.crc32(p.encode()) % buckets, ([], []))
+                own[0].append(p)
+                own[1].append(n)
+            held = [(b, "\n".join(ps), np.array(ns, np.int64).tobytes()) for b, (ps, ns) in rows.items()]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["bucket", "pieces", "counts"])
 
-    def counted(batches):
-        """For byte-level files: parts of words between ASCII white space, cut where ASCII kinds meet, a space before the
-        first of a word. They are pieces but for characters beyond ASCII, and a lexicon may hold more than pieces."""
         for batch in batches:
-            for part in textnum.slices(batch, "text", FLUSH_BYTES):
-                words = textnum.Words(*textnum.buffers(part.column("text")))
-                if not len(words.starts):
-                    continue
-                kind = _KINDS[words.raw]
-                inner = np.setdiff1d(np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1, words.starts)
-                starts, ends = np.sort(np.concatenate([words.starts, inner])), np.sort(np.concatenate([words.ends, inner]))
-                spaced = np.isin(starts, words.starts)
-                _, first, counts = np.unique(textnum.span_hashes(words.raw, starts, ends) ^ spaced.astype(np.uint64), return_index=True, return_counts=True)
-                body, _ = textnum.gather(words.raw, starts[first], (ends - starts)[first], gap=1, fill=0x0A)
-                found = body.tobytes().decode().split("\n")[:-1]
-                yield from rows_of([" " + p if s else p for p, s in zip(found, spaced[first].tolist(), strict=True)], counts)
+            for text in batch.column("text").to_pylist():
+                units.update(text.split())
+                if len(units) > FLUSH_PIECES:
+                    yield from flush()
+                    units.clear()
+        yield from flush()
 
     def most(group: pa.Table) -> pa.Table:
         total: dict[str, int] = {}
@@ -415,7 +405,7 @@ def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
         first = sorted(total, key=lambda p: (-total[p], p))[:share]
         return pa.table([pa.array(first, pa.string()), pa.array([total[p] for p in first], pa.int64())], names=["piece", "n"])
 
-    rows = texts.mapInArrow(counted_words if encoder_words else counted, "bucket int, pieces string, counts binary").groupBy("bucket").applyInArrow(most, "piece string, n long")
+    rows = texts.mapInArrow(counted, "bucket int, pieces string, counts binary").groupBy("bucket").applyInArrow(most, "piece string, n long")
     return [r.piece for r in rows.orderBy(F.desc("n"), "piece").limit(pieces).collect()]
 
 
