@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import clock, geo
 from wayfare.functions.vdf import array_vdf, check_parameters, vdf
 
+# Published results of the two functions for volumes up to twice the capacity, which must match.
 CONICAL = [1, 1.017609498, 1.043053698, 1.092812279, 1.228923167, 2, 4.828923168, 8.292812282, 11.8430537, 15.4176095, 19.00220725]
 INRETS = [1, 1.011111111, 1.028571429, 1.06, 1.133333333, 1.5, 2.16, 2.94, 3.84, 4.86, 6]
 

@@ -239,6 +239,7 @@ class Assignment:
 
     def _flows(self, times: np.ndarray, n: int) -> DataFrame:
         v = sum(f * c.pce for f, c in zip(self.flow_arrays, self.classes, strict=True)) + self.preload
+        # The names of result columns.
         cols = {"link_id": self.net.link, "direction": self.net.direction.astype(np.int32), **{c.name: f for c, f in zip(self.classes, self.flow_arrays, strict=True)}, "Preload": self.preload, "Congested_Time": times, "Delay_factor": times / self.t0, "VOC": v / self.capacity, "PCE": v}
         import pandas as pd
 

@@ -12,11 +12,13 @@ BROADCAST_ROWS = 2_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of this session's own where none is set (one machine, tests)."""
+    """The cluster's spark.checkpoint.dir; a folder of this session's own where none is set, on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors of a cluster need a folder that they share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wayfare-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
