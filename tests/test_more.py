@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare import model
+from wayfare.more_queries import QUERIES
 from wayfare.operators import distribution, graph, gtfs, paths, registers, transit, zoning
 from wayfare.operators.assignment import Assignment, TrafficClass
 from wayfare.operators.kernels import HEURISTICS, Network, a_star, least_cost_per_metre
@@ -85,6 +86,26 @@ def test_fit_in_one_task_is_the_fit_by_jobs(spark, monkeypatch):
     assert results[0] == results[2] and results[1] == results[3]
 
 
+def test_fit_of_a_computed_seed_stores_no_matrix(spark, sf_dir, monkeypatch):
+    seed = F.when(F.col("origin") != F.col("destination"), (F.col("origin") * 5 + F.col("destination") * 3) % 7).cast("double")
+    p = spark.createDataFrame([(i, float(i % 4)) for i in range(1, 8)], "zone_id long, production double")
+    a = spark.createDataFrame([(j, 2.0 * (j != 4)) for j in range(1, 7)], "zone_id long, attraction double")
+    pairs = p.select(F.col("zone_id").alias("origin")).crossJoin(a.select(F.col("zone_id").alias("destination"))).withColumn("flow", seed)
+    how = {"fixed_iterations": 4}, {"tolerance": 1e-3, "max_iterations": 6}
+    results = lambda s: [(sorted((r.origin, r.destination, round(r.flow, 9)) for r in out.collect()), [(r["iteration"], round(r["error"], 9)) for r in report]) for out, report in (distribution.ipf(s, p, a.withColumn("attraction", F.col("attraction") * 1.2), **h) for h in how)]
+    fitted = lambda: sorted((r.origin, r.destination, r.flow) for r in QUERIES["supplier_ipf"](spark, sf_dir).collect())
+    in_task, stored, of_suppliers = results(seed), results(pairs), fitted()
+
+    def refuse(df):
+        raise AssertionError("the matrix is stored")
+
+    monkeypatch.setattr(distribution, "TASK_CELLS", 0)
+    monkeypatch.setattr(distribution, "cut", refuse)
+    assert results(seed) == in_task == stored
+    again = fitted()
+    assert [r[:2] for r in again] == [r[:2] for r in of_suppliers] and np.allclose([r[2] for r in again], [r[2] for r in of_suppliers], rtol=0, atol=1e-6)
+
+
 def test_assignment_keeps_skims_and_paths(spark, tmp_path):
     links = [(1, 1, 3, 1, 1.0, 10.0), (2, 3, 2, 1, 1.0, 10.0), (3, 1, 4, 1, 1.5, 10.0), (4, 4, 2, 1, 1.5, 10.0)]
     edges = spark.createDataFrame(links, LINKS).withColumn("toll", F.lit(0.5))

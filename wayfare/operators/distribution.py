@@ -6,6 +6,7 @@ A matrix is (origin, destination, flow) and margins (zone_id, production) and (z
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ from wayfare.plans.staging import BROADCAST_ROWS, cut, small
 BALANCE = 1e-3
 #: Cells that one task fits by itself (24 bytes each, and as much again at work).
 TASK_CELLS = 4_000_000
+#: Cells that a task computes of a seed that is an expression.
+COMPUTED_CELLS = 1 << 25
 
 
 def check_balance(productions: DataFrame, attractions: DataFrame, tolerance: float = BALANCE) -> tuple[float, float]:
@@ -30,22 +33,50 @@ def check_balance(productions: DataFrame, attractions: DataFrame, tolerance: flo
     return p, a
 
 
-def _factors(spark, cells: DataFrame, by: str, other: str, target: dict, scales: dict) -> dict:
-    """The factor of each zone of one end: its target over the sum of the cells at the other end's present scales."""
-    table = F.broadcast(spark.createDataFrame([(int(z), float(s)) for z, s in scales.items()], f"{other} long, scale double"))
-    sums = cells.join(table, other).groupBy(by).agg(F.sum(F.col("flow") * F.col("scale")).alias("t"))
+def _needed(sums: DataFrame, by: str, target: dict) -> dict:
+    """The factor of each zone of one end: its target over t, the sum of its cells at the other end's present scales."""
     return {r[by]: (target.get(r[by], 0.0) / r.t if target.get(r[by], 0.0) > 0 and r.t else 0.0) for r in sums.collect()}  # a row a zone
 
 
-def _fitted_by_jobs(spark, cells: DataFrame, made: dict, drawn: dict, row_scale: dict, col_scale: dict, most: int, tolerance: float | None) -> list[dict]:
+def _stored_sums(cells: DataFrame) -> Callable[[str, str, dict], DataFrame]:
+    """Sums by one end of stored cells, to which the other end's scales come by broadcast."""
+
+    def sums(by: str, other: str, scales: dict) -> DataFrame:
+        table = F.broadcast(cells.sparkSession.createDataFrame([(int(z), float(s)) for z, s in scales.items()], f"{other} long, scale double"))
+        return cells.join(table, other).groupBy(by).agg(F.sum(F.col("flow") * F.col("scale")).alias("t"))
+
+    return sums
+
+
+def _all_pairs(spark, streamed: list[tuple], streamed_schema: str, other: list[tuple], other_schema: str) -> DataFrame:
+    """Every row of one list with every row of the other, computed and not stored: the first is dealt over tasks, the
+    second is sent to all of them, and a task's rows of one zone follow one another."""
+    tasks = max(spark.sparkContext.defaultParallelism, len(streamed) * len(other) // COMPUTED_CELLS + 1)
+    return spark.createDataFrame(streamed, streamed_schema).repartition(min(tasks, max(len(streamed), 1))).crossJoin(F.broadcast(spark.createDataFrame(other, other_schema)))
+
+
+def _computed_sums(spark, flow: Column, made: dict, drawn: dict) -> Callable[[str, str, dict], DataFrame]:
+    """Sums by one end of a seed that is an expression: nothing but zones is stored or shuffled."""
+    margins = {"origin": {z: v for z, v in made.items() if v}, "destination": drawn}
+    kind = {"origin": "production", "destination": "attraction"}
+
+    def sums(by: str, other: str, scales: dict) -> DataFrame:
+        own, rest = ([(int(z), float(v)) for z, v in margins[e].items()] for e in (by, other))
+        cells = _all_pairs(spark, own, f"{by} long, {kind[by]} double", [(z, v, float(scales[z])) for z, v in rest], f"{other} long, {kind[other]} double, scale double")
+        return cells.groupBy(by).agg(F.sum(flow * F.col("scale")).alias("t"))
+
+    return sums
+
+
+def _fitted_by_jobs(sums: Callable[[str, str, dict], DataFrame], made: dict, drawn: dict, row_scale: dict, col_scale: dict, most: int, tolerance: float | None) -> list[dict]:
     """Rounds of two jobs each; changes the scales in place and returns the report."""
     report: list[dict] = []
     for k in range(1, most + 1):
         # factors of the rows are against the columns' scales times their own, and the other way round
-        needed = _factors(spark, cells, "origin", "destination", made, col_scale)
+        needed = _needed(sums("origin", "destination", col_scale), "origin", made)
         r = {z: (needed[z] / row_scale[z] if row_scale[z] else 0.0) for z in needed if made.get(z, 0.0) > 0}
         row_scale.update({z: needed[z] for z in r})
-        needed = _factors(spark, cells, "destination", "origin", drawn, row_scale)
+        needed = _needed(sums("destination", "origin", row_scale), "destination", drawn)
         c = {z: (needed[z] / col_scale[z] if col_scale[z] else 0.0) for z in needed}
         col_scale.update(needed)
         error = max([max(f, 1 / f if f > 0 else 1.0, 1.0) for f in (*r.values(), *c.values())], default=1.0) - 1
@@ -87,37 +118,62 @@ def _fitted_in_task(cells: DataFrame, made: dict, drawn: dict, row_scale: dict,
     return row_scale | take("row"), col_scale | take("column"), report
 
 
-def ipf(seed: DataFrame, productions: DataFrame, attractions: DataFrame, tolerance: float = 1e-4, max_iterations: int = 5000, fixed_iterations: int | None = None) -> tuple[DataFrame, list[dict]]:
+def _seed_flow(flow: Column) -> Column:
+    """A cell's seed: nothing where it is missing or neither end has anything."""
+    return F.when(F.col("production") + F.col("attraction") == 0, 0.0).otherwise(F.coalesce(F.nanvl(flow.cast("double"), F.lit(0.0)), F.lit(0.0)))
+
+
+def _fitted_computed(spark, seed: Column, made: dict, drawn: dict, most: int, tolerance: float | None) -> tuple[DataFrame, list[dict]]:
+    """ipf of a seed that is an expression, over all pairs of zones."""
+    flow = _seed_flow(seed)
+    row_scale, col_scale = dict.fromkeys(made, 1.0), dict.fromkeys(drawn, 1.0)
+    report = _fitted_by_jobs(_computed_sums(spark, flow, made, drawn), made, drawn, row_scale, col_scale, most, tolerance)
+    rows, cols = ([(int(z), float(v), float(scale[z])) for z, v in margin.items()] for margin, scale in ((made, row_scale), (drawn, col_scale)))
+    out = _all_pairs(spark, rows, "origin long, production double, r double", cols, "destination long, attraction double, c double")
+    fitted = F.when(F.col("production") > 0, flow * F.col("r") * F.col("c")).otherwise(flow)
+    return out.select("origin", "destination", fitted.alias("flow")), report
+
+
+def ipf(seed: DataFrame | Column, productions: DataFrame, attractions: DataFrame, tolerance: float = 1e-4, max_iterations: int = 5000, fixed_iterations: int | None = None) -> tuple[DataFrame, list[dict]]:
     """(origin, destination, flow) fitted to both margins, and a report (iteration from 1, error).
 
     Up to ``TASK_CELLS`` cells one task does all rounds. Beyond: a fitted cell is its seed times a scale of its row and one of its column, so only two vectors of zones change. Each
     half of an iteration is one aggregation of the stored seed by one end, with the other end's scales broadcast (zones
     are at most ``BROADCAST_ROWS``); no plan grows. The error is the greatest of all factors and their inverses, less
     one. Rows without production keep their seed unless their attraction is zero too, and are in no sum.
+
+    A seed that is an expression of the columns origin and destination stands for all pairs of a zone with a production
+    and one with an attraction. Beyond ``TASK_CELLS`` it is computed anew by each aggregation and by the result, and the
+    matrix is never stored (unless a margin has a zone twice, whose cells then come twice).
     """
-    spark = seed.sparkSession
+    spark = productions.sparkSession
     p, a = check_balance(productions, attractions)
     zones = productions.select("zone_id").unionByName(attractions.select("zone_id")).distinct()
     if zones.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         raise ValueError("more zones than a broadcast holds")
-    made = {r.zone_id: r.production or 0.0 for r in productions.collect()}
-    drawn = {r.zone_id: (r.attraction or 0.0) * (p / a) for r in attractions.collect()}
+    ends = productions.collect(), attractions.collect()  # zones
+    made = {r.zone_id: r.production or 0.0 for r in ends[0]}
+    drawn = {r.zone_id: (r.attraction or 0.0) * (p / a) for r in ends[1]}
+    rounds = (fixed_iterations or max_iterations, None if fixed_iterations else tolerance)
+    if isinstance(seed, Column):
+        if len(made) * len(drawn) > TASK_CELLS and (len(made), len(drawn)) == (len(ends[0]), len(ends[1])):
+            return _fitted_computed(spark, seed, made, drawn, *rounds)
+        keys = productions.select(F.col("zone_id").alias("origin")), attractions.select(F.col("zone_id").alias("destination"))
+        seed = keys[0].crossJoin(keys[1]).withColumn("flow", seed)
     rows = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in made.items()], "origin long, production double"))
     cols = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in drawn.items()], "destination long, attraction double"))
     whole = seed.join(rows, "origin", "left").join(cols, "destination", "left").fillna(0.0, ["production", "attraction"])
-    flow = F.when(F.col("production") + F.col("attraction") == 0, 0.0).otherwise(F.coalesce(F.nanvl(F.col("flow").cast("double"), F.lit(0.0)), F.lit(0.0)))
-    whole = cut(whole.select("origin", "destination", "production", flow.alias("flow")))
+    whole = cut(whole.select("origin", "destination", "production", _seed_flow(F.col("flow")).alias("flow")))
     cells = whole.filter("production <> 0").select("origin", "destination", "flow")
     row_scale = {z: 1.0 for z in made}
     col_scale = {z: 1.0 for z in drawn}
     for z in [r.destination for r in cells.select("destination").distinct().collect() if r.destination not in col_scale]:  # zones
         col_scale[z] = 1.0
         drawn[z] = 0.0
-    rounds = (fixed_iterations or max_iterations, None if fixed_iterations else tolerance)
     if cells.limit(TASK_CELLS + 1).count() <= TASK_CELLS:
         row_scale, col_scale, report = _fitted_in_task(cells, made, drawn, row_scale, col_scale, *rounds)
     else:
-        report = _fitted_by_jobs(spark, cells, made, drawn, row_scale, col_scale, *rounds)
+        report = _fitted_by_jobs(_stored_sums(cells), made, drawn, row_scale, col_scale, *rounds)
     rows = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in row_scale.items()], "origin long, r double"))
     cols = F.broadcast(spark.createDataFrame([(int(z), float(v)) for z, v in col_scale.items()], "destination long, c double"))
     out = whole.join(rows, "origin", "left").join(cols, "destination", "left")
