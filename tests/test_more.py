@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare import model
-from wayfare.more_queries import QUERIES
-from wayfare.operators import distribution, graph, gtfs, paths, registers, transit, zoning
+from wayfare.more_queries import ORACLES, QUERIES
+from wayfare.operators import distribution, graph, gtfs, kernels, paths, registers, transit, zoning
 from wayfare.operators.assignment import Assignment, TrafficClass
 from wayfare.operators.kernels import HEURISTICS, Network, a_star, least_cost_per_metre
 from wayfare.sources import tables
@@ -86,6 +86,35 @@ def test_fit_in_one_task_is_the_fit_by_jobs(spark, monkeypatch):
     assert results[0] == results[2] and results[1] == results[3]
 
 
+def test_searches_of_several_origins_at_once(monkeypatch):
+    rng = np.random.RandomState(3)
+    costs = rng.randint(0, 50, 300) / 7.0
+    costs[rng.rand(300) < 0.1] = np.inf
+    chain = np.arange(1, 200)
+    hub = np.arange(2, 102)
+    for a, b, cost in ((rng.randint(1, 80, 300), rng.randint(1, 80, 300), costs), (chain[::-1], chain[::-1] + 1, chain / 3.0), (hub, np.ones(100, int), hub / 3.0), (np.array([1, 2, 1]), np.array([2, 3, 3]), np.array([2.0, -1.5, 1.0]))):
+        for blocked in (False, True):
+            net = Network(a, b, np.arange(len(a)), np.ones(len(a)), cost, {}, [1, 2, 5, 40], blocked)
+            origins = list(range(min(20, len(net.nodes))))
+            for passes in (3, 4096):
+                monkeypatch.setattr(kernels, "EDGES_AT_ONCE", passes)
+                net._ranks = None
+                assert np.array_equal(net.costs(origins), np.array([net.tree(o)[0] for o in origins]))
+
+
+def test_supplier_searches_go_over_tasks_and_reach_what_sql_reaches(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    for keys in ([4], [3, 4, 5, 6, 7, 8], [1, 2, 3, 9, 4]):  # one alone, a run, a gap: 9's links leave the suppliers' nodes
+        spark.createDataFrame([(k,) for k in keys], "s_suppkey long").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/supplier.parquet")
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+        for work in (paths.TASK_WORK, (1, 1 << 28)):
+            monkeypatch.setattr(paths, "TASK_WORK", work)
+            out = QUERIES["supplier_path_costs"](spark, str(tmp_path))
+            assert sorted(map(tuple, out.collect())) == sorted(db.execute(ORACLES["supplier_path_costs"]).fetchall())
+    assert out.rdd.getNumPartitions() > 4
+
+
 def test_fit_of_a_computed_seed_stores_no_matrix(spark, sf_dir, monkeypatch):
     seed = F.when(F.col("origin") != F.col("destination"), (F.col("origin") * 5 + F.col("destination") * 3) % 7).cast("double")
     p = spark.createDataFrame([(i, float(i % 4)) for i in range(1, 8)], "zone_id long, production double")

@@ -88,7 +88,7 @@ class Assignment:
         """All-or-nothing loads of each class at its own costs, in passenger-car equivalents."""
         if self._packed is None:
             self._packed = [packed_demand(c.demand, [c.core], self.partitions) for c in self.classes]
-            self.net._lists = None
+            self.net._lists = self.net._ranks = None
             self._shared = self.spark.sparkContext.broadcast(self.net)
         out = []
         for c, fixed, packed in zip(self.classes, self.fixed, self._packed, strict=True):
@@ -165,7 +165,7 @@ class Assignment:
     def _class_skims(self, which: int, times: np.ndarray, fields: tuple[str, ...]) -> DataFrame:
         """origin, destination, cost and fields of a class's shortest paths, its fixed costs included."""
         self.net.cost = times + self.fixed[which]
-        self.net._lists = None
+        self.net._lists = self.net._ranks = None
         zones = self.net.nodes[self.net.is_centroid].tolist()
         return skims(self.spark, self.net, self.spark.createDataFrame([(int(z),) for z in zones], "origin long"), tuple(f for f in fields if f != "cost"))
 
@@ -175,7 +175,7 @@ class Assignment:
 
         for c, fixed in zip(self.classes, self.fixed, strict=True):
             self.net.cost = times + fixed
-            self.net._lists = None
+            self.net._lists = self.net._ranks = None
             pairs = c.demand.filter(F.col(c.core) > 0).filter("origin <> destination").select("origin", "destination")
             save_paths(shortest_paths(self.spark, self.net, pairs), iteration, c.name, folder)
 
@@ -216,7 +216,7 @@ class Assignment:
         out = {}
         for c, fixed in zip(self.classes, self.fixed, strict=True):
             self.net.cost = result.times + fixed
-            self.net._lists = None
+            self.net._lists = self.net._ranks = None
             pairs = c.demand.filter(F.col(c.core) > 0).filter("origin <> destination").select("origin", "destination")
             out[c.name] = select_link(shortest_paths(self.spark, self.net, pairs), c.demand, sets, c.core)
         return out

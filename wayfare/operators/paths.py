@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.operators.kernels import HEURISTICS, Network, a_star, least_cost_per_metre
+from wayfare.operators.kernels import HEURISTICS, ORIGINS_AT_ONCE, Network, a_star, least_cost_per_metre
 from wayfare.plans.staging import cut
 
 MAX_EDGES = 20_000_000
+#: Origins times edges of a task, at least where there are tasks enough for all cores, and at most.
+TASK_WORK = 1 << 21, 1 << 28
 
 
 def collect_network(edges: DataFrame, centroids: list[int], cost: str, fields: tuple[str, ...] = (), blocked: bool = True) -> Network:
@@ -39,24 +41,59 @@ def _by_origin(demand: DataFrame, cores: list[str], partitions: int | None) -> D
     return packed.repartition(partitions, "origin") if partitions else packed
 
 
+def _dealt(spark, net: Network, origins: DataFrame) -> DataFrame:
+    """Distinct origins over as many tasks as searches from all centroids are worth: their few bytes tell nothing of it."""
+    work = int(net.is_centroid.sum()) * len(net.head)
+    tasks = max(min(work // TASK_WORK[0], 4 * spark.sparkContext.defaultParallelism), work // TASK_WORK[1])
+    origins = origins.select(F.col("origin").cast("long"))
+    return (origins.repartition(tasks, "origin") if tasks > 1 else origins).distinct()
+
+
+def _costs(net: Network, origins: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(origin, cost to each node) of the origins that are in the network."""
+    known = [(z, o) for z in origins if (o := net.index(z)) >= 0]
+    for at in range(0, len(known), ORIGINS_AT_ONCE):
+        some = known[at : at + ORIGINS_AT_ONCE]
+        yield from zip((z for z, _ in some), net.costs([o for _, o in some]), strict=True)
+
+
 def skims(spark, net: Network, origins: DataFrame, field_names: tuple[str, ...] = ()) -> DataFrame:
     """origin, destination, cost and fields for all centroid pairs: 0 on the diagonal, infinite where unreachable."""
     shared = spark.sparkContext.broadcast(net)
     names = list(field_names)
 
+    def trees(net: Network, origins: list[int]):
+        for origin in origins:
+            if (o := net.index(origin)) >= 0:
+                far, into, order = net.tree(o)
+                yield origin, np.asarray(far), net.skims(into, order)
+
     def run(batches: Iterator[pa.RecordBatch]):
         net = shared.value
         zones = np.flatnonzero(net.is_centroid)
         for batch in batches:
-            for origin in batch.column("origin").to_pylist():
-                o = net.index(origin)
-                if o < 0:
-                    continue
-                far, into, order = net.tree(o)
-                extra = net.skims(into, order)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(zones), origin), pa.int64()), pa.array(net.nodes[zones], pa.int64()), pa.array(np.asarray(far)[zones], pa.float64()), *[pa.array(extra[f][zones], pa.float64()) for f in names]], names=["origin", "destination", "cost", *names])
+            ids = batch.column("origin").to_pylist()
+            for origin, far, extra in trees(net, ids) if names else ((z, far, {}) for z, far in _costs(net, ids)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(zones), origin), pa.int64()), pa.array(net.nodes[zones], pa.int64()), pa.array(far[zones], pa.float64()), *[pa.array(extra[f][zones], pa.float64()) for f in names]], names=["origin", "destination", "cost", *names])
+
+    return _dealt(spark, net, origins).mapInArrow(run, ", ".join(["origin long", "destination long", "cost double", *[f"`{f}` double" for f in names]]))
+
+
+def skim_totals(spark, net: Network, origins: DataFrame) -> DataFrame:
+    """origin, n_reached, total, farthest: number, sum and greatest of the costs to the centroids that an origin reaches,
+    itself included where it is one. The pairs stay in the tasks that search, so a row an origin is all that leaves them."""
+    shared = spark.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        net = shared.value
+        for batch in batches:
+            rows = [(z, far[net.is_centroid & np.isfinite(far)]) for z, far in _costs(net, batch.column("origin").to_pylist())]
+            rows = [(z, len(x), float(x.sum()), float(x.max())) for z, x in rows if len(x)]
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["origin", "n_reached", "total", "farthest"])
 
-    return origins.select(F.col("origin").cast("long")).distinct().mapInArrow(run, ", ".join(["origin long", "destination long", "cost double", *[f"`{f}` double" for f in names]]))
+    return _dealt(spark, net, origins).mapInArrow(run, "origin long, n_reached long, total double, farthest double")
 
 
 def shortest_paths(spark, net: Network, pairs: DataFrame) -> DataFrame:
@@ -232,7 +269,7 @@ def loads_at(shared, cost, packed: DataFrame, cores: list[str]) -> DataFrame:
     def run(batches):
         net = shared.value
         if cost is not None:
-            net.cost, net._lists = cost.value, None
+            net.cost, net._lists, net._ranks = cost.value, None, None
         total = np.zeros((len(net.head), len(cores)))
         for batch in batches:
             for origin, cells in zip(batch.column("origin").to_pylist(), batch.column("cells").to_pylist(), strict=True):
