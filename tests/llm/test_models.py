@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 from types import SimpleNamespace
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wayfare.llm import quality, store
+from wayfare.llm import quality, store, textnum
 from wayfare.llm.bpe import Bpe, Lexicon, build_lexicon
 from wayfare.llm.encoding import Encoder, LibraryEncoder, decimals, decode, encode, round_trip
 from wayfare.llm.html import main_text
@@ -427,3 +428,41 @@ def test_pipeline_on_fixture(spark, tmp_path):
     text = ENCODERS[BYTE].decode([np.array(out[503].ids)])[0]
     assert text.count("[SECRET]") == 2 and "abcdef123" not in text and out[503].n_tokens == len(out[503].ids)
     assert [k for k, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def test_known_pieces_are_found_in_their_slots(monkeypatch):
+    rng = np.random.RandomState(4)
+    texts = [" ".join(f"w{rng.randint(400)} {''.join(chr(97 + c) for c in rng.randint(0, 26, 9))}" for _ in range(60)) for _ in range(40)]
+    expected = [LIBRARY[WORD].encode(t, add_special_tokens=False).ids for t in texts]
+
+    def same(encoder):
+        ids, first = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(first.tolist())] == expected
+
+    tiny = LibraryEncoder(WORD, 3)  # slots are lost within a slice, the pool is tidied between slices
+    tiny.SLICE_BYTES = 2000
+    for _ in range(3):
+        same(tiny)
+    assert tiny.filled <= 8 * len(tiny.slots) + 10_000
+    large = LibraryEncoder(WORD, 100_000)
+    same(large)
+    sorted_at_once, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **b: sorted_at_once.append(len(x)) or unique(x, *a, **b))
+    same(large)
+    assert sum(sorted_at_once) < 50  # hardly any piece is sorted, or learnt, again
+
+
+def test_runs_of_words_stay_within_their_texts():
+    rng = np.random.RandomState(8)
+    for sizes in ([0], [3, 0, 1, 5, 4, 0], rng.randint(0, 9, 200).tolist()):
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        words = rng.randint(0, 3, first[-1]).astype(np.uint64)
+        for k in (1, 2, 4):
+            h, at = textnum.runs(textnum.mix(words + np.uint64(1)), first, k)
+            places = [i for a, b in itertools.pairwise(first.tolist()) for i in range(a, b - k + 1)]
+            assert at.tolist() == places and len(h) == len(places)
+            assert len(set(zip(h.tolist(), (tuple(words[i : i + k].tolist()) for i in places), strict=True))) == len(set(h.tolist())) == len({tuple(words[i : i + k].tolist()) for i in places})
+    raw = np.frombuffer(b"one Two three-and-a-word-of-more-than-thirty-two-bytes", np.uint8)
+    starts, ends = np.array([0, 4, 8]), np.array([3, 7, len(raw)])
+    for folded in (False, True):
+        assert all(np.array_equal(h, textnum.span_hashes(raw, starts, ends, folded, salt)) for salt, h in enumerate(textnum.salted_hashes(raw, starts, ends, (0, 1, 2), folded)))

@@ -215,7 +215,9 @@ class LibraryEncoder:
     into pieces at ASCII white space and where ASCII characters of those three kinds meet; not around apostrophes and
     control characters, nor in words that may hold a special token. A piece is known by 128 bits of hashes, the ids of
     known pieces are gathered from one array, and the new pieces of a slice go to the library as one text, so cost is a
-    few passes over arrays and the library's time for what is new. At most ``most`` pieces are kept, those used last.
+    few passes over arrays and the library's time for what is new. Pieces are kept in a table of twice ``most`` slots, or
+    up to four times: in the slot that the hash names or, where that is taken, in place of what its neighbour held. A
+    piece that has lost its slot is new again.
     For other files whole texts go to the library. Ids are 16 bits wide where the vocabulary allows it, else 32.
     """
 
@@ -231,13 +233,10 @@ class LibraryEncoder:
         self.words = bool(load_suffix(path))
         self.dtype = id_type(self.library)
         self.special = sorted({t.content.encode()[:2] for t in self.library.get_added_tokens_decoder().values()})
-        self.clock = 0
-        self._forget()
-
-    def _forget(self) -> None:
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # ascending by key
-        self.start, self.length, self.used = (np.zeros(0, np.int64) for _ in range(3))
-        self.pool = np.zeros(0, self.dtype)
+        bits = max(1, int(2 * most - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.zeros((1 << bits, 4), np.uint64)  # key, check, place in the pool and number of ids; in one row, as they are read together
+        self.pool, self.filled = np.zeros(1 << 16, self.dtype), 0
 
     def _library_ids(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, number of ids of each) of words."""
@@ -247,36 +246,57 @@ class LibraryEncoder:
             made = self.library.encode(body.tobytes().decode(), add_special_tokens=False)
             characters = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])[places]
             own = np.array(made.ids, self.dtype)
-            word = np.searchsorted(characters, np.fromiter((o[0] for o in made.offsets), np.int64, len(own)), "right") - 1
+            word = np.searchsorted(characters, np.fromiter(itertools.chain.from_iterable(made.offsets), np.int64, 2 * len(own))[::2], "right") - 1
             ids.append(own)
             counts.append(np.diff(np.searchsorted(word, np.arange(len(places)))))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _places(self, key: np.ndarray, check: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Places of distinct words among those known, after learning the new ones."""
-        self.clock += 1
-        if len(self.key) + len(key) > 2 * self.most:
-            keep = np.sort(np.argsort(self.used, kind="stable")[max(0, len(self.used) - self.most) :])
-            pool, at = textnum.gather(self.pool, self.start[keep], self.length[keep])
-            self.key, self.check, self.length, self.used, self.start, self.pool = self.key[keep], self.check[keep], self.length[keep], self.used[keep], at[:-1], pool
-        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        held = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), bool)
-        new = np.flatnonzero(~held)
+    def _known(self, key: np.ndarray, check: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pool, number of ids) of each piece, after learning the new ones."""
+        slot = (key >> self.shift).astype(np.int64)
+        rows = self.slots.take(slot, axis=0)
+        begin, count = rows[:, 2].astype(np.int64), rows[:, 3].astype(np.int64)
+        # a slot without a piece is all zeros, with no ids: a piece without ids is learnt whenever met
+        new = np.flatnonzero((rows[:, 0] != key) | (rows[:, 1] != check) | (count == 0))
+        rows = self.slots.take(slot[new] ^ 1, axis=0)
+        held = (rows[:, 0] == key[new]) & (rows[:, 1] == check[new]) & (rows[:, 3] > 0)
+        begin[new[held]], count[new[held]] = rows[held, 2].astype(np.int64), rows[held, 3].astype(np.int64)
+        new = new[~held]
         if len(new):
-            ids, counts = self._library_ids(raw, starts[new], lengths[new])
-            joined = np.concatenate([self.key, key[new]])
-            by = np.argsort(joined, kind="stable")
-            begin = np.concatenate([[0], np.cumsum(counts)[:-1]]) + len(self.pool)
-            merge = lambda a, b: np.concatenate([a, b])[by]
-            self.key, self.check, self.start, self.length, self.used = joined[by], merge(self.check, check[new]), merge(self.start, begin), merge(self.length, counts), merge(self.used, np.zeros(len(new), np.int64))
-            self.pool = np.concatenate([self.pool, ids])
-            at = np.searchsorted(self.key, key)
-            wrong = np.flatnonzero(self.check[at] != check)  # one key with two checks: the next one is meant
-            while len(wrong):
-                at[wrong] += 1
-                wrong = wrong[self.check[at[wrong]] != check[wrong]]
-        self.used[at] = self.clock
-        return at
+            own, first, place = np.unique(key[new], return_index=True, return_inverse=True)
+            if np.any(check[new] != check[new][first][place]):  # two pieces of one key
+                pairs, first, place = np.unique(np.stack([key[new], check[new]], axis=1), axis=0, return_index=True, return_inverse=True)
+                own, place = np.ascontiguousarray(pairs[:, 0]), place.ravel()
+            at = new[first]
+            ids, counts = self._library_ids(raw, starts[at], lengths[at])
+            self._make_room(len(ids))
+            begins = np.cumsum(counts) - counts + self.filled
+            self.pool[self.filled : self.filled + len(ids)] = ids
+            self.filled += len(ids)
+            to = slot[at]
+            to ^= self.slots[to, 3] > 0  # the first piece keeps its slot, those after it take turns in the next
+            self.slots[to] = np.stack([own, check[at], begins.astype(np.uint64), counts.astype(np.uint64)], axis=1)
+            begin[new], count[new] = begins[place], counts[place]
+        return begin, count
+
+    def _make_room(self, n: int) -> None:
+        """Room for n more ids at the pool's end. Places given out before stay valid for as long as nothing moves, so a pool
+        that is full grows, and is rid of lost pieces between slices only."""
+        if self.filled + n > len(self.pool):
+            pool = np.zeros(2 * (self.filled + n), self.dtype)
+            pool[: self.filled] = self.pool[: self.filled]
+            self.pool = pool
+
+    def _tidy(self) -> None:
+        """Drop the ids of pieces that lost their slots, once they may be more than half of the pool."""
+        if self.filled > 8 * len(self.slots):
+            live = np.flatnonzero(self.slots[:, 3])
+            lengths = self.slots[live, 3].astype(np.int64)
+            pool, at = textnum.gather(self.pool[: self.filled], self.slots[live, 2].astype(np.int64), lengths)
+            self.slots[live, 2] = at[:-1].astype(np.uint64)
+            if len(pool) > 4 * len(self.slots):  # long pieces: all of them are learnt anew
+                self.slots[:], pool = 0, pool[:0]
+            self.pool, self.filled = pool, len(pool)
 
     def _pieces(self, words: textnum.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, hashes, other hashes) of the pieces of the words."""
@@ -293,23 +313,20 @@ class LibraryEncoder:
             cut[words.starts[w] : words.ends[w] - 1] = False
         inner = np.flatnonzero(cut) + 1
         starts, ends = np.sort(np.concatenate([words.starts, inner])), np.sort(np.concatenate([words.ends, inner]))
-        key, check = (textnum.span_hashes(raw, starts, ends, folded=True, salt=k) for k in (0, 1))
+        key, check = textnum.salted_hashes(raw, starts, ends, (0, 1), folded=True)
         if len(whole):  # case tells special tokens from others
             at = np.searchsorted(starts, words.starts[whole])
-            key[at], check[at] = (textnum.span_hashes(raw, starts[at], ends[at], salt=k) for k in (2, 3))
+            key[at], check[at] = textnum.salted_hashes(raw, starts[at], ends[at], (2, 3))
         return starts, ends, key, check
 
     def _slice(self, words: textnum.Words) -> tuple[np.ndarray, np.ndarray]:
         if not len(words.starts):
             return np.zeros(0, self.dtype), np.zeros(len(words.first), np.int64)
-        starts, ends, hashes, checks = self._pieces(words)
-        key, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if np.any(checks != checks[first][place]):  # two pieces of one key
-            pairs, first, place = np.unique(np.stack([hashes, checks], axis=1), axis=0, return_index=True, return_inverse=True)
-            key, place = np.ascontiguousarray(pairs[:, 0]), place.ravel()
-        at = self._places(key, checks[first], words.raw, starts[first], (ends - starts)[first])[place]
-        ids, places = textnum.gather(self.pool, self.start[at], self.length[at])
-        return ids, places[np.searchsorted(starts, np.append(words.starts, len(words.raw)))[words.first]]
+        self._tidy()
+        starts, ends, key, check = self._pieces(words)
+        begin, count = self._known(key, check, words.raw, starts, ends - starts)
+        ids, places = textnum.gather(self.pool, begin, count)
+        return ids, places[np.searchsorted(starts, np.append(words.starts, len(words.raw))[words.first])]
 
     def _parts(self, raw: np.ndarray) -> list[tuple[int, int]]:
         """Cuts of a very long text, after white space."""

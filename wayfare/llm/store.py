@@ -49,13 +49,18 @@ TEXTS_AT_ONCE = 2048
 SLOT_IDS = 1 << 19
 
 
+#: Mixed values of all ids of 16 bits.
+_MIXED = textnum.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
 def digest(body: bytes) -> bytes:
     return hashlib.blake2b(body, digest_size=16).digest()
 
 
 def cuts(ids: np.ndarray, first: np.ndarray, log_chunk: int = LOG_CHUNK, most: int = MOST_IDS) -> np.ndarray:
     """Ends of the chunks of documents, none of them empty, whose ids stand one after another; first: their n + 1 places."""
-    h, at = textnum.runs(textnum.mix(ids.astype(np.uint64) + np.uint64(1)), first, SPAN)
+    mixed = _MIXED[ids] if ids.dtype.itemsize <= 2 else textnum.mix(ids.astype(np.uint64) + np.uint64(1))
+    h, at = textnum.runs(mixed, first, SPAN)
     ends = np.union1d(at[(h & np.uint64((1 << log_chunk) - 1)) == 0] + SPAN, first[1:])
     gaps = np.diff(ends, prepend=0)
     wide = np.flatnonzero(gaps > most)

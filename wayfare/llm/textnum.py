@@ -22,7 +22,7 @@ _powers: dict[int, np.ndarray] = {}
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
@@ -86,21 +86,33 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False, salt: int = 0) -> np.ndarray:
     """64-bit hash of each span of bytes, none of them empty; folded: A-Z as a-z."""
+    return salted_hashes(raw, starts, ends, (salt,), folded)[0]
+
+
+def salted_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: tuple[int, ...], folded: bool = False) -> list[np.ndarray]:
+    """``span_hashes`` under several salts; the bytes and their places are made out once."""
     lengths = ends - starts
     if not len(lengths):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in salts]
     begin = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=begin[1:])
-    source = np.arange(begin[-1])
-    place = source - np.repeat(begin[:-1], lengths)
-    byte = raw[source + np.repeat(starts - begin[:-1], lengths)]
+    place = np.arange(begin[-1])
+    byte = raw[place + np.repeat(starts - begin[:-1], lengths)]
+    place -= np.repeat(begin[:-1], lengths)
     if folded:
         byte = _FOLDED[byte]
-    value = _table(salt)[(np.minimum(place, TABLE_PLACES - 1) << 8) | byte]
     late = np.flatnonzero(place >= TABLE_PLACES)
-    if len(late):
-        value[late] = _byte_values(byte[late], place[late], salt)
-    return mix(np.add.reduceat(value, begin[:-1]) + lengths.astype(np.uint64))
+    late_place = place[late]
+    np.minimum(place, TABLE_PLACES - 1, out=place)
+    place <<= 8
+    place |= byte
+    out = []
+    for salt in salts:
+        value = _table(salt)[place]
+        if len(late):
+            value[late] = _byte_values(byte[late], late_place, salt)
+        out.append(mix(np.add.reduceat(value, begin[:-1]) + lengths.astype(np.uint64)))
+    return out
 
 
 class Words:
@@ -138,10 +150,14 @@ def runs(hashes: np.ndarray, first: np.ndarray, k: int, base: np.uint64 = RUN_BA
     total = np.zeros(n + 1, np.uint64)
     pw = powers(base, n + 1)
     np.cumsum(hashes * pw[:n], out=total[1:])
-    last = np.repeat(first[1:], np.diff(first))[: n - k + 1]  # end of the text of each word
-    at = np.flatnonzero(np.arange(k, n + 1) <= last)
-    h = (total[at + k] - total[at]) * pw[n - at] * _inverse(base, n)
-    return mix(h + np.uint64(k)), at
+    whole = np.ones(n - k + 1, bool)
+    for before in range(1, k):  # a run that begins less than k words before the end of a text goes beyond it
+        at = first[1:] - before
+        whole[at[(at >= 0) & (at <= n - k)]] = False
+    h = total[k:] - total[:-k]
+    h *= pw[k:][::-1]
+    h *= _inverse(base, n)
+    return mix(h[whole] + np.uint64(k)), np.flatnonzero(whole)
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
