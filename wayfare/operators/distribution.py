@@ -48,11 +48,24 @@ def _stored_sums(cells: DataFrame) -> Callable[[str, str, dict], DataFrame]:
     return sums
 
 
-def _all_pairs(spark, streamed: list[tuple], streamed_schema: str, other: list[tuple], other_schema: str) -> DataFrame:
-    """Every row of one list with every row of the other, computed and not stored: the first is dealt over tasks, the
-    second is sent to all of them, and a task's rows of one zone follow one another."""
-    tasks = max(spark.sparkContext.defaultParallelism, len(streamed) * len(other) // COMPUTED_CELLS + 1)
-    return spark.createDataFrame(streamed, streamed_schema).repartition(min(tasks, max(len(streamed), 1))).crossJoin(F.broadcast(spark.createDataFrame(other, other_schema)))
+def _tasks(spark, cells: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, cells // COMPUTED_CELLS + 1)
+
+
+def _pairs_by_zone(spark, streamed: list[tuple], streamed_schema: str, other: list[tuple], other_schema: str) -> DataFrame:
+    """Every row of one list with every row of the other, for sums: the first is dealt over tasks, the second is sent to
+    all of them, and a task's rows of one zone follow one another."""
+    tasks = min(_tasks(spark, len(streamed) * len(other)), max(len(streamed), 1))
+    return spark.createDataFrame(streamed, streamed_schema).repartition(tasks).crossJoin(F.broadcast(spark.createDataFrame(other, other_schema)))
+
+
+def _pairs_by_number(spark, rows: list[tuple], rows_schema: str, cols: list[tuple], cols_schema: str) -> DataFrame:
+    """The same pairs one at a time, for rows that leave: each number of a range looks up its ends, and no row is copied
+    to wait for the others of its zone."""
+    numbered = lambda ends, schema, by: F.broadcast(spark.createDataFrame([(k, *e) for k, e in enumerate(ends)], f"{by} long, {schema}"))
+    cells, n = len(rows) * len(cols), max(len(cols), 1)
+    numbers = spark.range(0, cells, 1, _tasks(spark, cells)).select(F.expr(f"id div {n}").alias("__row"), (F.col("id") % n).alias("__col"))
+    return numbers.join(numbered(rows, rows_schema, "__row"), "__row").join(numbered(cols, cols_schema, "__col"), "__col")
 
 
 def _computed_sums(spark, flow: Column, made: dict, drawn: dict) -> Callable[[str, str, dict], DataFrame]:
@@ -62,7 +75,7 @@ def _computed_sums(spark, flow: Column, made: dict, drawn: dict) -> Callable[[st
 
     def sums(by: str, other: str, scales: dict) -> DataFrame:
         own, rest = ([(int(z), float(v)) for z, v in margins[e].items()] for e in (by, other))
-        cells = _all_pairs(spark, own, f"{by} long, {kind[by]} double", [(z, v, float(scales[z])) for z, v in rest], f"{other} long, {kind[other]} double, scale double")
+        cells = _pairs_by_zone(spark, own, f"{by} long, {kind[by]} double", [(z, v, float(scales[z])) for z, v in rest], f"{other} long, {kind[other]} double, scale double")
         return cells.groupBy(by).agg(F.sum(flow * F.col("scale")).alias("t"))
 
     return sums
@@ -129,7 +142,7 @@ def _fitted_computed(spark, seed: Column, made: dict, drawn: dict, most: int, to
     row_scale, col_scale = dict.fromkeys(made, 1.0), dict.fromkeys(drawn, 1.0)
     report = _fitted_by_jobs(_computed_sums(spark, flow, made, drawn), made, drawn, row_scale, col_scale, most, tolerance)
     rows, cols = ([(int(z), float(v), float(scale[z])) for z, v in margin.items()] for margin, scale in ((made, row_scale), (drawn, col_scale)))
-    out = _all_pairs(spark, rows, "origin long, production double, r double", cols, "destination long, attraction double, c double")
+    out = _pairs_by_number(spark, rows, "origin long, production double, r double", cols, "destination long, attraction double, c double")
     fitted = F.when(F.col("production") > 0, flow * F.col("r") * F.col("c")).otherwise(flow)
     return out.select("origin", "destination", fitted.alias("flow")), report
 
