@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm.common import as_row, staged, table
+from wayfare.llm.common import staged, table
 
 SHINGLE_WORDS = 5
 SHINGLE_PERCENT = 80
@@ -20,8 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     from wayfare.llm import quality
 
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(as_row(docs).alias("own"), "text")
-    return quality.grade(rows, model).filter("kept").select("own.*")
+    return quality.kept_rows(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     from wayfare.llm.encoding import encode
 
-    return encode(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_text=False)
 
 
 STAGES = [

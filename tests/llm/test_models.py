@@ -389,6 +389,49 @@ def test_encode_keeps_columns_of_any_name(spark):
     assert all(isinstance(r.kept, bool) and r["a.b"] in (5, 7) for r in graded)
 
 
+def test_workers_keep_one_encoder_and_none_for_other_operators(spark):
+    """One partition after another, so that one worker serves all of them."""
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], DOCS).coalesce(1)
+
+    def held(batches):
+        import gc
+
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(o).__name__ == "Encoder" and "wayfare" in type(o).__module__ for o in gc.get_objects())], pa.int64())], names=["n"])
+
+    def alive():
+        return docs.mapInArrow(held, "n long").first().n
+
+    for _ in range(3):
+        round_trip(docs, BYTE, lexicon_pieces=10).collect()
+    assert alive() == 1
+    quality.grade(docs, quality.OrdinalModel.train(["a", "b"], [0, 1])).collect()
+    assert alive() == 0
+
+
+def arrow_input(df):
+    """Type of what the MapInArrow node of a plan hands to Python."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().head()
+    return node.children().head().schema().simpleString()
+
+
+def test_texts_cross_to_python_once(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b", 3), (2, None, 0), (3, "", 0)], "doc_id long, text string, n_chars long")
+    model = quality.OrdinalModel.train(["a b", "c d"], [1, 0])
+    kept = quality.kept_rows(docs, model)
+    for df in (encode(docs, BYTE), quality.grade(docs, model), kept):
+        assert arrow_input(df).count("text:string") == 1
+    graded = quality.grade(docs, model).collect()
+    assert [r.text for r in graded] == ["a b", None, ""]
+    assert [tuple(r) for r in kept.collect()] == [tuple(r)[:3] for r in graded if r.kept]
+    assert [(r.text, r.n_tokens) for r in encode(docs, BYTE).collect()] == [("a b", 2), (None, 0), ("", 0)]
+    assert corpus_pipeline.encoding_stage(spark, docs, "").columns == ["doc_id", "n_chars", "n_tokens", "ids"]
+
+
 def test_pipeline_stages_cope_with_odd_tables(spark, tmp_path):
     """Repeated ids, nulls in every column, clashing and dotted names, and empty tables, at every stage."""
     import corpus_pipeline

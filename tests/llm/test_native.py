@@ -170,6 +170,14 @@ def test_default_training_finds_planted_secrets(spark):
     assert masked[len(names)] == "see [SECRET] here"
 
 
+def test_made_samples_need_no_python_worker(spark):
+    from wayfare.llm.secrets import made_samples, made_table
+
+    made = made_table(spark)
+    assert [tuple(r) for r in made.collect()] == made_samples() and made.columns == ["text", "label"]
+    assert "Python" not in made._jdf.queryExecution().toRdd().toDebugString()
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a password=abcdef1 b", 20, "h", 3), (2, None, 0, "h", 3), (3, "clean", 5, "h", 3)], "doc_id long, text string, n_chars long, hex string, __all int")
     out = {r.doc_id: r for r in redacted(docs, samples(spark)).collect()}

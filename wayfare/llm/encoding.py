@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import textnum
 from wayfare.llm.bpe import Bpe, Lexicon, build_lexicon
-from wayfare.llm.common import as_row, shared_dir, text_column, with_fields
+from wayfare.llm.common import as_row, frugal, kept_in_worker, put_together, shared_dir, text_apart, text_column, with_fields
 
 LEXICON_PIECES = 32_768
 #: Bytes of text to each hash range of pieces, and the least number of ranges.
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 26, 64
 CACHE_PIECES = 250_000
 FLUSH_PIECES = 1_000_000
+#: Bytes of text that are cut and encoded together.
+SLICE_BYTES = 1 << 20
 
 # The pre-tokenizers' patterns of the two families of files.
 BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -394,11 +396,13 @@ def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
 
         def flush():
             out: Counter[str] = Counter()
-            for unit, n in units.items():
+            while units:
+                unit, n = units.popitem()
                 for p in encoder.pieces_of([unit])[0] if encoder_words else BYTE_PIECES.findall(" " + unit):
                     out[p] += n
             rows: dict[int, tuple[list, list]] = {}
-            for p, n in out.items():
+            while out:
+                p, n = out.popitem()
                 own = rows.setdefault(zlib.crc32(p.encode()) % buckets, ([], []))
                 own[0].append(p)
                 own[1].append(n)
@@ -407,11 +411,11 @@ def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["bucket", "pieces", "counts"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                units.update(text.split())
-                if len(units) > FLUSH_PIECES:
-                    yield from flush()
-                    units.clear()
+            for part in textnum.slices(batch, "text", SLICE_BYTES):
+                for text in part.column("text").to_pylist():
+                    units.update(text.split())
+                    if len(units) > FLUSH_PIECES:
+                        yield from flush()
         yield from flush()
 
     def most(group: pa.Table) -> pa.Table:
@@ -422,7 +426,7 @@ def frequent_pieces(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
         first = sorted(total, key=lambda p: (-total[p], p))[:share]
         return pa.table([pa.array(first, pa.string()), pa.array([total[p] for p in first], pa.int64())], names=["piece", "n"])
 
-    rows = texts.mapInArrow(counted, "bucket int, pieces string, counts binary").groupBy("bucket").applyInArrow(most, "piece string, n long")
+    rows = texts.mapInArrow(frugal(counted), "bucket int, pieces string, counts binary").groupBy("bucket").applyInArrow(most, "piece string, n long")
     return [r.piece for r in rows.orderBy(F.desc("n"), "piece").limit(pieces).collect()]
 
 
@@ -443,27 +447,26 @@ def shared_lexicon(docs: DataFrame, path: str, pieces: int = LEXICON_PIECES) ->
     return name
 
 
-@cache
 def worker_encoder(path: str, name: str | None) -> Encoder:
-    """This worker's encoder, over the memory-mapped lexicon; its cache serves one task after another."""
-    return Encoder(path, Lexicon(np.memmap(SparkFiles.get(name), np.uint32, "r")) if name else None)
+    """This worker's encoder, over the memory-mapped lexicon; its cache serves one task after another of the same lexicon."""
+    return kept_in_worker(("encoder", path, name), lambda: Encoder(path, Lexicon(np.memmap(SparkFiles.get(name), np.uint32, "r")) if name else None))
 
 
-def encoded_batches(batches, encoder: Encoder, texts_at_once: int = 512):
-    """(record batch of whole rows, their ids) for all rows of a partition."""
+def encoded_batches(batches, encoder: Encoder):
+    """(record batch of whole rows, their texts, their ids) for all rows of a partition, a few texts at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, texts_at_once):
-            part = batch.slice(at, texts_at_once)
-            texts = part.column("text").to_pylist()
+        for part in textnum.slices(batch, "text", SLICE_BYTES):
+            texts = part.column("text").fill_null("").to_pylist()
             yield part, texts, encoder.encode(texts)
 
 
-def encode(docs: DataFrame, path: str, lexicon_pieces: int = LEXICON_PIECES) -> DataFrame:
-    """docs with n_tokens and ids (array<int>) for its text, in place of columns of these names; other columns stay. Null
-    text has no ids."""
+def encode(docs: DataFrame, path: str, lexicon_pieces: int = LEXICON_PIECES, with_text: bool = True) -> DataFrame:
+    """docs with n_tokens and ids (array<int>) for its text, in place of columns of these names; other columns stay, the
+    text too unless it is not wanted. Null text has no ids."""
     name = shared_lexicon(docs, path, lexicon_pieces)
     own = [c for c in docs.columns if c not in ("n_tokens", "ids")]
-    base = docs.select(as_row(docs, own).alias("row"), text_column(docs).alias("text"))
+    base = text_apart(docs, own)
+    names = ["row", "text"] if with_text else ["row"]
 
     def run(batches):
         encoder = worker_encoder(path, name)
@@ -471,9 +474,10 @@ def encode(docs: DataFrame, path: str, lexicon_pieces: int = LEXICON_PIECES) ->
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             sizes = np.array([len(x) for x in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["row", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=[*names, "n_tokens", "ids"])
 
-    return base.mapInArrow(run, with_fields(base.schema["row"], "n_tokens long, ids array<int>")).select("row.*", "n_tokens", "ids")
+    schema = with_fields(base.schema["row"], "text string, " * with_text + "n_tokens long, ids array<int>")
+    return base.mapInArrow(frugal(run, keeps=True), schema).select(*put_together(own, with_text), "n_tokens", "ids")
 
 
 def decode(encoded: DataFrame, path: str, into: str = "decoded") -> DataFrame:
@@ -517,4 +521,4 @@ def round_trip(docs: DataFrame, path: str, lexicon_pieces: int = LEXICON_PIECES)
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return base.mapInArrow(frugal(run, keeps=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm import sketch, textnum, units
-from wayfare.llm.common import as_row, staged, text_column
+from wayfare.llm.common import as_row, frugal, staged, text_column
 from wayfare.llm.components import joined_up, lookup, star_components
 from wayfare.plans.staging import small
 
@@ -272,7 +272,7 @@ def _components(docs: DataFrame, gram: int, percent: int, tile_bytes: int = TILE
                     rows = units.pack(np.mod(classes[at], parts), classes[at], np.zeros(len(at), np.int64), part.column("text").take(pa.array(at)))
                     yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.nulls(rows.num_rows, pa.binary())] * len(DOCS)], names=[*units.NAMES, *DOCS])
 
-    held = staged(base.mapInArrow(signed, SIGNED), "signed")
+    held = staged(base.mapInArrow(frugal(signed), SIGNED), "signed")
     texts = held.filter("unit IS NOT NULL").select(*units.NAMES).repartition(units.partitions(parts), "unit")
     rows = held.filter("unit IS NULL").select(*DOCS).mapInArrow(_documents, ROWS_DDL)
     owners = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm import textnum
-from wayfare.llm.common import as_row, text_column, with_fields
+from wayfare.llm.common import frugal, put_together, text_apart, text_column, with_fields
 from wayfare.llm.sampling import labelled
 
 SAMPLE = 4_000
@@ -147,25 +147,42 @@ class OrdinalModel:
         return _logistic(s[:, None] - self.thresholds)
 
 
-def grade(docs: DataFrame, model: OrdinalModel, least: int | None = None, keep: float = KEEP) -> DataFrame:
+def _judged(batches, model: OrdinalModel, least: int | None):
+    """(rows, expected grade, probability of ``least`` or better) of a few rows at a time."""
+    grades = np.array(model.grades, float)
+    at = len(grades) - 1 if least is None else int(np.searchsorted(grades, least))
+    for batch in batches:
+        for part in textnum.slices(batch, "text", SLICE_BYTES):
+            s = scores(textnum.Words(*textnum.buffers(part.column("text"))), model.weights)
+            tails = model.tails(s)
+            yield part, grades[0] + tails @ np.diff(grades), tails[:, at - 1] if at else np.ones(len(s))
+
+
+def grade(docs: DataFrame, model: OrdinalModel, least: int | None = None, keep: float = KEEP, with_text: bool = True) -> DataFrame:
     """docs with expected_grade, tail_probability (of ``least``, the best grade unless given, or better) and kept, in place
-    of columns of these names."""
+    of columns of these names; without its text if that is not wanted."""
     own = [c for c in docs.columns if c not in ("expected_grade", "tail_probability", "kept")]
-    at = len(model.grades) - 1 if least is None else int(np.searchsorted(model.grades, least))
-    base = docs.select(as_row(docs, own).alias("row"), text_column(docs).alias("text"))
+    base = text_apart(docs, own)
+    names = ["row", "text"] if with_text else ["row"]
+    made = ["expected_grade", "tail_probability", "kept"]
 
     def run(batches):
-        grades = np.array(model.grades, float)
-        for batch in batches:
-            for part in textnum.slices(batch, "text", SLICE_BYTES):
-                s = scores(textnum.Words(*textnum.buffers(part.column("text"))), model.weights)
-                tails = model.tails(s)
-                expected = grades[0] + tails @ np.diff(grades)
-                tail = tails[:, at - 1] if at else np.ones(len(s))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= keep, pa.bool_())], names=["row", "expected_grade", "tail_probability", "kept"])
+        for part, expected, tail in _judged(batches, model, least):
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= keep, pa.bool_())], names=[*names, *made])
 
-    made = ["expected_grade", "tail_probability", "kept"]
-    return base.mapInArrow(run, with_fields(base.schema["row"], "expected_grade double, tail_probability double, kept boolean")).select("row.*", *made)
+    schema = with_fields(base.schema["row"], "text string, " * with_text + "expected_grade double, tail_probability double, kept boolean")
+    return base.mapInArrow(frugal(run), schema).select(*put_together(own, with_text), *made)
+
+
+def kept_rows(docs: DataFrame, model: OrdinalModel, least: int | None = None, keep: float = KEEP) -> DataFrame:
+    """The rows of docs that ``grade`` keeps, all columns as they are; the others do not come back from Python."""
+    base = text_apart(docs, docs.columns)
+
+    def run(batches):
+        for part, _, tail in _judged(batches, model, least):
+            yield part.filter(pa.array(tail >= keep, pa.bool_()))
+
+    return base.mapInArrow(frugal(run), base.schema).select(*put_together(docs.columns))
 
 
 def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", sample: int = SAMPLE, folds: tuple[int, ...] | None = None) -> OrdinalModel:
@@ -176,4 +193,4 @@ def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", sample: i
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, expected_grade, tail_probability, kept for every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    return grade(rows, train(docs, labels)).drop("text")
+    return grade(rows, train(docs, labels), with_text=False)

@@ -24,7 +24,8 @@ import random
 import string
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import text_column
@@ -130,8 +131,14 @@ def corpus_tokens(docs: DataFrame) -> DataFrame:
     return rows.select(F.explode("tokens").alias("x")).select(F.col("x.t").alias("text")).distinct()
 
 
+def made_table(spark: SparkSession) -> DataFrame:
+    """The labelled samples as a table that no Python worker has to read."""
+    text, label = zip(*made_samples(), strict=True)
+    return spark.createDataFrame(pa.table({"text": pa.array(text, pa.string()), "label": pa.array(label, pa.int32())}))
+
+
 def default_samples(docs: DataFrame) -> DataFrame:
-    made = docs.sparkSession.createDataFrame(made_samples(), "text string, label int")
+    made = made_table(docs.sparkSession)
     return cut(corpus_tokens(docs).withColumn("label", F.lit(UNLABELLED)).unionByName(made))
 
 
